@@ -48,44 +48,59 @@ def a1_of(rect: Column) -> Column:
     return a1_range(rect["r0"], rect["c0"], rect["r1"], rect["c1"])
 
 
+def let(value: Column, body) -> Column:
+    """Evaluates ``value`` once and hands it to ``body``; keeps nested expressions from growing exponentially."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def parse_a1(text: Column, strip_dollar: bool = False) -> Column:
     """Text -> rectangle struct, null when the text is no range. Corners come out ordered."""
-    t = F.upper(F.regexp_replace(strip(text), " ", ""))
-    if strip_dollar:
-        t = F.regexp_replace(t, r"\$", "")
-    part = [F.regexp_extract(t, _RANGE_RE, i) for i in (1, 2, 3, 4)]
-    ca, ra = col_number(part[0]), part[1].cast("int")
-    single = part[2] == ""
-    cb = F.when(single, ca).otherwise(col_number(part[2]))
-    rb = F.when(single, ra).otherwise(part[3].cast("int"))
-    ok = t.rlike(_RANGE_RE) & (F.least(ra, rb) >= 1) & (F.greatest(ra, rb) <= MAX_ROW) & (F.greatest(ca, cb) <= MAX_COL)
-    return F.when(
-        ok,
-        F.struct(
-            F.least(ra, rb).alias("r0"),
-            F.least(ca, cb).alias("c0"),
-            F.greatest(ra, rb).alias("r1"),
-            F.greatest(ca, cb).alias("c1"),
-        ),
-    )
+    t = F.upper(F.regexp_replace(strip(text), r"[ $]" if strip_dollar else " ", ""))
+    parts = F.split(F.regexp_replace(t, _RANGE_RE, "$1,$2,$3,$4"), ",")
+
+    def corners(p: Column) -> Column:
+        single = p[2] == ""
+        return F.struct(
+            col_number(p[0]).alias("ca"),
+            p[1].try_cast("int").alias("ra"),
+            F.when(single, col_number(p[0])).otherwise(col_number(p[2])).alias("cb"),
+            F.when(single, p[1].try_cast("int")).otherwise(p[3].try_cast("int")).alias("rb"),
+        )
+
+    def ordered(x: Column) -> Column:
+        return F.struct(
+            F.least(x["ra"], x["rb"]).alias("r0"),
+            F.least(x["ca"], x["cb"]).alias("c0"),
+            F.greatest(x["ra"], x["rb"]).alias("r1"),
+            F.greatest(x["ca"], x["cb"]).alias("c1"),
+        )
+
+    def checked(r: Column) -> Column:
+        return F.when((r["r0"] >= 1) & (r["r1"] <= MAX_ROW) & (r["c1"] <= MAX_COL), r)
+
+    # A text that is no range keeps its shape under the replacement, so it has no four parts.
+    shaped = lambda p: F.when(F.size(p) == 4, let(let(corners(p), ordered), checked))
+    return let(F.when(~t.contains(","), parts), shaped)
 
 
 def normalize_a1(text: Column, strip_dollar: bool = False) -> Column:
     """Any accepted spelling -> ``LT:RB`` in upper case, else null."""
-    return a1_of(parse_a1(text, strip_dollar))
+    return let(parse_a1(text, strip_dollar), a1_of)
 
 
 def coord(text: Column) -> Column:
     """(row, col) of a single cell, null when the text is not exactly one cell."""
-    rect = parse_a1(text)
-    one = (rect["r0"] == rect["r1"]) & (rect["c0"] == rect["c1"])
-    return F.when(one, F.struct(rect["r0"].alias("row"), rect["c0"].alias("col")))
+    def one(rect: Column) -> Column:
+        single = (rect["r0"] == rect["r1"]) & (rect["c0"] == rect["c1"])
+        return F.when(single, F.struct(rect["r0"].alias("row"), rect["c0"].alias("col")))
+
+    return let(parse_a1(text), one)
 
 
 def parse_list(text: Column) -> Column:
     """Comma list -> array of rectangles in text order; tokens that are no range are skipped."""
     tokens = F.split(text, ",")
-    return F.filter(F.transform(tokens, parse_a1), lambda r: r.isNotNull())
+    return F.filter(F.transform(tokens, lambda x: parse_a1(x)), lambda r: r.isNotNull())
 
 
 def first_rect(text: Column) -> Column:
@@ -164,10 +179,13 @@ def cells_of(rect: Column) -> Column:
 
 def expand_limited(text: Column, max_span: int = 12) -> Column:
     """Cells of a comma list, or an empty array when it holds more than ``max_span`` cells."""
-    rects = parse_list(text)
-    total = F.aggregate(rects, F.lit(0).cast("long"), lambda acc, r: acc + area(r))
     none = F.array().cast("array<struct<row:int,col:int>>")
-    return F.when(total <= max_span, F.flatten(F.transform(rects, cells_of))).otherwise(none)
+
+    def small(rects: Column) -> Column:
+        total = F.aggregate(rects, F.lit(0).cast("long"), lambda acc, r: acc + area(r))
+        return F.when(total <= max_span, F.flatten(F.transform(rects, lambda r: cells_of(r)))).otherwise(none)
+
+    return let(parse_list(text), small)
 
 
 def extract_ranges(text: Column) -> Column:
@@ -184,31 +202,32 @@ RANGE_FIELDS = ("bad_range", "focus_range", "range", "error_range")
 
 def extract_focus_ranges(text: Column) -> Column:
     """Ranges named by a JSON object's known fields; without any, all mentions of the text."""
-    v = F.try_parse_json(text)
-    is_object = F.schema_of_variant(v).startswith("OBJECT")
     empty = F.array().cast("array<string>")
-    parts = []
-    for name in RANGE_LIST_FIELDS:
-        items = F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
-        strings = F.filter(items, lambda x: F.schema_of_variant(x) == "STRING")
-        parts.append(F.flatten(F.transform(strings, lambda x: extract_ranges(x.cast("string")))))
-    for name in RANGE_FIELDS:
-        one = F.try_variant_get(v, f"$.{name}", "variant")
-        value = F.when(F.schema_of_variant(one) == "STRING", one.cast("string"))
-        parts.append(F.coalesce(extract_ranges(value), empty))
-    named = F.array_distinct(F.concat(*parts))
-    return F.when(is_object & (F.size(named) > 0), named).otherwise(F.coalesce(extract_ranges(text), empty))
+    schema = "array<variant>"
+
+    def named(v: Column) -> Column:
+        items = [F.coalesce(F.try_variant_get(v, f"$.{n}", schema), F.array().cast(schema)) for n in RANGE_LIST_FIELDS]
+        items += [F.array(F.try_variant_get(v, f"$.{n}", "variant")) for n in RANGE_FIELDS]
+        strings = F.filter(F.concat(*items), lambda x: F.schema_of_variant(x) == "STRING")
+        found = F.flatten(F.transform(strings, lambda x: extract_ranges(x.cast("string"))))
+        return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.array_distinct(found)).otherwise(empty)
+
+    pick = lambda n: F.when(F.size(n) > 0, n).otherwise(F.coalesce(extract_ranges(text), empty))
+    return let(F.coalesce(let(F.try_parse_json(text), named), empty), pick)
 
 
 def cell_sort_key(cell: Column) -> Column:
     """Orders cell texts by row, then column; texts that are no range come last."""
-    rect = parse_a1(cell)
     far = F.lit(10**9)
-    return F.struct(
-        F.coalesce(rect["r0"], far).alias("row"),
-        F.coalesce(rect["c0"], far).alias("col"),
-        F.when(rect.isNotNull(), a1_cell(rect["r0"], rect["c0"])).otherwise(F.upper(strip(cell))).alias("text"),
-    )
+
+    def key(rect: Column) -> Column:
+        return F.struct(
+            F.coalesce(rect["r0"], far).alias("row"),
+            F.coalesce(rect["c0"], far).alias("col"),
+            F.when(rect.isNotNull(), a1_cell(rect["r0"], rect["c0"])).otherwise(F.upper(strip(cell))).alias("text"),
+        )
+
+    return let(parse_a1(cell), key)
 
 
 def dedupe_cells(cells: Column, limit: int | None = None) -> Column:

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Line breaks a line splitter honours besides "\n".
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
@@ -72,7 +73,7 @@ def contains_either(a: Column, b: Column, min_len: int = 4) -> Column:
     return (a.contains(b) | b.contains(a)) & (F.least(F.length(a), F.length(b)) >= min_len)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two texts; Spark has no built-in with this value."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")

@@ -24,6 +24,7 @@ def build_session(app: str = "formloom", master: str | None = None, cpus: int =
                 builder.config("spark.sql.shuffle.partitions", str(cpus))
                 .config("spark.driver.memory", "12g")
                 .config("spark.ui.enabled", "false")
+                .config("spark.ui.showConsoleProgress", "false")
             )
     return builder.getOrCreate()
 
