@@ -82,8 +82,11 @@ SQL = {
         f" CASE WHEN q % 5 <> 0 THEN CAST(q AS STRING) END AS value FROM {LI} WHERE p % 2 = 0"
     ),
     "dims": (
-        f"SELECT {WB}, 'row' AS axis, CAST(ln AS INT) AS idx, CASE WHEN t > 3 THEN CAST(10 + q % 20 AS DOUBLE) END AS size FROM {LI}"
-        f" UNION ALL SELECT {WB}, 'col' AS axis, CAST(ln AS INT) AS idx, CASE WHEN t > 5 THEN CAST(q % 30 AS DOUBLE) + 0.5 END AS size FROM {LI}"
+        "SELECT CAST(o AS STRING) AS wb_id, 'S1' AS sheet, axis, CAST(i AS INT) AS idx,"
+        " CASE WHEN (p + i) % 3 = 0 THEN CAST(8 + (p * i) % 20 AS DOUBLE) + 0.5 END AS size"
+        " FROM (SELECT l_orderkey AS o, CAST(min(l_partkey) AS BIGINT) AS p FROM {lineitem} GROUP BY l_orderkey) h CROSS JOIN"
+        " (VALUES ('row', 1), ('row', 2), ('row', 3), ('row', 4), ('row', 5), ('row', 6), ('row', 7), ('row', 8), ('row', 9),"
+        " ('col', 1), ('col', 2), ('col', 3), ('col', 4), ('col', 5), ('col', 6)) v(axis, i)"
     ),
     # Edits of the filled version: value cells, overwritten labels, and repeated writes that change nothing.
     "form_edits": (
