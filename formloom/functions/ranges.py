@@ -83,6 +83,14 @@ def parse_a1(text: Column, strip_dollar: bool = False) -> Column:
     return let(F.when(~t.contains(","), parts), shaped)
 
 
+def rect_columns(parsed: Column) -> Column:
+    """Generator with columns r0, c0, r1, c1; rows without a rectangle drop out.
+
+    A generator is parsed once and keeps later filters on the corners from being pushed into the parsing.
+    """
+    return F.inline(F.array_compact(F.array(parsed)))
+
+
 def normalize_a1(text: Column, strip_dollar: bool = False) -> Column:
     """Any accepted spelling -> ``LT:RB`` in upper case, else null."""
     return let(parse_a1(text, strip_dollar), a1_of)

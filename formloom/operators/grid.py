@@ -104,7 +104,7 @@ def form_bbox(
     pairs: DataFrame, used: DataFrame, left: int = 8, right: int = 2, top: int = 2, bottom: int = 2
 ) -> DataFrame:
     """Padded box of all value cells inside the used box; sheets without valid value cells keep the used box."""
-    rects = pairs.select(*KEYS, F.explode(rg.parse_list(F.col("value_cell"))).alias("x")).select(*KEYS, "x.*")
+    rects = pairs.select(*KEYS, F.inline(rg.parse_list(F.col("value_cell"))))
     box = rects.groupBy(*KEYS).agg(*rg.bbox_agg("f_"))
     j = used.join(box, KEYS, "left")
     missing = F.col("f_r0").isNull()
@@ -219,8 +219,8 @@ def template_region_summary(regions: DataFrame, template: DataFrame, n: int | No
 
 def read_anchor_value(requests: DataFrame, cells: DataFrame, merges: DataFrame, range_col: str = "value_cell") -> DataFrame:
     """Adds the value at the anchor of the first cell of the first range; unparsable ranges give null."""
-    p = requests.withColumn("_x", rg.first_rect(F.col(range_col)))
-    p = p.withColumn("row", F.col("_x.r0")).withColumn("col", F.col("_x.c0")).drop("_x")
+    p = requests.select("*", F.inline_outer(F.array_compact(F.array(rg.first_rect(F.col(range_col))))))
+    p = p.withColumn("row", F.col("r0")).withColumn("col", F.col("c0")).drop(*RECT)
     p = attach_anchor(p, merges).drop("row", "col", "m_r1", "m_c1", "is_merged")
     v = cells.select(
         *KEYS, F.col("row").alias("a_row"), F.col("col").alias("a_col"), F.col("value").alias("current_value"),
@@ -430,8 +430,8 @@ def dropdown_constraints(
     named = other.filter(~F.col("ref").contains(":")).select("dv_id", "wb_id", F.col("ref").alias("name")).join(
         names.select("wb_id", "name", "ref_sheet", F.regexp_replace("ref", r"\$", "").alias("ref")), ["wb_id", "name"]
     )
-    src = direct.unionByName(named.select("dv_id", "wb_id", "ref_sheet", "ref")).withColumn("_x", rg.parse_a1(F.col("ref")))
-    src = src.filter("_x is not null").select("dv_id", "wb_id", F.col("ref_sheet").alias("sheet"), "_x.*")
+    src = direct.unionByName(named.select("dv_id", "wb_id", "ref_sheet", "ref"))
+    src = src.select("dv_id", "wb_id", F.col("ref_sheet").alias("sheet"), rg.rect_columns(rg.parse_a1(F.col("ref"))))
     text = as_rects(nonempty_cells(cells))
     hits = overlap_join(text, src, KEYS).select("dv_id", "row", "col", "text")
     hits = top_rows(hits, ["dv_id"], ["row", "col"], read)
@@ -445,8 +445,7 @@ def dropdown_constraints(
 
 def dropdown_for_focus(constraints: DataFrame, focus: DataFrame, n: int | None = 80) -> DataFrame:
     """Constraints whose target meets the sheet's focus range. focus: keys, region_id, rect."""
-    c = constraints.withColumn("_x", rg.parse_a1(F.col("target_range"))).filter("_x is not null")
-    c = c.select(*KEYS, "target_range", "options", "_x.*")
+    c = constraints.select(*KEYS, "target_range", "options", rg.rect_columns(rg.parse_a1(F.col("target_range"))))
     hit = overlap_join(c, focus.select(*KEYS, "region_id", *RECT), KEYS)
     hit = hit.select(*KEYS, "region_id", "target_range", "options", "r0", "c0")
     return top_rows(hit, [*KEYS, "region_id"], ["r0", "c0", "target_range"], n).drop("r0", "c0")

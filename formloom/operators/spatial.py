@@ -11,58 +11,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RECT = ["r0", "c0", "r1", "c1"]
-LEVELS = ((64, 16), (1024, 256), (16384, 4096))
-_NO_TILES = "array<struct<lv:int,ti:int,tj:int>>"
+# (rows, columns) of a tile per level, as powers of two.
+LEVELS = ((6, 4), (10, 8), (14, 12))
 
 
-def _level(r0: Column, c0: Column, r1: Column, c1: Column) -> Column:
-    h, w = r1 - r0 + 1, c1 - c0 + 1
-    return (
-        F.when((h <= LEVELS[1][0]) & (w <= LEVELS[1][1]), 0).when((h <= LEVELS[2][0]) & (w <= LEVELS[2][1]), 1).otherwise(2)
-    )
-
+def _own_level(r0: Column, c0: Column, r1: Column, c1: Column) -> Column:
+    fits = lambda lv: (r1 - r0 < 1 << LEVELS[lv][0]) & (c1 - c0 < 1 << LEVELS[lv][1])
+    return F.when(fits(1), 0).when(fits(2), 1).otherwise(2)
 
-def _div(x: Column, n: int) -> Column:
-    return F.floor(x / n).cast("int")
 
-
-def _tiles(rect: tuple[Column, ...], lv: int) -> Column:
+def _spans(rect: tuple[Column, ...], tag: Column | int) -> list[Column]:
+    """Tile span of a rectangle at each level."""
     r0, c0, r1, c1 = rect
-    th, tw = LEVELS[lv]
-    return F.flatten(
-        F.transform(
-            F.sequence(_div(r0, th), _div(r1, th)),
-            lambda i: F.transform(
-                F.sequence(_div(c0, tw), _div(c1, tw)),
-                lambda j: F.struct(F.lit(lv).alias("lv"), i.alias("ti"), j.alias("tj")),
-            ),
+    return [
+        F.struct(
+            F.lit(lv).alias("lv"),
+            F.lit(tag).alias("tag"),
+            F.shiftright(r0, h).alias("i0"),
+            F.shiftright(r1, h).alias("i1"),
+            F.shiftright(c0, w).alias("j0"),
+            F.shiftright(c1, w).alias("j1"),
         )
-    )
+        for lv, (h, w) in enumerate(LEVELS)
+    ]
 
 
-def _own_and_above(rect: tuple[Column, ...]) -> tuple[Column, Column]:
-    lv = _level(*rect)
-    t = [_tiles(rect, k) for k in range(3)]
-    own = F.when(lv == 0, t[0]).when(lv == 1, t[1]).otherwise(t[2])
-    above = F.when(lv == 0, F.concat(t[1], t[2])).when(lv == 1, t[2]).otherwise(F.array().cast(_NO_TILES))
-    return own, above
-
-
-def _tag(tiles: Column, tag: int) -> Column:
-    return F.transform(
-        tiles, lambda t: F.struct(t["lv"].alias("lv"), t["ti"].alias("ti"), t["tj"].alias("tj"), F.lit(tag).alias("tag"))
-    )
+def _unfold(df: DataFrame, spans: Column, keep: Column, name: str) -> DataFrame:
+    """One row per tile, by plain explodes, which stay inside generated code."""
+    d = df.withColumn("_s", F.explode(spans)).filter(keep)
+    d = d.withColumn("_i", F.explode(F.sequence("_s.i0", "_s.i1"))).withColumn("_j", F.explode(F.sequence("_s.j0", "_s.j1")))
+    tile = F.struct(F.col("_s.lv").alias("lv"), F.col("_s.tag").alias("tag"), F.col("_i").alias("ti"), F.col("_j").alias("tj"))
+    return d.withColumn(name, tile).drop("_s", "_i", "_j", "_own")
 
 
 def _filed_left(df: DataFrame, grow: int) -> DataFrame:
+    """Own tiles carry tag 0, coarser ones tag 1."""
     rect = (F.col("r0") - grow, F.col("c0") - grow, F.col("r1") + grow, F.col("c1") + grow)
-    own, above = _own_and_above(rect)
-    return df.withColumn("_t", F.explode(F.concat(_tag(own, 0), _tag(above, 1))))
+    d = df.withColumn("_own", _own_level(*rect))
+    spans = [s.withField("tag", F.when(F.col("_own") == lv, 0).otherwise(1)) for lv, s in enumerate(_spans(rect, 0))]
+    return _unfold(d, F.array(*spans), F.col("_s.lv") >= F.col("_own"), "_t")
 
 
 def _filed_right(df: DataFrame) -> DataFrame:
-    own, above = _own_and_above(tuple(F.col("o_" + c) for c in RECT))
-    return df.withColumn("_u", F.explode(F.concat(_tag(F.concat(own, above), 0), _tag(own, 1))))
+    """Own and coarser tiles meet tag 0, own tiles alone meet tag 1."""
+    rect = tuple(F.col("o_" + c) for c in RECT)
+    d = df.withColumn("_own", _own_level(*rect))
+    keep = (F.col("_s.lv") == F.col("_own")) | ((F.col("_s.lv") > F.col("_own")) & (F.col("_s.tag") == 0))
+    return _unfold(d, F.array(*_spans(rect, 0), *_spans(rect, 1)), keep, "_u")
 
 
 def _sides(left: DataFrame, right: DataFrame, keys: list[str], grow: int):
@@ -86,10 +81,9 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], grow: int =
     corner_r = F.greatest(F.col("r0") - grow, F.col("o_r0"))
     corner_c = F.greatest(F.col("c0") - grow, F.col("o_c0"))
     here = F.lit(False)
-    for lv, (th, tw) in enumerate(LEVELS):
-        here = here | (
-            (F.col("_t.lv") == lv) & (_div(corner_r, th) == F.col("_t.ti")) & (_div(corner_c, tw) == F.col("_t.tj"))
-        )
+    for lv, (h, w) in enumerate(LEVELS):
+        at_corner = (F.shiftright(corner_r, h) == F.col("_t.ti")) & (F.shiftright(corner_c, w) == F.col("_t.tj"))
+        here = here | ((F.col("_t.lv") == lv) & at_corner)
     on = meets & here
     for c in cond:
         on = on & c
