@@ -68,6 +68,9 @@ def _rects(n: int, spread: int) -> str:
     )
 
 
+TARGET = (
+    "CASE p % 4 WHEN 0 THEN 'Quantity' WHEN 1 THEN 'ship date' WHEN 2 THEN 'Order  Form!' ELSE 'line status here' END"
+)
 COL6 = "chr(CAST(65 + event_id % 6 AS INT))"
 SQL = {
     "li": f"SELECT * FROM {LI}",
@@ -81,6 +84,22 @@ SQL = {
         " ELSE 'b' || CAST(ln + 1 AS STRING) END AS value_cell,"
         f" CASE WHEN q % 5 <> 0 THEN CAST(q AS STRING) END AS value FROM {LI} WHERE p % 2 = 0"
     ),
+    "targets": (
+        f"SELECT {WB}, CAST(ln AS INT) AS target_idx, CASE WHEN q % 6 = 0 THEN 'b' || CAST(ln + 1 AS STRING) || ':C' || CAST(ln + 2 AS STRING)"
+        f" ELSE {TARGET} END AS target, '' AS reason, CAST(q % 6 AS INT) AS radius FROM {LI}"
+    ),
+    "policies": (
+        "SELECT CAST(o AS STRING) AS wb_id, CASE WHEN ln % 2 = 0 THEN 'blank_policy' ELSE 'uncertain_field' END AS kind,"
+        f" CAST(ln AS INT) AS pol_idx, {TARGET} AS target, CASE p % 3 WHEN 0 THEN 'leave_blank' WHEN 1 THEN 'guess' ELSE ' Skip' END AS action,"
+        f" CASE WHEN q % 2 = 0 THEN 'not given' ELSE '' END AS reason FROM {LI}"
+    ),
+    "slot_pairs": (
+        f"SELECT {WB}, CAST(ln AS INT) AS pair_idx, CAST(ln % 4 AS INT) AS slot_id,"
+        " CASE WHEN q % 9 = 0 THEN '' WHEN q % 5 = 0 THEN 'A' || CAST(ln + 1 AS STRING) WHEN q % 5 = 1 THEN 'a1:B' || CAST(ln + 1 AS STRING)"
+        " ELSE 'B' || CAST(ln + 1 AS STRING) END AS value_cell, (q % 4 <> 0) AS is_valid_slot,"
+        f" CASE WHEN p % 7 = 0 THEN '' ELSE {LABEL} END AS key_text, CASE WHEN s % 2 = 0 THEN 'model said so' ELSE '' END AS reason,"
+        f" CASE WHEN s % 10 = 0 THEN 'earlier check' ELSE '' END AS invalidated_reason FROM {LI}"
+    ),
     "dims": (
         "SELECT CAST(o AS STRING) AS wb_id, 'S1' AS sheet, axis, CAST(i AS INT) AS idx,"
         " CASE WHEN (p + i) % 3 = 0 THEN CAST(8 + (p * i) % 20 AS DOUBLE) + 0.5 END AS size"
