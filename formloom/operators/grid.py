@@ -156,9 +156,10 @@ def input_cells(pairs: DataFrame, merges: DataFrame) -> DataFrame:
     return attach_anchor(pts, merges).select(*KEYS, F.col("a_row").alias("row"), F.col("a_col").alias("col")).distinct()
 
 
-def input_candidates(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """Cells that look writable, as anchors: boxed, with a bottom line, or merged."""
+def input_candidates(cells: DataFrame, merges: DataFrame, box: DataFrame | None = None) -> DataFrame:
+    """Cells that look writable, as anchors: boxed, with a bottom line, or merged. ``box`` limits the scanned positions."""
     c = _with_cover(cells, merges).filter(F.col("border_bottom").isNotNull() | F.col("is_merged"))
+    c = within_box(c, box) if box is not None else c
     return c.select(*KEYS, F.col("a_row").alias("row"), F.col("a_col").alias("col")).distinct()
 
 

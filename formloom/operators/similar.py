@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from formloom.functions import text as tx
 
-GRAM_SIZES = (4, 5, 6, 7, 8, 10, 12, 16, 24, 32)
+GRAM_SIZES = (4, 6, 9, 14, 24)
 # Fixed value: letters by falling frequency; later ones make rarer blocks.
 COMMON_FIRST = " etaoinshrdlucmfwypvbgkqjxz0123456789"
 LONG = 200

@@ -3,4 +3,5 @@
 from formloom.plans import queries_ranges  # noqa: F401
 from formloom.plans import queries_grid  # noqa: F401
 from formloom.plans import queries_match  # noqa: F401
+from formloom.plans import queries_audit  # noqa: F401
 from formloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from formloom.session import cut_lineage
+
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -93,6 +95,16 @@ SQL = {
         f" CAST(ln AS INT) AS pol_idx, {TARGET} AS target, CASE p % 3 WHEN 0 THEN 'leave_blank' WHEN 1 THEN 'guess' ELSE ' Skip' END AS action,"
         f" CASE WHEN q % 2 = 0 THEN 'not given' ELSE '' END AS reason FROM {LI}"
     ),
+    "bad_ranges": (
+        f"SELECT {WB}, CAST(ln + 1 AS INT) AS r0, CAST(1 + q % 4 AS INT) AS c0, CAST(ln + 1 + q % 2 AS INT) AS r1, CAST(2 + q % 4 AS INT) AS c1"
+        f" FROM {LI} WHERE p % 6 = 0"
+    ),
+    "correct_ranges": f"SELECT {WB}, CAST(ln + 1 AS INT) AS r0, 1 AS c0, CAST(ln + 1 AS INT) AS r1, 2 AS c1 FROM {LI} WHERE p % 13 = 0",
+    "model_flags": (
+        f"SELECT {WB}, 'A' || CAST(ln + 1 AS STRING) AS label_cell, (p % 10 = 0) AS is_correct_region, (p % 14 = 0) AS is_safe_blank,"
+        " (s % 3 = 0) AS template_inconsistency, (s % 5 = 0) AS high_risk_pattern, (s % 7 = 0) AS special_char_anomaly,"
+        f" CASE WHEN p % 17 = 0 THEN 'Value Correctly Filled here' WHEN p % 19 = 0 THEN 'it should remain blank' ELSE '' END AS reason FROM {LI}"
+    ),
     "slot_pairs": (
         f"SELECT {WB}, CAST(ln AS INT) AS pair_idx, CAST(ln % 4 AS INT) AS slot_id,"
         " CASE WHEN q % 9 = 0 THEN '' WHEN q % 5 = 0 THEN 'A' || CAST(ln + 1 AS STRING) WHEN q % 5 = 1 THEN 'a1:B' || CAST(ln + 1 AS STRING)"
@@ -162,6 +174,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.kept: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -173,6 +186,12 @@ class Tables:
             return self.sql(SQL[name])
         raise AttributeError(name)
 
+    def saved(self, name: str) -> DataFrame:
+        """A fixture written once per query, as a workbook store would hold it."""
+        if name not in self.kept:
+            self.kept[name] = cut_lineage(getattr(self, name))
+        return self.kept[name]
+
     def sql(self, text: str) -> DataFrame:
         used = [b for b in BASE if "{" + b + "}" in text]
         return self.spark.sql(text, **{b: self.base(b) for b in used})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,18 +30,28 @@ def build_session(app: str = "formloom", master: str | None = None, cpus: int =
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; used once per fixpoint pass.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session. A temporary folder is only made for a local master.
+    A temporary folder is only made for a local master where the setting is empty, as in tests.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="formloom-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="formloom-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+        folder = sc.getCheckpointDir()
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes a table to the shared folder and reads it back.
+
+    The copy outlives lost executors, ends the lineage of loops, keeps columnar pruning, and has a known size, so later
+    joins broadcast it only when it is small.
+    """
+    path = f"{shared_folder(df.sparkSession)}/formloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
