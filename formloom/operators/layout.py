@@ -166,7 +166,7 @@ def resolve_range(boxes: DataFrame, edges: DataFrame) -> DataFrame:
     corner = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(c).alias("c"), F.col("bbox." + c).alias("v")) for a, c in (("x", "x0"), ("y", "y0"), ("x", "x1"), ("y", "y1"))])
     n = nearest_edge(boxes.select(*PAGE, "box_id", F.inline(corner)), edges, [*PAGE, "axis"])
     w = n.groupBy(*PAGE, "box_id").agg(*[F.max(F.when(F.col("c") == c, F.col("edge"))).alias(c) for c in ("x0", "y0", "x1", "y1")])
-    pair = lambda lo, hi: (F.least(lo, hi), F.greatest(F.greatest(lo, hi) - 1, F.least(lo, hi)))
+    pair = lambda lo, hi: (F.least(lo, hi), F.greatest(lo, hi))
     (r0, r1), (c0, c1) = pair("y0", "y1"), pair("x0", "x1")
     return w.select(*PAGE, "box_id", r0.alias("r0"), c0.alias("c0"), r1.alias("r1"), c1.alias("c1"))
 
@@ -248,19 +248,29 @@ def column_widths(tcells: DataFrame, cell_boxes: DataFrame, n_cols: DataFrame, m
     return j.select(*TABLE, "col", F.least(F.lit(45.0), F.greatest("geometry_width", "content_width")).alias("width"))
 
 
-# Block labels that get a placeholder text, and style classes by label.
-PLACEHOLDERS = {"image": "[image]", "chart": "[chart]", "seal": "[seal]", "formula": "[formula]"}
-TITLE_LABELS = ("doc_title", "paragraph_title", "title")
+def placeholder(label: Column) -> Column:
+    """Stand-in text of a block that carries none, by what its label contains."""
+    n = F.lower(tx.strip(F.coalesce(label, F.lit(""))))
+    return (
+        F.when(n.contains("image") | n.contains("figure"), "[image]").when(n.contains("chart"), "[chart]")
+        .when(n.contains("formula"), "[formula]").when(n.contains("seal"), "[seal]").when(n == "", "[block]").otherwise(F.concat(F.lit("["), n, F.lit("]")))
+    )
+
+
+def style_class(label: Column, kind: Column) -> Column:
+    n = F.lower(tx.strip(F.coalesce(label, F.lit(""))))
+    return (
+        F.when(kind == "table_cell", "table").when(n.contains("doc_title"), "doc_title").when(n.contains("title") | n.contains("header"), "header")
+        .when(n.rlike("caption|footer|reference"), "note").when(n.isin("text", "paragraph", "content"), "body").otherwise("plain")
+    )
 
 
 def page_elements(blocks: DataFrame, table_elements: DataFrame) -> DataFrame:
     """Text blocks and table elements of a page in one relation, with placeholder text and a style class per label."""
-    stand_in = F.create_map(*[F.lit(x) for kv in PLACEHOLDERS.items() for x in kv])[F.col("label")]
-    text = F.coalesce(F.nullif(tx.squeeze(F.coalesce("text", F.lit(""))), F.lit("")), stand_in)
-    b = blocks.filter("label <> 'table'").select(*PAGE, F.lit("layout_block").alias("kind"), "label", "bbox", text.alias("text")).filter("text is not null")
+    text = F.coalesce(F.nullif(tx.squeeze(F.coalesce("text", F.lit(""))), F.lit("")), placeholder(F.col("label")))
+    b = blocks.filter("label <> 'table'").select(*PAGE, F.lit("layout_block").alias("kind"), "label", "bbox", text.alias("text"))
     t = table_elements.select(*PAGE, "kind", F.col("kind").alias("label"), "bbox", "text")
-    style = F.when(F.col("label").isin(*TITLE_LABELS), "title").when(F.col("kind") == "layout_block", "text").otherwise("table")
-    return b.unionByName(t).withColumn("style_class", style)
+    return b.unionByName(t).withColumn("style_class", style_class(F.col("label"), F.col("kind")))
 
 
 def blocks_report(blocks: DataFrame) -> DataFrame:

@@ -18,8 +18,11 @@ FAMILIES = {
     "html": ("html", "htm", "mhtml"), "email": ("eml",), "office": ("docx", "doc", "ppt", "pptx"), "pdf": ("pdf",),
     "image": ("png", "jpg", "jpeg", "bmp", "webp", "tif", "tiff"),
 }
-INPUT_KINDS = {"xlsx": ("excel", "none"), "xls": ("excel", "excel_to_xlsx"), "docx": ("word", "docx_to_xlsx"), "doc": ("word", "doc_to_docx_to_xlsx"), "pdf": ("document", "pdf_to_xlsx"),
-               **{s: ("document", "image_to_xlsx") for s in FAMILIES["image"]}}
+INPUT_KINDS = {
+    **{e: ("excel", "passthrough") for e in ("xlsx", "xlsm", "xltx", "xltm")}, "xls": ("excel", "xls_to_xlsx"),
+    **{e: ("word", "docx_tables") for e in ("docx", "doc")}, "pdf": ("pdf", "pp_parse"),
+    **{e: ("image", "pp_parse") for e in FAMILIES["image"]},
+}
 
 
 def _case_of(path: Column) -> Column:
@@ -124,7 +127,7 @@ def format_family(path: Column) -> Column:
 def input_plan(path: Column) -> Column:
     """Struct (kind, converter, needs_conversion, supported) by suffix; unsupported files are rows, not failures."""
     pick = lambda i: F.create_map(*[F.lit(x) for e, v in INPUT_KINDS.items() for x in (e, v[i])])[suffix(path)]
-    return F.struct(F.coalesce(pick(0), F.lit("unsupported")).alias("kind"), pick(1).alias("converter"), F.coalesce(pick(1) != "none", F.lit(False)).alias("needs_conversion"), pick(0).isNotNull().alias("supported"))
+    return F.struct(F.coalesce(pick(0), F.lit("unsupported")).alias("kind"), pick(1).alias("converter"), F.coalesce(pick(1) != "passthrough", F.lit(False)).alias("needs_conversion"), pick(0).isNotNull().alias("supported"))
 
 
 def parse_delimited(docs: DataFrame, n: int | None = 200) -> DataFrame:
