@@ -8,4 +8,5 @@ from formloom.plans import queries_repair  # noqa: F401
 from formloom.plans import queries_evidence  # noqa: F401
 from formloom.plans import queries_replies  # noqa: F401
 from formloom.plans import queries_layout  # noqa: F401
+from formloom.plans import queries_corpus  # noqa: F401
 from formloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -19,8 +19,7 @@ FAMILIES = {
     "image": ("png", "jpg", "jpeg", "bmp", "webp", "tif", "tiff"),
 }
 INPUT_KINDS = {
-    **{e: ("excel", "passthrough") for e in ("xlsx", "xlsm", "xltx", "xltm")}, "xls": ("excel", "xls_to_xlsx"),
-    **{e: ("word", "docx_tables") for e in ("docx", "doc")}, "pdf": ("pdf", "pp_parse"),
+    "xlsx": ("excel", "passthrough"), "xls": ("excel", "xls_to_xlsx"), "docx": ("word", "docx_tables"), "pdf": ("pdf", "pp_parse"),
     **{e: ("image", "pp_parse") for e in FAMILIES["image"]},
 }
 
