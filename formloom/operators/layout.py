@@ -191,21 +191,25 @@ PLACED = ArrayType(StructType([StructField(n, IntegerType()) for n in ("row", "c
 
 @F.pandas_udf(PLACED)
 def place_spans(tables: pd.Series) -> pd.Series:
-    """Grid position of each cell of a table given as rows of (text, row_span, col_span), around positions taken from above."""
-
-    def place(rows):
-        busy, out = {}, []
-        for r, cells in enumerate(rows if rows is not None else [], start=1):
-            taken = {c for c, last in busy.items() if last >= r}
-            c = 1
-            for cell in cells:
-                while c in taken:
-                    c += 1
-                for k in range(c, c + int(cell["col_span"])):
-                    busy[k] = r + int(cell["row_span"]) - 1
-                    taken.add(k)
-                out.append({"row": r, "col": c, "row_span": int(cell["row_span"]), "col_span": int(cell["col_span"]), "text": cell["text"]})
-                c += int(cell["col_span"])
+    """Grid position of each cell of one table, around positions that cells above still cover.
+
+    A table is an array of (row, text, row_span, col_span) in reading order; rows count from 1.
+    """
+
+    def place(cells):
+        busy, out, row, c = {}, [], None, 1
+        for cell in cells if cells is not None else []:
+            if cell["row"] != row:
+                row, c = cell["row"], 1
+                taken = {k for k, last in busy.items() if last >= row}
+            while c in taken:
+                c += 1
+            width, height = int(cell["col_span"]), int(cell["row_span"])
+            for k in range(c, c + width):
+                busy[k] = max(busy.get(k, 0), row + height - 1)
+                taken.add(k)
+            out.append({"row": int(row), "col": c, "row_span": height, "col_span": width, "text": cell["text"]})
+            c += width
         return out
 
     return tables.map(place)

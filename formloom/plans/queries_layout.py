@@ -137,11 +137,10 @@ def _(t):
 
 @query("g10_place_spans")
 def _(t):
-    cell = F.struct(F.col("event_type").alias("text"), (1 + F.col("event_id") % 2).cast("int").alias("row_span"), (1 + F.col("event_id") % 3).cast("int").alias("col_span"), "event_id")
-    rows = t.events.groupBy("user_id", (F.col("event_id") % 7).alias("row")).agg(F.array_sort(F.collect_list(F.struct("event_id", cell.alias("c")))).alias("x"))
-    tb = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("row", F.transform("x", lambda s: s["c"]).alias("cells")))).alias("y"))
-    d = tb.select("user_id", lay.place_spans(F.transform("y", lambda s: s["cells"])).alias("p"))
-    return d.select("user_id", F.inline("p"))
+    e = F.col("event_id")
+    cell = F.struct((1 + e % 7).cast("int").alias("row"), e, F.col("event_type").alias("text"), (1 + e % 2).cast("int").alias("row_span"), (1 + e % 3).cast("int").alias("col_span"))
+    tb = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    return tb.select("user_id", F.inline(lay.place_spans(F.transform("cells", lambda x: x.dropFields("event_id")))))
 
 
 @query(
