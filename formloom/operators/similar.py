@@ -94,20 +94,36 @@ def _ratio_keys(norm: Column, t: float) -> Column:
     return F.concat(F.when(n > LONG, long_grams).otherwise(by_gram), F.when(n <= reach, by_char).otherwise(none))
 
 
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], left_blocks: Column, right_blocks: Column) -> DataFrame:
+    """Distinct (keys, a, b) that share a blocking key inside a group.
+
+    Blocking keys are built once per distinct text, however many groups hold it, and only those known on both sides
+    travel to the group join.
+    """
+    rows = lambda d: d.filter("norm <> ''").select(*keys, "norm").distinct()
+    vocab = lambda d, blocks: d.select("norm").distinct().select("norm", F.explode(F.array_distinct(blocks)).alias("_block"))
+    a, b = rows(left), rows(right)
+    va, vb = vocab(a, left_blocks), vocab(b, right_blocks)
+    ka = va.join(vb.select("_block").distinct(), "_block", "left_semi")
+    kb = vb.join(va.select("_block").distinct(), "_block", "left_semi")
+    fa = a.join(ka, "norm").withColumnRenamed("norm", "a")
+    fb = b.join(kb, "norm").withColumnRenamed("norm", "b")
+    return fa.join(fb, [*keys, "_block"]).select(*keys, "a", "b").distinct()
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, keys: list[str], threshold: float, full: bool, contain: bool = True) -> DataFrame:
     """Distinct (keys, a, b) that may reach the threshold. Both sides hold keys and ``norm``."""
 
-    def filed(df: DataFrame, is_left: bool, name: str) -> DataFrame:
+    def blocks(is_left: bool) -> Column:
         norm = F.col("norm")
         parts = [_token_keys(norm, threshold)]
         if contain:
             parts.append(_contain_keys(norm, is_left, GRAM_SIZES))
         if full:
             parts.append(_ratio_keys(norm, threshold))
-        d = df.filter(norm != "").select(*keys, "norm").distinct()
-        return d.select(*keys, norm.alias(name), F.explode(F.array_distinct(F.concat(*parts))).alias("_block"))
+        return F.concat(*parts)
 
-    return filed(left, True, "a").join(filed(right, False, "b"), [*keys, "_block"]).select(*keys, "a", "b").distinct()
+    return _meet(left, right, keys, blocks(True), blocks(False))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], threshold: float, full: bool = True) -> DataFrame:
@@ -144,24 +160,20 @@ def _spaced(df: DataFrame) -> DataFrame:
 
 
 def _ratio_candidates(left: DataFrame, right: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    filed = lambda d, n: d.filter("norm <> ''").select(
-        *keys, F.col("norm").alias(n), F.explode(F.array_distinct(_ratio_keys(F.col("norm"), threshold))).alias("_block")
-    )
-    return filed(left, "a").join(filed(right, "b"), [*keys, "_block"]).select(*keys, "a", "b").distinct()
+    blocks = _ratio_keys(F.col("norm"), threshold)
+    return _meet(left, right, keys, blocks, blocks)
 
 
 def soft_match_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of normalised keys that match softly: equal, containment of any length, or three quarters of tokens shared."""
     sizes = (1, 2, 3, *GRAM_SIZES)
 
-    def filed(df: DataFrame, is_left: bool, name: str) -> DataFrame:
+    def blocks(is_left: bool) -> Column:
         norm = F.col("norm")
         toks = tx.tokens(norm)
         prefix = _prefix(toks, (F.size(toks) - F.ceil(F.size(toks) * 0.75 - 1e-9) + 1).cast("int"))
         mine, other = ("p:", "q:") if is_left else ("q:", "p:")
-        parts = [_contain_keys(norm, is_left, sizes), _tagged(mine, prefix), _tagged(other, toks)]
-        d = df.filter(norm != "").select(*keys, "norm").distinct()
-        return d.select(*keys, norm.alias(name), F.explode(F.array_distinct(F.concat(*parts))).alias("_block"))
+        return F.concat(_contain_keys(norm, is_left, sizes), _tagged(mine, prefix), _tagged(other, toks))
 
-    pairs = filed(left, True, "a").join(filed(right, False, "b"), [*keys, "_block"]).select(*keys, "a", "b").distinct()
+    pairs = _meet(left, right, keys, blocks(True), blocks(False))
     return pairs.filter(tx.keys_soft_match(F.col("a"), F.col("b")))
