@@ -33,25 +33,39 @@ def build_session(app: str = "formloom", master: str | None = None, cpus: int =
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
 
-    A temporary folder is only made for a local master where the setting is empty, as in tests.
+    Only where the setting is empty and everything runs in one process, as in tests, a folder of our own is set.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="formloom-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="formloom-"))
         folder = sc.getCheckpointDir()
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
     The copy outlives lost executors, ends the lineage of loops, keeps columnar pruning, and has a known size, so later
-    joins broadcast it only when it is small.
+    joins broadcast it only when it is small. ``replaces`` is an earlier result of this function that nothing reads any
+    more once the new table is written; its files are deleted.
     """
-    path = f"{shared_folder(df.sparkSession)}/formloom-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/formloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    if replaces is not None:
+        drop_cut(replaces)
+    return out
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Deletes the files of a table that ``cut_lineage`` wrote, once nothing reads them any more."""
+    path = getattr(df, "cut_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
