@@ -18,6 +18,7 @@ from formloom.session import cut_lineage
 
 #: Metadata that spans the tree; each is a long column of ``metadata()``.
 DIMENSIONS = ("source_code", "bytes", "lang_code", "doc_place")
+#: Bins of a histogram for each shard that the node stands for.
 BINS = 4096
 TIE_BITS = 31
 #: A cut may miss its share by this part of one shard's bytes, or by one document.
@@ -31,6 +32,7 @@ class Node:
     cut: tuple[str, int, int, int] | None = None  # dimension, lowest value, step, key at which the right part begins
     left: Node | None = None
     right: Node | None = None
+    widths: dict[str, int] | None = None  # of the whole table, kept at the root
 
     def leaves(self) -> list[Node]:
         return [self] if self.cut is None else [*self.left.leaves(), *self.right.leaves()]
@@ -66,6 +68,12 @@ def _route(node: Node, leaf: Callable[[Node], Column]) -> Column:
     return F.when(_key(dimension, lowest, step) < F.lit(at), _route(node.left, leaf)).otherwise(_route(node.right, leaf))
 
 
+def _of_node(values: dict[int, int], node: str = "node") -> Column:
+    """The value that belongs to the row's node; null for nodes without one."""
+    cells = ", ".join(f"{values[i]}L" if i in values else "CAST(NULL AS BIGINT)" for i in range(max(values) + 1))
+    return F.expr(f"get(array({cells}), {node})")
+
+
 def _find_cuts(rows: DataFrame, root: Node, tolerance: float) -> bool:
     """Cuts every leaf that stands for several shards and has documents; False if there was none."""
     open_leaves = {n.first: n for n in root.leaves() if n.shards > 1}
@@ -77,42 +85,41 @@ def _find_cuts(rows: DataFrame, root: Node, tolerance: float) -> bool:
     state = {}
     for first, s in stats.items():
         width = {d: s[f"{d}_max"] - s[f"{d}_min"] for d in DIMENSIONS}
-        whole = root.__dict__.setdefault("widths", width)  # the first node's
-        widest = max(DIMENSIONS, key=lambda d: width[d] / max(whole[d], 1))
+        root.widths = root.widths or width
+        widest = max(DIMENSIONS, key=lambda d: width[d] / max(root.widths[d], 1))
         step = -(-(width[widest] + 1) // 2**TIE_BITS)
         node = open_leaves[first]
         share = s["total"] * ((node.shards + 1) // 2) / node.shards
         top = ((width[widest] // step) << TIE_BITS) + 2**TIE_BITS - 1
         state[first] = {"key": (widest, s[f"{widest}_min"], step), "lo": 0, "hi": top, "before": 0, "share": share, "fine": tolerance * s["total"] / node.shards}
-    cuts: dict[int, int] = {}
     while state:
-        shift = {f: max(0, (x["hi"] - x["lo"]).bit_length() - BINS.bit_length() + 1) for f, x in state.items()}
-        pick = lambda n, f: f(state[n.first]) if n.first in state else F.lit(None).cast("long")
-        key = _route(root, lambda n: pick(n, lambda x: F.when(_key(*x["key"]).between(x["lo"], x["hi"]), _key(*x["key"]))))
-        bins = _route(root, lambda n: pick(n, lambda x, n=n: F.shiftright(_key(*x["key"]) - F.lit(x["lo"]), shift[n.first])))
+        each = lambda f: _of_node({n: f(x) for n, x in state.items()})
+        value = F.get(F.array(*DIMENSIONS), each(lambda x: DIMENSIONS.index(x["key"][0])).cast("int"))
+        keyed = at_leaf.select("node", "size", "tie", value.alias("value"), each(lambda x: x["key"][1]).alias("lowest"), each(lambda x: x["key"][2]).alias("step"))
+        keyed = keyed.withColumn("key", F.expr(f"shiftleft((value - lowest) div step, {TIE_BITS}) + tie"))
+        bits = {n: max(0, (x["hi"] - x["lo"]).bit_length() - (BINS * open_leaves[n].shards).bit_length() + 1) for n, x in state.items()}
         counted = (
-            at_leaf.select("node", "size", key.alias("key"), bins.alias("bin"))
-            .where("key IS NOT NULL")
+            keyed.where(F.col("key").between(each(lambda x: x["lo"]), each(lambda x: x["hi"])))
+            .withColumn("lo", each(lambda x: x["lo"]))
+            .withColumn("bits", _of_node(bits).cast("int"))
+            .withColumn("bin", F.expr("(key - lo) div shiftleft(1L, bits)"))
             .groupBy("node", "bin")
             .agg(F.sum("size").alias("words"), F.min("key").alias("lo"), F.max("key").alias("hi"))
         )
         start = F.sum("words").over(Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words")
         want = F.coalesce(*[F.when(F.col("node") == f, F.lit(float(x["share"] - x["before"]))) for f, x in state.items()])
         hit = counted.withColumn("start", start).where((F.col("start") < want) & (want <= F.col("start") + F.col("words"))).collect()  # a row a node
-        settled = set(state) - {r["node"] for r in hit}
+        done = {f: state[f]["lo"] for f in set(state) - {r["node"] for r in hit}}
         for r in hit:
             x = state[r["node"]]
             x |= {"before": x["before"] + r["start"], "lo": r["lo"], "hi": r["hi"]}
             if r["words"] <= x["fine"] or r["lo"] == r["hi"]:
                 nearer_end = x["before"] + r["words"] - x["share"] <= x["share"] - x["before"]
-                cuts[r["node"]] = r["hi"] + 1 if nearer_end else r["lo"]
-                settled.add(r["node"])
-        for f in settled:
-            cuts.setdefault(f, state[f]["lo"])
+                done[r["node"]] = r["hi"] + 1 if nearer_end else r["lo"]
+        for f, at in done.items():
             node, big = open_leaves[f], (open_leaves[f].shards + 1) // 2
             node.left, node.right = Node(big, f), Node(node.shards - big, f + big)
-            node.cut = (*state[f]["key"], cuts[f])
-        state = {f: x for f, x in state.items() if f not in settled}
+            node.cut = (*state.pop(f)["key"], at)
     return bool(stats)
 
 
