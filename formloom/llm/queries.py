@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from formloom.llm import chat, mixing, sharding
+from formloom.llm import bpe, chat, mixing, sharding
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op4_chat_format": chat.query,
     "op8_kd_shards": sharding.query,
+    "op10_bpe": bpe.query,
 }
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
