@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from formloom.llm import bpe, chat, mixing, sharding
+from formloom.llm import bpe, chat, mixing, rules, sharding
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op4_chat_format": chat.query,
+    "op5_quality_rules": rules.query,
     "op8_kd_shards": sharding.query,
     "op10_bpe": bpe.query,
 }
