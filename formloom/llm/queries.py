@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from formloom.llm import bpe, chat, mixing, rules, sharding
+from formloom.llm import bpe, chat, mixing, neardup, rules, sharding
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op2_minhash_dedup": neardup.query,
     "op4_chat_format": chat.query,
     "op5_quality_rules": rules.query,
     "op8_kd_shards": sharding.query,
