@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from formloom.llm import bpe, chat, mixing, neardup, rules, sharding
+from formloom.llm import bpe, chat, mixing, neardup, pii, pu, rules, sharding
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_minhash_dedup": neardup.query,
     "op4_chat_format": chat.query,
     "op5_quality_rules": rules.query,
+    "op6_pii": pii.query,
     "op8_kd_shards": sharding.query,
+    "op9_pu_quality": pu.query,
     "op10_bpe": bpe.query,
 }
 ORACLES = {
