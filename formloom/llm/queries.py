@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from formloom.llm import bpe, chat, mixing, neardup, pii, pu, rules, sharding
+from formloom.llm import bpe, chat, mixing, neardup, pii, pu, rules, sharding, vafile
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_minhash_dedup": neardup.query,
+    "op3_vafile_topk": vafile.query,
     "op4_chat_format": chat.query,
     "op5_quality_rules": rules.query,
     "op6_pii": pii.query,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
+    "op3_vafile_topk": vafile.ORACLE,
     "op4_chat_format": chat.ORACLE,
 }
