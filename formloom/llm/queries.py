@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from formloom.llm import bpe, chat, mixing, neardup, pii, pu, rules, sharding, vafile
+import corpus_pipeline
+from formloom.llm import bpe, chat, licenses, mixing, neardup, pii, pu, rules, sharding, vafile
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -11,9 +12,11 @@ QUERIES = {
     "op4_chat_format": chat.query,
     "op5_quality_rules": rules.query,
     "op6_pii": pii.query,
+    "op7_license_scan": licenses.query,
     "op8_kd_shards": sharding.query,
     "op9_pu_quality": pu.query,
     "op10_bpe": bpe.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
