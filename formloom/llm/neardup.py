@@ -1,9 +1,9 @@
 """Near-duplicate documents by MinHash.
 
 Equal shingle sets become one class. Class representatives get the minima of many universal hash functions; bands of them are
-buckets. Each bucket member is compared with the bucket's smallest document first, links found become components, and only
-pairs of a bucket that lie in different components are looked at further: their signatures are compared inside the task, block
-by block, and only pairs that may be similar leave it. Links are confirmed on full sets.
+buckets. Each bucket member is compared with the bucket's smallest document first, and links found become components. Where a
+bucket still holds several, the blocks of documents that meet in it are compared inside a task: by signature, and what a
+signature cannot rule out on the full sets. Only confirmed links leave the task, so a group's pairs are never written.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from formloom.llm.common import read_table
 from formloom.llm.components import connected
@@ -26,10 +26,10 @@ BANDS, ROWS = 50, 5
 PERCENT = 75
 #: Standard errors of the estimate from signatures that a pair may lie below the threshold and still be confirmed on its sets.
 MARGIN = 5.0
-#: Most documents of each side of a bucket that are compared in one call.
-BLOCK = 2048
-#: Blocks that one call gets on average; most have a few documents.
-BUCKETS_AT_ONCE = 256
+#: Documents of a block, about.
+BLOCK = 512
+#: Pairs of blocks that one call gets on average; most blocks have a few documents.
+PAIRS_AT_ONCE = 8
 
 
 def _signature(minima: np.ndarray) -> list[bytes]:
@@ -63,9 +63,11 @@ def sketch(bands: int, rows: int) -> Column:
     return run
 
 
-@F.arrow_udf(ArrayType(LongType()))
+@F.arrow_udf(StructType([StructField("key", BinaryType()), StructField("items", ArrayType(LongType()))]))
 def full_set(texts: pa.Array) -> pa.Array:
-    return pa.array([shingle_set(t).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+    sets = [shingle_set(t) for t in texts.to_pylist()]
+    keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+    return pa.StructArray.from_arrays([keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "items"])
 
 
 def _signs(signatures: pd.Series, count: int) -> np.ndarray:
@@ -83,29 +85,37 @@ def least_equal(count: int, percent: int, margin: float) -> float:
     return count * p - margin * np.sqrt(count * p * (1 - p))
 
 
-def _plausible(count: int, percent: int, margin: float):
-    """From rows of whole blocks, the pairs of a probe (side 0) and another document of its block that may be similar."""
+def _block_links(count: int, percent: int, margin: float):
+    """Links between documents of different components in pairs of blocks ``a, b``; ``side`` tells the blocks apart."""
     least = least_equal(count, percent, margin)
 
+    def confirmed(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        """Which sets reach the threshold with the first one; sets are sorted."""
+        sizes = np.array([len(x) for x in others])
+        every = np.concatenate(others)
+        at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+        common = np.add.reduceat((one[at] == every).astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
+        return common * 100 >= (len(one) + sizes - common) * percent
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["bucket", "i", "j", "side"], kind="stable")
-        key = rows[["bucket", "i", "j"]].to_numpy()
-        side, n, rep, component = (rows[c].to_numpy() for c in ("side", "n", "rep", "component"))
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(rows) else []
         found = [np.empty((0, 2), np.int64)]
-        for start, end in zip(starts, [*starts[1:], len(rows)]):
-            middle = start + int(np.searchsorted(side[start:end], 1))
-            if middle in (start, end):
+        for (a, b), part in rows.groupby(["a", "b"], sort=False):
+            left = part[part["side"] == 0]
+            right = left if a == b else part[part["side"] == 1]
+            if not len(left) or not len(right):
                 continue
-            others = _signs(rows["signature"].iloc[middle:end], count).T
-            for at in range(start, middle, 512):
-                to = min(at + 512, middle)
-                equal = (count + _signs(rows["signature"].iloc[at:to], count) @ others) / 4
-                x, y = n[at:to, None], n[None, middle:end]
-                fits = (equal >= least) & (np.minimum(x, y) * 100 >= np.maximum(x, y) * percent)
-                i, j = np.nonzero(fits & (component[at:to, None] != component[None, middle:end]))
-                found.append(np.sort(np.stack([rep[at + i], rep[middle + j]], axis=1), axis=1))
-        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+            sets = [x.view(np.uint64) for x in right["items"]]
+            other = _signs(right["signature"], count).T
+            n, rep, component = (right[c].to_numpy() for c in ("n", "rep", "component"))
+            equal = (count + _signs(left["signature"], count) @ other) / 4
+            x = left["n"].to_numpy()[:, None]
+            fits = (equal >= least) & (np.minimum(x, n) * 100 >= np.maximum(x, n) * percent) & (left["component"].to_numpy()[:, None] != component)
+            for i, items in enumerate(left["items"]):
+                j = np.flatnonzero(fits[i])
+                if len(j):
+                    j = j[confirmed(items.view(np.uint64), [sets[k] for k in j])]
+                    found.append(np.stack([np.full(len(j), left["rep"].iloc[i]), rep[j]], axis=1))
+        return pd.DataFrame(np.unique(np.sort(np.concatenate(found), axis=1), axis=0), columns=["a", "b"])
 
     return run
 
@@ -114,20 +124,11 @@ def _similar(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The edges ``a, b`` whose full sets reach the threshold."""
     left = sets.select(F.col("rep").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
-    both = edges.join(left, "a").join(right, "b")
+    both = edges.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
 
 
-def _sets_of(texts: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Full sets of the documents that occur in edges, without those already ``known``."""
-    wanted = edges.select(F.col("a").alias("w")).union(edges.select("b")).distinct()
-    if known is not None:
-        wanted = wanted.join(known.select(F.col("rep").alias("w")), "w", "left_anti")
-    chosen = texts.join(wanted, F.col("doc_id") == F.col("w"), "left_semi")
-    return cut_lineage(chosen.select(F.col("doc_id").alias("rep"), full_set(F.col("text")).alias("items")))
-
-
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, margin: float = MARGIN, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs`` (``doc_id, text``; other columns are ignored).
 
@@ -135,7 +136,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     a shorter text is one shingle). The component is the smallest doc_id that links lead to. Null, empty and blank texts
     have no shingle and link with nothing; rows without doc_id have no component. Where a doc_id is
     repeated, each row has the component of its own text. An empty table gives an empty result. No cap on partners: whatever shares
-    a band is compared, by signature in blocks of bounded size, and what the signature cannot rule out by full sets.
+    a band is compared, in blocks of bounded size, by signature and, where that cannot rule a link out, by full sets.
     """
     count = bands * rows
     least = float(least_equal(count, percent, margin))
@@ -143,49 +144,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     marks = cut_lineage(base.select("doc_id", sketch(bands, rows)(F.col("text")).alias("s")).select("doc_id", "s.*"))
     some = marks.where("n > 0 AND doc_id IS NOT NULL")
     classes = cut_lineage(some.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    reps = some.join(classes, (F.col("doc_id") == F.col("rep")) & (some["set_key"] == classes["set_key"])).select("rep", "n", "bands", "signature")
-    reps = cut_lineage(reps)
+    own = (F.col("doc_id") == F.col("rep")) & (some["set_key"] == classes["set_key"])
+    reps = cut_lineage(some.join(classes.hint("merge"), own).select("rep", "n", some["set_key"], "bands", "signature"))
     filed = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = filed.groupBy(F.col("bucket").alias("k")).agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("k", "first")
-    member = cut_lineage(filed.join(shared, F.col("bucket") == F.col("k")).select("bucket", "rep", "first"))
-    sign = cut_lineage(reps.select("rep", "n", "signature").join(member.select(F.col("rep").alias("w")), F.col("rep") == F.col("w"), "left_semi"))
+    member = cut_lineage(filed.join(shared.hint("merge"), F.col("bucket") == F.col("k")).select("bucket", "rep", "first"))
+    # The sets of all documents that share a bucket. The join is a merge join at every size: texts move once.
+    sign = reps.join(member.select(F.col("rep").alias("w")).distinct(), F.col("rep") == F.col("w"), "left_semi").select("rep", "n", "set_key", "signature")
+    sets = base.join(sign.hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "n", "set_key", "signature", full_set(F.col("text")).alias("s"))
+    sets = cut_lineage(sets.where("set_key = s.key").select("rep", "n", "signature", "s.items"))
+    drop_cut(reps)
 
     star = member.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    one = sign.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
-    two = sign.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
+    one = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
+    two = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     tested = cut_lineage(star.join(one, "a").join(two, "b").where(fits & (equal_minima(count)(F.col("s_a"), F.col("s_b")) >= least)).select("a", "b"))
-    sets = _sets_of(base, tested)
-    links = cut_lineage(_similar(tested, sets, percent))
+    links = _similar(tested, sets, percent)
     first = cut_lineage(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
-    # Buckets that still hold several components; the largest of them faces all others, which face each other too.
-    placed = member.join(first, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    placed = cut_lineage(placed)
-    drop_cut(member)
-    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    parts = parts.groupBy(F.col("bucket").alias("k")).agg(
-        F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("main_size"), F.sum("size").alias("total"), F.count("*").alias("n_parts")
-    )
-    open_ones = parts.where("n_parts > 1").select(
-        "k", "main", F.ceil((F.col("total") - F.col("main_size")) / block).alias("n_probe"), F.ceil(F.col("total") / block).alias("n_other")
-    )
-    rest = placed.join(open_ones, F.col("bucket") == F.col("k")).join(sign.withColumnRenamed("rep", "w"), F.col("rep") == F.col("w"))
-    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
-    keep = ["bucket", "rep", "component", "n", "signature"]
-    as_probe = rest.where("component <> main").select(*keep, F.lit(0).alias("side"), place("n_probe").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_other") - 1)).alias("j"))
-    as_other = rest.select(*keep, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_probe") - 1)).alias("i"), place("n_other").alias("j"))
-    facing = as_probe.union(as_other)
-    groups = 1 + (open_ones.agg(F.sum(F.col("n_other") * F.col("n_probe"))).first()[0] or 0) // BUCKETS_AT_ONCE
-    facing = facing.withColumn("g", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)))
-    again = facing.groupBy("g").applyInPandas(_plausible(count, percent, margin), "a bigint, b bigint").distinct()
-    again = cut_lineage(again.join(tested, ["a", "b"], "left_anti"))
-    more = _sets_of(base, again, known=sets)
-    late = cut_lineage(_similar(again, sets.union(more), percent))
+    late = cut_lineage(_late_links(member, sets, first, count, percent, margin, block))
     named = lambda c, n: late.join(first, F.col(c) == F.col("node"), "left").select("a", "b", F.coalesce("component", c).alias(n))
-    joined = named("a", "u").join(named("b", "v"), ["a", "b"]).select("u", "v")
-    second = cut_lineage(connected(joined))
-    for table in (reps, placed, sign, sets, more, again, tested, links, late):
+    second = cut_lineage(connected(named("a", "u").join(named("b", "v"), ["a", "b"]).select("u", "v")))
+    for table in (member, sets, tested, late):
         drop_cut(table)
     step = first.select(F.col("node").alias("f_node"), F.col("component").alias("f_component"))
     known = classes.join(step, F.col("rep") == F.col("f_node"), "left").select("set_key", F.coalesce("f_component", "rep").alias("c"))
@@ -194,6 +175,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def _late_links(member: DataFrame, sets: DataFrame, first: DataFrame, count: int, percent: int, margin: float, block: int) -> DataFrame:
+    """Links that the comparison with each bucket's smallest document has missed.
+
+    Only buckets that hold several components matter. Their documents are put into blocks by the smallest document that a
+    chain of two buckets leads to, a large group into several blocks; block pairs that meet in such a bucket are compared.
+    """
+    placed = member.join(first, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "first", F.coalesce("component", "rep").alias("component"))
+    open_ones = placed.groupBy(F.col("bucket").alias("k")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("k")
+    rest = cut_lineage(placed.join(open_ones, F.col("bucket") == F.col("k")).select("bucket", "rep", "first", "component"))
+    homes = rest.groupBy("rep", "component").agg(F.min("first").alias("home"))
+    jump = homes.select(F.col("rep").alias("j_rep"), F.col("home").alias("j_home")).distinct()
+    homes = homes.join(jump, F.col("home") == F.col("j_rep"), "left").select("rep", "component", F.coalesce("j_home", "home").alias("home"))
+    split = homes.groupBy(F.col("home").alias("h")).agg(F.ceil(F.count("*") / block).alias("parts"))
+    where = F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    blocks = cut_lineage(homes.join(split, F.col("home") == F.col("h")).select("rep", "component", where.alias("block")))
+    # Most buckets of a group hold the same blocks, so only distinct lists of blocks are unfolded to pairs.
+    lists = rest.select("bucket", "rep").join(blocks.select("rep", "block"), "rep").groupBy("bucket").agg(F.array_sort(F.collect_set("block")).alias("x")).select("x").distinct()
+    pairs = lists.select("x", F.explode("x").alias("a")).select("a", F.explode("x").alias("b")).where("a <= b").distinct()
+    pairs = cut_lineage(pairs)
+    full = blocks.join(sets, "rep").select("rep", "component", "block", "n", "signature", "items")
+    facing = full.join(pairs, F.col("block") == F.col("a")).withColumn("side", F.lit(0))
+    facing = facing.union(full.join(pairs.where("a < b"), F.col("block") == F.col("b")).withColumn("side", F.lit(1)))
+    groups = 1 + pairs.count() // PAIRS_AT_ONCE
+    return facing.withColumn("g", F.pmod(F.xxhash64("a", "b"), F.lit(groups))).groupBy("g").applyInPandas(_block_links(count, percent, margin), "a bigint, b bigint").distinct()
+
+
 def equal_minima(count: int) -> Column:
     """How many two-bit minima two signatures share."""
 

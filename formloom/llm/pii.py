@@ -103,8 +103,10 @@ def span_features(text: str, a: int, b: int) -> list[str] | None:
     longest = max((m.end() - m.start() for m in re.finditer(r"\w+", s)), default=0)
     if "@" not in s and len(digits) < 7 and not (dots >= 3 and len(digits) >= 4) and longest < 16:
         return None
-    before, after = text[max(0, a - 14) : a], text[b : b + 1]
     letters = sum(c.isalpha() for c in s)
+    if letters and any(c.isspace() for c in s):
+        return None
+    before, after = text[max(0, a - 14) : a], text[b : b + 1]
     shape = "".join(sorted({c for c in s if not c.isalnum()}))[:6]
     out = ["bias", f"n={min(len(digits), 20)}", f"shape={shape}", f"letters={min(letters, 3)}", f"dots={min(dots, 5)}", f"l={min(int(math.log2(len(s))), 7)}"]
     out.append(f"next={after if after and not after.isalnum() else 'w' * bool(after)}")
@@ -243,7 +245,7 @@ def silver(text: str) -> list[Span]:
 
 def fit(texts: list[str], epochs: int = 6) -> Field:
     """Trains on texts of one or few islands each. Without texts the field finds nothing."""
-    field, examples = Field({}), []
+    field, examples = Field({"bias": np.full(len(KINDS), -2.0)}), []  # what was never seen is no entity
     for text in texts:
         labels = silver(text)
         for start, end in islands(text):
