@@ -11,7 +11,7 @@ from formloom.operators import grid as g
 from formloom.operators import match as m
 from formloom.operators.grid import KEYS, POS
 from formloom.operators.spatial import RECT, flag_overlap, overlap_join
-from formloom.session import cut_lineage
+from formloom.session import cut_lineage, drop_cut
 
 PAD = {"left": 2, "right": 2, "top": 1, "bottom": 1}
 RISK_FLAGS = ("label_area", "duplicate_pattern", "template_inconsistency", "high_risk_pattern", "special_char_anomaly")
@@ -131,7 +131,7 @@ def programmatic_flags(candidates: DataFrame, duplicate_regions: DataFrame, bad_
     return c.withColumn("flags", F.array_compact(flags)).drop("_dup", "_bad")
 
 
-def propagate_forward(items: DataFrame, max_passes: int = 200) -> DataFrame:
+def propagate_forward(items: DataFrame) -> DataFrame:
     """Keys and positions of items that are fine because an earlier fine item overlaps them.
 
     items: POS, rectangle, ``base_ok``, ``hard``. Overlap edges run from earlier to later row-major position and never touch
@@ -145,7 +145,7 @@ def propagate_forward(items: DataFrame, max_passes: int = 200) -> DataFrame:
     base = cut_lineage(soft.filter("base_ok").select(*POS))
     reached, front = base, base
     hits = None
-    for _ in range(max_passes):
+    while True:
         f = front.select(*KEYS, F.col("row").alias("i_row"), F.col("col").alias("i_col"))
         step = e.join(f, [*KEYS, "i_row", "i_col"], "left_semi").select(*POS).distinct()
         hits = step if hits is None else hits.unionByName(step)
@@ -153,7 +153,6 @@ def propagate_forward(items: DataFrame, max_passes: int = 200) -> DataFrame:
         if front.isEmpty():
             return hits.distinct()
         reached = reached.unionByName(front)
-    raise RuntimeError(f"correctness still spreading after {max_passes} passes")
 
 
 def assess(
@@ -221,28 +220,36 @@ def _fold_corners(d: DataFrame, keys: list[str]) -> DataFrame:
     return d
 
 
-def merge_touching_regions(rects: DataFrame, keys: list[str] = KEYS, max_passes: int = 60) -> DataFrame:
+def merge_touching_regions(rects: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Final boxes after replacing touching rectangles by their bounding box until none touch.
 
     Whatever contains two touching boxes touches both, so every merge is forced and the result does not depend on order.
-    Each pass grows every box to the box of its neighbours, which doubles the reach: passes follow the logarithm of the
-    longest chain. When no box changes, none touches another one.
+    Each pass grows the boxes that changed to the box of their neighbours, which doubles the reach: passes follow the
+    logarithm of the longest chain. Settled boxes are only looked up; those inside a grown box go. It ends when no box grows.
     """
-    d = cut_lineage(_fold_corners(rects.select(*keys, *RECT).distinct(), keys))
-    for _ in range(max_passes):
-        near = overlap_join(d, d, keys, grow=1).groupBy(*keys, *RECT).agg(
+    active = cut_lineage(_fold_corners(rects.select(*keys, *RECT).distinct(), keys))
+    settled = None
+    while True:
+        others = active if settled is None else active.unionByName(settled)
+        near = overlap_join(active, others, keys, grow=1).groupBy(*keys, *RECT).agg(
             F.min("o_r0").alias("n_r0"), F.min("o_c0").alias("n_c0"), F.max("o_r1").alias("n_r1"), F.max("o_c1").alias("n_c1")
         )
         same = F.lit(True)
         for c in RECT:
             same = same & (F.col(c) == F.col("n_" + c))
-        near = cut_lineage(near.select(*keys, *[F.col("n_" + c) for c in RECT], (~same).alias("_moved")))
-        moved = not near.filter("_moved").isEmpty()
-        d = near.select(*keys, *[F.col("n_" + c).alias(c) for c in RECT]).distinct()
-        if not moved:
-            return d
-        d = cut_lineage(_fold_corners(d, keys))
-    raise RuntimeError(f"regions still merging after {max_passes} passes")
+        near = cut_lineage(near.select(*keys, *[F.col("n_" + c).alias(c) for c in RECT], (~same).alias("_moved")))
+        still = near.filter("not _moved").drop("_moved")
+        if near.filter("_moved").isEmpty():
+            return (still if settled is None else still.unionByName(settled)).distinct()
+        grown = cut_lineage(_fold_corners(near.filter("_moved").drop("_moved").distinct(), keys))
+        rest = still if settled is None else still.unionByName(settled)
+        inside = (F.col("r0") >= F.col("o_r0")) & (F.col("c0") >= F.col("o_c0")) & (F.col("r1") <= F.col("o_r1")) & (F.col("c1") <= F.col("o_c1"))
+        eaten = overlap_join(rest.distinct(), grown, keys).filter(inside).select(*keys, *RECT).distinct()
+        settled, old = cut_lineage(rest.distinct().join(eaten, [*keys, *RECT], "left_anti")), (active, settled, near)
+        active = grown
+        for table in old:
+            if table is not None:
+                drop_cut(table)
 
 
 def patch_jobs(targets: DataFrame, merges: DataFrame, used: DataFrame, pad: dict[str, int] = PAD) -> DataFrame:

@@ -247,8 +247,8 @@ def guarded_write_candidates(sources: DataFrame, avoid: DataFrame) -> DataFrame:
 
     sources: REGION, range, max_span. avoid: REGION, range.
     """
-    cells = sources.select(*REGION, "max_span", F.explode(rg.expand_limited(F.col("range"), 12)).alias("p"), F.size(rg.expand_limited(F.col("range"), 12)).alias("n"))
-    cells = cells.filter(F.col("n") <= F.col("max_span")).select(*REGION, "p.row", "p.col").distinct()
+    cells = sources.select(*REGION, F.explode(rg.expand_limited(F.col("range"), F.col("max_span"))).alias("p"))
+    cells = cells.select(*REGION, "p.row", "p.col").distinct()
     bad = avoid.select(*REGION, F.inline(rg.parse_list(F.col("range"))))
     c = g.as_rects(cells)
     hit = overlapping(c, bad, REGION)

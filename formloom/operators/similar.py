@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formloom.functions import text as tx
+from formloom.functions.ranges import let
 
 GRAM_SIZES = (4, 6, 9, 14, 24)
 # Fixed value: letters by falling frequency; later ones make rarer blocks.
 COMMON_FIRST = " etaoinshrdlucmfwypvbgkqjxz0123456789"
-LONG = 200
 
 
 def _rarity(s: Column) -> Column:
@@ -68,10 +68,22 @@ def _contain_keys(norm: Column, left: bool, sizes: tuple[int, ...]) -> Column:
 
 
 def _occurrences(items: Column) -> Column:
-    """Marks repeats (x#1, x#2), so that set intersection counts like multiset intersection."""
-    return F.transform(
-        items, lambda x, i: F.concat(x, F.lit("#"), F.size(F.filter(F.slice(items, F.lit(1), i + 1), lambda y: y == x)).cast("string"))
-    )
+    """Numbers repeats (x#1, x#2), so that set intersection counts like multiset intersection.
+
+    Equal items lie together after sorting, so each run is numbered from its first place; the order of items is not kept.
+    """
+
+    def runs(ordered: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        numbered = lambda starts: F.transform(
+            starts,
+            lambda p, j: F.transform(
+                F.sequence(F.lit(1), F.coalesce(F.get(starts, j + 1), F.size(ordered)) - p), lambda k: F.concat(F.get(ordered, p), F.lit("#"), k.cast("string"))
+            ),
+        )
+        return F.when(F.size(ordered) == 0, F.array().cast("array<string>")).otherwise(F.flatten(let(places, numbered)))
+
+    return let(F.sort_array(items), runs)
 
 
 def _ratio_keys(norm: Column, t: float) -> Column:
@@ -83,15 +95,14 @@ def _ratio_keys(norm: Column, t: float) -> Column:
     need_chars = F.ceil(s_min * (t / 2) - 1e-9)
     by_char = _tagged("c:", _prefix(_occurrences(chars), (n - need_chars + 1).cast("int")))
     if gain <= 0:
-        return F.when(n > LONG, _tagged("c:", F.transform(F.array_distinct(chars), lambda c: F.concat(c, F.lit("#1"))))).otherwise(by_char)
+        return by_char
     # Texts so short that a partner need not share a bigram, and everything such a text can pair with.
     short = max(k for k in range(1, 400) if k + math.ceil(k * t / (2 - t) - 1e-9) < 2 / gain) if gain < 0.9 else 0
     reach = math.floor(short * (2 - t) / t)
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: norm.substr(i, F.lit(2)))
     need = F.ceil(s_min * gain - 1 - 1e-9)
     by_gram = F.when(need >= 1, _tagged("b:", _prefix(_occurrences(grams), (n - 1 - need + 1).cast("int")))).otherwise(none)
-    long_grams = _tagged("b:", F.transform(F.array_distinct(grams), lambda g: F.concat(g, F.lit("#1"))))
-    return F.concat(F.when(n > LONG, long_grams).otherwise(by_gram), F.when(n <= reach, by_char).otherwise(none))
+    return F.concat(by_gram, F.when(n <= reach, by_char).otherwise(none))
 
 
 def _meet(left: DataFrame, right: DataFrame, keys: list[str], left_blocks: Column, right_blocks: Column) -> DataFrame:

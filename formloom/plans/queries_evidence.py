@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from formloom.functions import lines as ln
+from formloom.functions import trees as tr
 from formloom.functions import text as tx
 from formloom.operators import evidence as ev
 from formloom.operators import grid as g
@@ -157,22 +158,25 @@ def _(t):
 TREES = """SELECT event_id, '{{"id": ' || CAST(event_id AS STRING) || ', "a": {{"b": [' || CAST(user_id AS STRING) || ', "' || event_type || '"], "evidence": "skip"}}, "z": ' || props || ', "n": null, "zero": 0}}' AS raw FROM {events}"""
 
 
-@query("f13_tree_normalize")
+@query(
+    "f13_tree_normalize",
+    """SELECT event_id, '{"id": "' || event_id || '", "a": {"b": ["' || user_id || '", "' || event_type || '"], "evidence": "skip"}, "z": {"k": "' || json_extract_string(props, '$.k') || '"}, "n": null, "zero": "0"}' AS tree FROM events""",
+)
 def _(t):
-    d = t.sql(TREES).select("event_id", ln.tree_facts(F.col("raw")).alias("f"))
-    return d.select("event_id", "f.tree")
+    return t.sql(TREES).select("event_id", tr.tree_normalize(F.col("raw")).alias("tree"))
 
 
 @query("f14_flatten_text", "SELECT event_id, CASE WHEN event_id = 0 THEN '' ELSE event_id || chr(10) END || CASE WHEN user_id = 0 THEN '' ELSE user_id || chr(10) END || event_type || CASE WHEN json_extract_string(props, '$.k') = '0' THEN '' ELSE chr(10) || json_extract_string(props, '$.k') END AS flat FROM events")
 def _(t):
-    d = t.sql(TREES).select("event_id", ln.tree_facts(F.col("raw")).alias("f"))
-    return d.select("event_id", "f.flat")
+    return t.sql(TREES).select("event_id", tr.flatten_text(F.col("raw")).alias("flat"))
+
+
+NESTED = """SELECT event_id, '[{{"a": "] [" , "b": ' || repeat('[', CAST(event_id % 7 AS INT)) || IF(event_id % 3 = 0, '', '1') || repeat(']', CAST(event_id % 7 AS INT)) || IF(event_id % 7 = 0 AND event_id % 3 = 0, '0', '') || '}}, {{}}]' AS raw FROM {events}"""
 
 
-@query("f15_tree_depth", "SELECT event_id, 3 AS depth FROM events")
+@query("f15_tree_depth", "SELECT event_id, CAST(2 + event_id % 7 - CASE WHEN event_id % 3 = 0 AND event_id % 7 > 0 THEN 1 ELSE 0 END AS INT) AS depth, 2 AS record_count FROM events")
 def _(t):
-    d = t.sql(TREES).select("event_id", ln.tree_facts(F.col("raw")).alias("f"))
-    return d.select("event_id", "f.depth")
+    return t.sql(NESTED).select("event_id", tr.tree_depth(F.col("raw")).alias("depth"), tr.record_count(F.col("raw")).alias("record_count"))
 
 
 def feature_docs(t):
