@@ -164,7 +164,7 @@ def _(t):
 FLAG_TEXT = "array_to_string(list_filter([CASE WHEN f_dup THEN 'duplicate_pattern' END, CASE WHEN edited_label_cell THEN 'label_area' END, CASE WHEN f_bad THEN 'screenshot_bad_range_hit' END], lambda x: x IS NOT NULL), ',')"
 
 
-@query("e7_programmatic_flags", WITH + CTES_FLAG + f" SELECT wb_id, sheet, label_cell, {FLAG_TEXT} AS flags FROM flagged")
+@query("e7_programmatic_flags", (WITH + CTES_FLAG).replace(" AS (SELECT", " AS MATERIALIZED (SELECT") + f" SELECT wb_id, sheet, label_cell, {FLAG_TEXT} AS flags FROM flagged")
 def _(t):
     used, box = _box(t)
     d = a.programmatic_flags(_cands(t), a.duplicate_risk_regions(t.saved("cells_f"), t.saved("merges"), box, used), t.bad_ranges)

@@ -90,10 +90,10 @@ def _(t):
     return paths(t).select("page_id", F.inline(F.array(rd.input_plan(F.col("path"))))).drop("converter")
 
 
-@query("a8_read_delimited", "SELECT p_partkey AS doc_id, unnest([1, 2, 3]) AS row, unnest([p_name || '|a,\"b|', 'x', p_type || '|']) AS cells FROM part")
+@query("a8_read_delimited", "SELECT p_partkey AS doc_id, unnest([1, 2, 3]) AS row, unnest([p_name || '|a,\"b' || chr(10) || 'c|', 'x', p_type || '|']) AS cells FROM part")
 def _(t):
     sep = F.when(F.col("p_partkey") % 2 == 0, "\t").otherwise(",")
-    text = F.concat(F.col("p_name"), sep, F.lit('"a,""b"'), sep, F.lit("\nx\n"), F.col("p_type"), sep)
+    text = F.concat(F.col("p_name"), sep, F.lit('"a,""b\nc"'), sep, F.lit("\nx\r\n"), F.col("p_type"), sep)
     d = t.part.select(F.col("p_partkey").alias("doc_id"), F.when(F.col("p_partkey") % 2 == 0, "f.tsv").otherwise("f.csv").alias("path"), text.alias("text"))
     return rd.parse_delimited(d).select("doc_id", "row", F.array_join("cells", "|").alias("cells"))
 
@@ -134,12 +134,6 @@ def _(t):
     return rd.densify_tables(d).select("doc_id", "table_idx", "row", F.array_join("cells", "|").alias("cells"))
 
 
-@query("a13_discover_inputs", "SELECT t.name AS \"table\", 'parquet' AS suffix FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')) t(name)")
-def _(t):
-    d = rd.discover_inputs(t.spark, t.sf_dir, "*.parquet")
-    return d.select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("table"), "suffix")
-
-
 @query(
     "a14_build_bundle",
     "WITH s AS (SELECT case_id, doc_id, length(text) + length(CAST(doc_id AS VARCHAR)) + 21 + len(string_split(text, chr(10))) - 1 + 1 AS n FROM <<kv_texts>>) SELECT case_id, count(*) AS n_docs, sum(n) - 1 > 3000 AS truncated, CAST(CASE WHEN sum(n) - 1 > 3000 THEN 3000 + 15 ELSE sum(n) - 1 END AS INT) AS n_chars FROM s GROUP BY 1",

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from formloom.functions import text as tx
 from formloom.functions.ranges import let
@@ -129,16 +131,24 @@ def input_plan(path: Column) -> Column:
     return F.struct(F.coalesce(pick(0), F.lit("unsupported")).alias("kind"), pick(1).alias("converter"), F.coalesce(pick(1) != "passthrough", F.lit(False)).alias("needs_conversion"), pick(0).isNotNull().alias("supported"))
 
 
-def parse_delimited(docs: DataFrame, n: int | None = 200) -> DataFrame:
-    """Records of CSV or TSV texts as arrays, ragged rows allowed. docs: doc_id, path, text."""
-    lines = tx.split_lines(F.col("text"))
-    lines = F.slice(lines, 1, n) if n else lines
-    d = docs.select("doc_id", suffix(F.col("path")).alias("s"), F.posexplode(lines).alias("row", "line"))
-    # Fields are quoted ones or runs without the separator; an empty line is one empty field.
-    pick = lambda sep: F.regexp_extract_all(F.concat(F.lit(sep), F.col("line")), F.lit(rf'{sep}("(?:[^"]|"")*"|[^{sep}]*)'), F.lit(1))
-    cells = F.when(F.col("s") == "tsv", pick("\t")).otherwise(pick(","))
-    clean = F.transform(cells, lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.length(c) >= 2), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
-    return d.select("doc_id", (F.col("row") + 1).alias("row"), clean.alias("cells"))
+def parse_delimited(docs: DataFrame, n: int | None = None) -> DataFrame:
+    """Records of CSV or TSV texts as arrays, ragged rows allowed. docs: doc_id, path, text.
+
+    A quoted field may hold separators, doubled quotes and line breaks. An empty line is one empty field; a break at the
+    very end opens no further record. ``n`` keeps the first records only.
+    """
+    text = F.regexp_replace("text", "\r\n?", "\n")
+
+    def records(sep: str) -> Column:
+        field = rf'(?:"(?:[^"]++|"")*+"[^{sep}\n]*|[^{sep}\n]*)'
+        found = F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(rf"\n({field}(?:{sep}{field})*)"), F.lit(1))
+        found = F.when((F.size(found) > 1) & text.endswith("\n"), F.slice(found, 1, F.size(found) - 1)).otherwise(found)
+        return F.transform(F.slice(found, 1, n) if n else found, lambda r: F.regexp_extract_all(F.concat(F.lit(sep), r), F.lit(rf"{sep}({field})"), F.lit(1)))
+
+    rows = F.when(suffix(F.col("path")) == "tsv", records("\t")).otherwise(records(","))
+    quoted = lambda c: c.startswith('"') & c.endswith('"') & (F.length(c) >= 2)
+    clean = lambda c: F.when(quoted(c), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    return docs.select("doc_id", F.posexplode(rows).alias("row", "cells")).select("doc_id", (F.col("row") + 1).alias("row"), F.transform("cells", clean).alias("cells"))
 
 
 def parse_structured(docs: DataFrame) -> DataFrame:
@@ -152,11 +162,25 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataF
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 
 
+@F.pandas_udf(StringType())
+def _gb18030(content: pd.Series) -> pd.Series:
+    """Text of GB18030 bytes, null where they are none; Spark decodes this charset only under a legacy setting."""
+
+    def read(raw):
+        try:
+            return None if raw is None else bytes(raw).decode("gb18030")
+        except UnicodeDecodeError:
+            return None
+
+    return content.map(read)
+
+
 def decode_text(content: Column) -> Column:
-    """UTF-8 where valid, else Latin-1; a byte-order mark is dropped. ``latin1`` marks the second kind."""
+    """UTF-8 where valid, else GB18030 where valid, else Latin-1, which ``latin1`` marks; a byte-order mark is dropped."""
     ok = F.is_valid_utf8(content.cast("string"))
-    text = F.when(ok, content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
-    return F.struct(F.regexp_replace(text, "^\\x{FEFF}", "").alias("text"), (~ok).alias("latin1"))
+    chinese = _gb18030(F.when(~ok, content))
+    text = F.when(ok, content.cast("string")).otherwise(F.coalesce(chinese, F.decode(content, "ISO-8859-1")))
+    return F.struct(F.regexp_replace(text, "^\\x{FEFF}", "").alias("text"), (~ok & chinese.isNull()).alias("latin1"))
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -184,7 +208,7 @@ def densify_tables(tcells: DataFrame) -> DataFrame:
     return full.select(*by, "row", cells.alias("cells"))
 
 
-def build_bundle(sources: DataFrame, max_chars: int = 24000) -> DataFrame:
+def build_bundle(sources: DataFrame, max_chars: int) -> DataFrame:
     """One row per case: how many files, and the evidence text cut at ``max_chars`` with a marker.
 
     sources: case_id, doc_id, text. Running lengths come from per-file lengths, and only files that start before the cut are
@@ -198,5 +222,5 @@ def build_bundle(sources: DataFrame, max_chars: int = 24000) -> DataFrame:
     head = head.withColumn("before", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).filter(F.col("before") < max_chars)
     body = head.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "part"))), lambda x: x["part"]), "\n").alias("t"))
     cut = F.col("n_chars") - 1 > max_chars
-    text = F.when(cut, F.concat(F.substring("t", 1, max_chars), F.lit("\n...[truncated]"))).otherwise(F.col("t"))
+    text = F.when(cut, F.concat(F.substring("t", 1, max_chars), F.lit("\n...<truncated>"))).otherwise(F.col("t"))
     return total.join(body, "case_id").select("case_id", "n_docs", cut.alias("truncated"), text.alias("instruction"))
