@@ -8,6 +8,8 @@ signature cannot rule out on the full sets. Only confirmed links leave the task,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,7 +31,9 @@ MARGIN = 5.0
 #: Documents of a block, about.
 BLOCK = 512
 #: Pairs of blocks that one call gets on average; most blocks have a few documents.
-PAIRS_AT_ONCE = 8
+PAIRS_AT_ONCE = 4
+#: Documents whose sets a worker holds at once.
+SLICE = 512
 
 
 def _signature(minima: np.ndarray) -> list[bytes]:
@@ -43,33 +47,49 @@ def sketch(bands: int, rows: int) -> Column:
     """From a text: ``n`` (its shingles), ``set_key`` (equal for equal sets), ``bands`` and ``signature``; null without shingles."""
     kind = "struct<n:bigint,set_key:binary,bands:array<bigint>,signature:binary>"
 
-    @F.arrow_udf(kind)
-    def run(texts: pa.Array) -> pa.Array:
-        minima = Minima(bands * rows)
-        sets = [shingle_set(t) for t in texts.to_pylist()]
+    minima = Minima(bands * rows)
+
+    def some(texts: list) -> pa.Array:
+        sets = [shingle_set(t) for t in texts]
         full = [i for i, s in enumerate(sets) if len(s)]
         m = minima.of([sets[i] for i in full]) if full else np.empty((0, bands * rows), np.uint64)
         keys: list = [None] * len(sets)
         band: list = [None] * len(sets)
         sign: list = [None] * len(sets)
-        by_band = np.ascontiguousarray(m.reshape(len(full), bands, rows))
-        for i, x, s in zip(full, by_band, _signature(m)):
+        for i, x, s in zip(full, m.reshape(len(full), bands, rows), _signature(m)):
             keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
             band[i] = np.array([xxhash.xxh3_64_intdigest(x[k].tobytes(), k) for k in range(bands)], np.uint64).view(np.int64)
             sign[i] = s
         columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sign, pa.binary())]
         return pa.StructArray.from_arrays(columns, ["n", "set_key", "bands", "signature"])
 
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        return by_slices(some, texts)
+
     return run
 
 
-@F.arrow_udf(StructType([StructField("key", BinaryType()), StructField("items", ArrayType(LongType()))]))
-def full_set(texts: pa.Array) -> pa.Array:
-    sets = [shingle_set(t) for t in texts.to_pylist()]
+def by_slices(work: Callable[[list], pa.Array], texts: pa.Array) -> pa.Array:
+    """A batch's result, a slice at a time, so that a worker holds the sets of few documents."""
+    return pa.concat_arrays([work(texts.slice(k, SLICE).to_pylist()) for k in range(0, max(len(texts), 1), SLICE)])
+
+
+def _full_sets(texts: list) -> pa.Array:
+    sets = [shingle_set(t) for t in texts]
     keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
     return pa.StructArray.from_arrays([keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "items"])
 
 
+@F.arrow_udf(StructType([StructField("key", BinaryType()), StructField("items", ArrayType(LongType()))]))
+def _full_set(texts: pa.Array) -> pa.Array:
+    return by_slices(_full_sets, texts)
+
+
+#: Marked so that no filter on its result moves it below the join that selects the texts it is for.
+full_set = _full_set.asNondeterministic()
+
+
 def _signs(signatures: pd.Series, count: int) -> np.ndarray:
     """Signatures as rows of +1 and -1 whose inner product counts equal minima: each two-bit value by its three characters."""
     raw = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(signatures), -1)

@@ -7,8 +7,8 @@ import xxhash
 
 WIDTH = 5
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Words that a worker remembers before it starts anew, about 60 MB.
-REMEMBERED = 1 << 19
+#: Words that a worker remembers before it starts anew, about 50 MB.
+REMEMBERED = 1 << 18
 
 
 class WordHashes(dict):
