@@ -135,19 +135,19 @@ def object_semantics(v: Column) -> Column:
     )
 
 
-def list_of_records(tables: Column, n: int | None = 40, per_table: int = 20) -> Column:
+def list_of_records(tables: Column, n: int | None = None, per_table: int | None = None) -> Column:
     """Records of all tables of a document, keyed by each table's first row."""
 
     def one(t: Column) -> Column:
         head = F.transform(t[0], lambda c, i: F.when(tx.strip(c) != "", tx.strip(c)).otherwise(F.concat(F.lit("col_"), (i + 1).cast("string"))))
-        return F.transform(F.slice(t, 2, per_table), lambda r: F.transform(head, lambda k, i: F.struct(k.alias("key"), F.coalesce(F.get(r, i), F.lit("")).alias("value"))))
+        return F.transform(ln.head(F.slice(t, F.lit(2), F.size(t)), per_table), lambda r: F.transform(head, lambda k, i: F.struct(k.alias("key"), F.coalesce(F.get(r, i), F.lit("")).alias("value"))))
 
     out = F.flatten(F.transform(F.filter(tables, lambda t: F.size(t) > 0), lambda t: one(t)))
     return F.slice(out, 1, n) if n else out
 
 
-def table_blocks(tables: Column, n: int = 10) -> Column:
-    return F.slice(tables, 1, n)
+def table_blocks(tables: Column, n: int | None = None) -> Column:
+    return ln.head(tables, n)
 
 
 def hybrid_blocks(text: Column, tables: Column) -> Column:
@@ -159,7 +159,7 @@ def structure_by_route(docs: DataFrame) -> DataFrame:
     c = F.col
     recs = list_of_records(c("tables"))
     as_records = F.when(F.size(recs) > 0, F.to_json(F.struct(recs.alias("records")))).otherwise(F.to_json(F.struct(ln.text_records(c("text")).alias("records"))))
-    spans = F.to_json(F.struct(tx.trim_to(c("text"), 4000).alias("text_preview"), ln.text_evidence(c("text"), 40).alias("evidence_spans")))
+    spans = F.to_json(F.struct(ln.shown(c("text"), None).alias("text_preview"), ln.text_evidence(c("text")).alias("evidence_spans")))
     rep = c("representation")
     built = (
         F.when(rep == "flat_kv_pairs", F.to_json(F.struct(ln.flat_kv(c("text")).alias("pairs"))))
@@ -171,7 +171,7 @@ def structure_by_route(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "representation", built.alias("structured"))
 
 
-def sheet_previews(cells: DataFrame, sheets: int = 10, rows: int = 80, cols: int = 25) -> DataFrame:
+def sheet_previews(cells: DataFrame, sheets: int, rows: int, cols: int) -> DataFrame:
     """Top-left corner of the first sheets of each workbook as rows of text; the caps bound what is collected."""
     c = cells.filter((F.col("row") <= rows) & (F.col("col") <= cols) & F.col("value").isNotNull())
     first = top_rows(c.select("wb_id", "sheet").distinct(), ["wb_id"], ["sheet"], sheets)
@@ -197,14 +197,14 @@ def native_text_check(pages: DataFrame, min_chars: int = 40) -> DataFrame:
     ).withColumn("needs_ocr", ~F.col("is_native"))
 
 
-def ocr_page_tables(v: Column, rows: int = 50, cols: int = 20) -> Column:
-    """``rows`` lists of the tables and pages of a reply, cut to size."""
+def ocr_page_tables(v: Column, rows: int | None = None, cols: int | None = None) -> Column:
+    """``rows`` lists of the tables and pages of a reply, whole unless limits are given."""
     schema = "array<array<string>>"
     none = F.array().cast("array<array<array<string>>>")
     top = F.array(F.try_variant_get(v, "$.rows", schema))
     inner = lambda path: F.transform(F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>")), lambda x: F.try_variant_get(x, "$.rows", schema))
     found = F.array_compact(F.concat(top, inner("$.tables"), inner("$.pages")))
-    return F.coalesce(F.transform(found, lambda t: F.transform(F.slice(t, 1, rows), lambda r: F.slice(r, 1, cols))), none)
+    return F.coalesce(F.transform(found, lambda t: F.transform(ln.head(t, rows), lambda r: ln.head(r, cols))), none)
 
 
 def recommend_fields(docs: DataFrame, n: int | None = None) -> DataFrame:

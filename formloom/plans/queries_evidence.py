@@ -23,7 +23,7 @@ Q_LN = f"(SELECT doc_id, unnest({q_lines('text')}) AS line, generate_subscripts(
 
 @query(
     "f1_text_evidence",
-    f"SELECT doc_id, CAST(rn AS INT) AS pos, CASE WHEN length(x) > 220 THEN substring(x, 1, 217) || '...' ELSE x END AS span FROM (SELECT doc_id, {SQ.format('c')} AS x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n{{2,}}')) AS c, generate_subscripts(regexp_split_to_array(text, '\\n{{2,}}'), 1) AS i FROM {Q_MIX}) WHERE {TRIM.format('c')} <> '') WHERE rn <= 12",
+    f"SELECT doc_id, CAST(rn AS INT) AS pos, regexp_replace(x, '\\s+', ' ', 'g') AS span FROM (SELECT doc_id, {SQ.format('c')} AS x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n{{2,}}')) AS c, generate_subscripts(regexp_split_to_array(text, '\\n{{2,}}'), 1) AS i FROM {Q_MIX}) WHERE {TRIM.format('c')} <> '')",
 )
 def _(t):
     d = t.sql(MIX).select("doc_id", F.posexplode(ln.text_evidence(F.col("text"))).alias("pos", "span"))
@@ -31,27 +31,27 @@ def _(t):
 
 
 def part_rows(t):
-    """One small table per brand and size class, built from the part table: caps of the preview bound the rows kept."""
-    d = g.top_rows(t.part, ["p_brand"], ["p_partkey"], 30)
+    """One small table per brand and 200 part numbers, so that every part is in one and no table grows with the data."""
+    d = t.part.withColumn("blk", F.expr("p_partkey div 200"))
     row = F.array(F.when(F.col("p_size") % 7 == 0, "").otherwise(F.col("p_name")), F.col("p_type"), F.when(F.col("p_size") % 5 > 0, F.col("p_size").cast("string")).otherwise(""))
-    rows = d.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))).alias("x"))
+    rows = d.groupBy("p_brand", "blk").agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))).alias("x"))
     head = F.array(F.array(F.lit("Name"), F.lit("Type"), F.lit("")))
-    return rows.select("p_brand", F.concat(head, F.transform("x", lambda s: s["r"])).alias("rows"))
+    return rows.select("p_brand", "blk", F.concat(head, F.transform("x", lambda s: s["r"])).alias("rows"))
 
 
-Q_PART = """(SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS rn, CASE WHEN p_size % 7 = 0 THEN '' ELSE p_name END AS a, p_type AS b, CASE WHEN p_size % 5 > 0 THEN CAST(p_size AS VARCHAR) ELSE '' END AS c FROM part)"""
+Q_PART = """(SELECT p_brand, p_partkey // 200 AS blk, CAST(row_number() OVER (PARTITION BY p_brand, p_partkey // 200 ORDER BY p_partkey) AS INT) AS rn, CASE WHEN p_size % 7 = 0 THEN '' ELSE p_name END AS a, p_type AS b, CASE WHEN p_size % 5 > 0 THEN CAST(p_size AS VARCHAR) ELSE '' END AS c FROM part)"""
 
 
-@query("f2_table_evidence", f"SELECT p_brand, rn AS pos, a || '|' || b || '|' || c AS cells FROM {Q_PART} WHERE rn <= 9 UNION ALL SELECT DISTINCT p_brand, 0, 'Name|Type|' FROM part")
+@query("f2_table_evidence", f"SELECT p_brand, blk, rn AS pos, a || '|' || b || '|' || c AS cells FROM {Q_PART} UNION ALL SELECT DISTINCT p_brand, p_partkey // 200, 0, 'Name|Type|' FROM part")
 def _(t):
-    d = part_rows(t).select("p_brand", F.posexplode(ln.table_evidence(F.col("rows"))).alias("pos", "r"))
-    return d.select("p_brand", "pos", F.array_join("r", "|").alias("cells"))
+    d = part_rows(t).select("p_brand", "blk", F.posexplode(ln.table_evidence(F.col("rows"))).alias("pos", "r"))
+    return d.select("p_brand", "blk", "pos", F.array_join("r", "|").alias("cells"))
 
 
-@query("f3_tabular_representation", f"SELECT p_brand, rn AS pos, 'Name=' || a || ';Type=' || b || ';col_3=' || c AS rec FROM {Q_PART} WHERE rn <= 20")
+@query("f3_tabular_representation", f"SELECT p_brand, blk, rn AS pos, 'Name=' || a || ';Type=' || b || ';col_3=' || c AS rec FROM {Q_PART}")
 def _(t):
-    d = part_rows(t).select("p_brand", F.posexplode(ln.tabular(F.col("rows"))["records"]).alias("pos", "r"))
-    return d.select("p_brand", (F.col("pos") + 1).alias("pos"), F.array_join(F.transform("r", lambda f: F.concat(f["key"], F.lit("="), f["value"])), ";").alias("rec"))
+    d = part_rows(t).select("p_brand", "blk", F.posexplode(ln.tabular(F.col("rows"))["records"]).alias("pos", "r"))
+    return d.select("p_brand", "blk", (F.col("pos") + 1).alias("pos"), F.array_join(F.transform("r", lambda f: F.concat(f["key"], F.lit("="), f["value"])), ";").alias("rec"))
 
 
 Q_PIPE = f"""(WITH l AS (SELECT *, contains(line, '|') AS p FROM {Q_LN}), s AS (SELECT *, CASE WHEN p AND NOT coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY i), FALSE) THEN 1 ELSE 0 END AS st FROM l),
@@ -96,7 +96,7 @@ def _(t):
 
 @query(
     "f7_flat_kv",
-    f"SELECT doc_id, key, value, CAST(i AS INT) AS line_index FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM (SELECT doc_id, i, trim(substring(x, 1, instr(x, ':') - 1)) AS key, trim(substring(x, instr(x, ':') + 1)) AS value FROM (SELECT doc_id, i, trim(line) AS x FROM {Q_LN}) WHERE contains(x, ':')) WHERE length(key) BETWEEN 1 AND 80) WHERE rn <= 60",
+    f"SELECT doc_id, key, value, CAST(i AS INT) AS line_index FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM (SELECT doc_id, i, trim(substring(x, 1, instr(x, ':') - 1)) AS key, trim(substring(x, instr(x, ':') + 1)) AS value FROM (SELECT doc_id, i, trim(line) AS x FROM {Q_LN}) WHERE contains(x, ':')) WHERE length(key) BETWEEN 1 AND 80)",
 )
 def _(t):
     return t.sql(MIX).select("doc_id", F.inline(ln.flat_kv(F.col("text"))))
@@ -142,14 +142,14 @@ def _(t):
 
 @query(
     "f11_list_of_records",
-    f"SELECT doc_id, count(*) AS n_records FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY table_idx, row) AS k FROM {Q_PIPE} WHERE row BETWEEN 2 AND 21) WHERE k <= 40 GROUP BY 1",
+    f"SELECT doc_id, count(*) AS n_records FROM {Q_PIPE} WHERE row >= 2 GROUP BY 1",
 )
 def _(t):
     d = t.sql(MIX).select("doc_id", F.size(ev.list_of_records(ln.markdown_tables(F.col("text")))).cast("bigint").alias("n_records"))
     return d.filter("n_records > 0")
 
 
-@query("f12_hybrid_blocks", f"SELECT doc_id, least(10, max(table_idx)) AS n_tables FROM {Q_PIPE} GROUP BY 1")
+@query("f12_hybrid_blocks", f"SELECT doc_id, max(table_idx) AS n_tables FROM {Q_PIPE} GROUP BY 1")
 def _(t):
     d = t.sql(MIX).select("doc_id", ev.hybrid_blocks(F.col("text"), ln.markdown_tables(F.col("text"))).alias("h"))
     return d.select("doc_id", F.size("h.tables").alias("n_tables"))
@@ -250,10 +250,10 @@ def _(t):
 
 @query(
     "f20_sheet_previews",
-    "SELECT wb_id, sheet, least(20, count(DISTINCT row)) AS row_count, max(col) AS column_count FROM <<cells_f>> WHERE value IS NOT NULL AND row <= 80 AND col <= 25 GROUP BY 1, 2",
+    "SELECT wb_id, sheet, count(DISTINCT row) AS row_count, max(col) AS column_count FROM <<cells_f>> WHERE value IS NOT NULL AND row <= 80 AND col <= 25 GROUP BY 1, 2",
 )
 def _(t):
-    return ev.sheet_previews(t.cells_f).select(*g.KEYS, F.col("preview.row_count").cast("bigint").alias("row_count"), F.col("preview.column_count").alias("column_count"))
+    return ev.sheet_previews(t.cells_f, 10, 80, 25).select(*g.KEYS, F.col("preview.row_count").cast("bigint").alias("row_count"), F.col("preview.column_count").alias("column_count"))
 
 
 @query("f21_email_parts", "SELECT conv_id * 1000 + turn AS id, 'a@' || role || '.example b' AS from_field, md5(trim(text, ' ' || chr(10) || chr(9))) AS body FROM conversations")
