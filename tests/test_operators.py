@@ -113,6 +113,25 @@ def test_similar_pairs_miss_nothing(spark, t):
     assert got == {(x, y) for x in xs for y in ys if key_score(x, y) >= t}
 
 
+def test_similar_pairs_of_long_texts(spark):
+    """Repeats beyond 200 characters count as often as they occur. Right texts stay below the matcher's own limit of 200."""
+    import random
+
+    r = random.Random(6)
+    xs = ["w" + "a" * 205, "w" + "a" * 198] + ["".join(r.choices("abcde ", k=r.randint(150, 320))).strip() for _ in range(5)]
+    xs = [" ".join(x.split()) for x in xs]
+    ys = ["q" + "a" * 150, "q" + "a" * 199]
+    for x in xs[2:]:
+        y = list(x[:190])
+        for _ in range(25):
+            y[r.randrange(len(y))] = r.choice("abcde")
+        ys.append(" ".join("".join(y).split())[:199])
+    df = lambda v: spark.createDataFrame([("k", w) for w in v], "k string, norm string")
+    got = {(p.a, p.b) for p in sim.similar_pairs(df(xs), df(ys), ["k"], 0.74, full=True).collect()}
+    assert got == {(x, y) for x in xs for y in ys if key_score(x, y) >= 0.74}
+    assert (xs[0], ys[0]) in got
+
+
 def test_soft_match_misses_nothing(spark):
     xs, ys = words(3, 50), words(4, 50) + ["e", "or"]
     def soft(x, y):
@@ -236,3 +255,40 @@ def test_labels_need_text_values(spark):
     d = spark.createDataFrame([("w", "S", 1, 1, "7", "n"), ("w", "S", 1, 2, " Name ", "s"), ("w", "S", 1, 3, " ", "s")], "wb_id string, sheet string, row int, col int, value string, value_type string")
     assert [r.text for r in g.labels(d).collect()] == ["Name"]
     assert g.labels(d, any_value=True).count() == 2
+
+
+def test_trees(spark):
+    from formloom.functions import trees as tr
+
+    raw = ['{"b": 0, "a": [false, "x  y", {"evidence": "e", "k": null}], "c": {}}', "[1, [2, [3]]]", '"text"', "oops", None, "7", '{"z": "[not a list]"}']
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, raw string")
+    c = F.col("raw")
+    got = d.select("i", tr.tree_normalize(c).alias("t"), tr.flatten_text(c).alias("f"), tr.tree_depth(c).alias("d"), tr.record_count(c).alias("n"), tr.tree_normalize(c, max_keys=1, max_items=1).alias("s")).orderBy("i").collect()
+    assert got[0]["t"] == '{"b": "0", "a": ["False", "x y", {"evidence": "e", "k": null}], "c": {}}'
+    assert (got[0]["f"], got[0]["d"], got[0]["n"]) == ("x  y", 3, 1)
+    assert got[0]["s"] == '{"b": "0", "__truncated__": true}'
+    assert (got[1]["t"], got[1]["f"], got[1]["d"], got[1]["n"], got[1]["s"]) == ('["1", ["2", ["3"]]]', "1\n2\n3", 3, 2, '["1"]')
+    assert (got[2]["t"], got[2]["f"], got[2]["d"]) == ('"text"', "text", 0)
+    assert all(got[k][x] is None for k in (3, 4) for x in "tfdn")
+    assert (got[5]["t"], got[5]["d"]) == ('"7"', 0)
+    assert (got[6]["t"], got[6]["d"]) == ('{"z": "[not a list]"}', 1)
+
+
+def test_delimited_text_with_quoted_breaks(spark):
+    from formloom.sources import readers as rd
+
+    texts = [(1, "x.csv", 'a,"b\nc ""q""",\r\n\n1,2\n'), (2, "x.tsv", 'p\t"q\tr"\ns "t" u\tv'), (3, "x.csv", '"open,1\n2')]
+    d = spark.createDataFrame(texts, "doc_id int, path string, text string")
+    got = {(r.doc_id, r.row): list(r.cells) for r in rd.parse_delimited(d).collect()}
+    assert got == {
+        (1, 1): ["a", 'b\nc "q"', ""], (1, 2): [""], (1, 3): ["1", "2"], (2, 1): ["p", "q\tr"], (2, 2): ['s "t" u', "v"], (3, 1): ['"open', "1"], (3, 2): ["2"],
+    }
+
+
+def test_text_decoding(spark):
+    from formloom.sources import readers as rd
+
+    rows = [(bytearray("表单 value".encode("gb18030")),), (bytearray("表单".encode()),), (bytearray("café 12".encode("latin-1")),), (bytearray(b"\xef\xbb\xbfx"),)]
+    got = spark.createDataFrame(rows, "content binary").select(F.inline(F.array(rd.decode_text(F.col("content"))))).collect()
+    assert [(r.text, r.latin1) for r in got] == [("表单 value", False), ("表单", False), ("café 12", True), ("x", False)]
+
