@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from formloom.functions.ranges import let  # noqa: F401
+
 #: What separates words: space and the controls from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 GAP = r"[\x20\x09-\x0D]+"
@@ -22,11 +25,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP, -1), lambda w: w != "")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once per row, however often the body (and lambdas inside it) use it."""
-    return F.transform(F.array(value), body)[0]
+#: Texts of a batch that a worker turns into Python objects at once.
+SLICE = 512
 
 
-def flat(docs: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, under their own names; other columns cannot clash with what an operator adds."""
-    return docs.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+def by_slices(work: Callable[[list], pa.Array], texts: pa.Array, size: int = SLICE) -> pa.Array:
+    """A batch's result, a slice at a time, so that a worker holds what belongs to few texts."""
+    out = pa.concat_arrays([work(texts.slice(k, size).to_pylist()) for k in range(0, max(len(texts), 1), size)])
+    pa.default_memory_pool().release_unused()
+    return out

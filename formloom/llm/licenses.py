@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from formloom.llm.common import read_table
-from formloom.llm.shingles import Minima, WordHashes, windows
+from formloom.llm.common import by_slices, read_table
+from formloom.llm.shingles import Minima, hashes, windows
 
 #: A window that holds 75 % of a template has at least Jaccard 0.29 with it and misses 128 bands of 2 with probability 1e-5.
 BANDS, ROWS = 128, 2
@@ -39,13 +39,10 @@ TEMPLATES = {
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 
-MEMORY = WordHashes()
-
 
 def shingles(text: str | None) -> np.ndarray:
     """Hashes of five-word windows in order; words lose punctuation and the case of A-Z."""
-    found = (text or "").encode().lower().translate(None, DROPPED).split()
-    return windows(np.fromiter(map(MEMORY.__getitem__, found), np.uint64, len(found)))
+    return windows(hashes((text or "").encode().lower().translate(None, DROPPED).split()))
 
 
 def window_size(n: int) -> int:
@@ -65,10 +62,11 @@ WINDOWS = ArrayType(StructType([StructField("size", IntegerType()), StructField(
 def scan(vocabulary: np.ndarray, sizes: list[int]) -> Column:
     """From a text to its windows that hold template shingles: size, first shingle, band hashes, and those shingles in order."""
 
-    @F.arrow_udf(WINDOWS)
-    def run(texts: pa.Array) -> pa.Array:
-        minima, out = Minima(BANDS * ROWS), []
-        for text in texts.to_pylist():
+    minima = Minima(BANDS * ROWS)
+
+    def some(texts: list) -> pa.Array:
+        out = []
+        for text in texts:
             h, rows, sets = shingles(text), [], []
             known = np.isin(h, vocabulary)
             hits = np.flatnonzero(known)
@@ -83,6 +81,10 @@ def scan(vocabulary: np.ndarray, sizes: list[int]) -> Column:
             out.append([{"size": s, "start": a, "bands": b, "items": i} for (s, a, i), b in zip(rows, keys)])
         return pa.array(out, pa.list_(pa.struct([("size", pa.int32()), ("start", pa.int32()), ("bands", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])))
 
+    @F.arrow_udf(WINDOWS)
+    def run(texts: pa.Array) -> pa.Array:
+        return by_slices(some, texts)
+
     return run
 
 

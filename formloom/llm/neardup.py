@@ -8,8 +8,6 @@ signature cannot rule out on the full sets. Only confirmed links leave the task,
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from formloom.llm.common import read_table
+from formloom.llm.common import by_slices, read_table
 from formloom.llm.components import connected
 from formloom.llm.shingles import Minima, shingle_set
 from formloom.session import cut_lineage, drop_cut
@@ -32,8 +30,6 @@ MARGIN = 5.0
 BLOCK = 512
 #: Pairs of blocks that one call gets on average; most blocks have a few documents.
 PAIRS_AT_ONCE = 4
-#: Documents whose sets a worker holds at once.
-SLICE = 512
 
 
 def _signature(minima: np.ndarray) -> list[bytes]:
@@ -70,11 +66,6 @@ def sketch(bands: int, rows: int) -> Column:
     return run
 
 
-def by_slices(work: Callable[[list], pa.Array], texts: pa.Array) -> pa.Array:
-    """A batch's result, a slice at a time, so that a worker holds the sets of few documents."""
-    return pa.concat_arrays([work(texts.slice(k, SLICE).to_pylist()) for k in range(0, max(len(texts), 1), SLICE)])
-
-
 def _full_sets(texts: list) -> pa.Array:
     sets = [shingle_set(t) for t in texts]
     keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())

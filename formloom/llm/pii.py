@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from formloom.llm.common import read_table
+from formloom.llm.common import by_slices, read_table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
@@ -281,15 +281,18 @@ SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("st
 def finder(field: Field) -> Column:
     """From a text to ``base`` and ``added``, spans by kind as listed, then start."""
 
-    @F.arrow_udf(StructType([StructField("base", SPANS), StructField("added", SPANS)]))
-    def run(texts: pa.Array) -> pa.Array:
+    def some(texts: list) -> pa.Array:
         as_rows = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1]))]
-        whole = [t or "" for t in texts.to_pylist()]
+        whole = [t or "" for t in texts]
         base = [base_spans(t) for t in whole]
         added = [added_spans(field, t, b) for t, b in zip(whole, base)]
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         return pa.StructArray.from_arrays([pa.array(map(as_rows, x), kind) for x in (base, added)], ["base", "added"])
 
+    @F.arrow_udf(StructType([StructField("base", SPANS), StructField("added", SPANS)]))
+    def run(texts: pa.Array) -> pa.Array:
+        return by_slices(some, texts)
+
     return run
 
 

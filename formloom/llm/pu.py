@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
-from formloom.llm.common import read_table
+from formloom.llm.common import by_slices, read_table
 
 FEATURES = (
     "log_words", "word_length", "short_words", "distinct_words", "distinct_pairs", "symbols", "bars", "bangs", "capital_words", "capitalised",
@@ -54,7 +54,7 @@ def text_features(text: str | None) -> list[float]:
 
 @F.arrow_udf(ArrayType(FloatType()))
 def features(texts: pa.Array) -> pa.Array:
-    return pa.array([text_features(t) for t in texts.to_pylist()], pa.list_(pa.float32()))
+    return by_slices(lambda some: pa.array([text_features(t) for t in some], pa.list_(pa.float32())), texts)
 
 
 @dataclass(frozen=True)
@@ -154,10 +154,13 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = 8000, max_web
 def score(model: Model) -> Column:
     """From a text to the probability of quality 1."""
 
+    def some(texts: list) -> pa.Array:
+        x = np.array([text_features(t) for t in texts], np.float32).astype(np.float64).reshape(-1, len(FEATURES))
+        return pa.array(_sigmoid(model.logits(x)), pa.float64())
+
     @F.arrow_udf(DoubleType())
     def run(texts: pa.Array) -> pa.Array:
-        x = np.array([text_features(t) for t in texts.to_pylist()], np.float32).astype(np.float64).reshape(-1, len(FEATURES))
-        return pa.array(_sigmoid(model.logits(x)), pa.float64())
+        return by_slices(some, texts)
 
     return run
 

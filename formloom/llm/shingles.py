@@ -7,27 +7,15 @@ import xxhash
 
 WIDTH = 5
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Words that a worker remembers before it starts anew, about 50 MB.
-REMEMBERED = 1 << 18
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept while there is room."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = got = xxhash.xxh64_intdigest(word)
-        return got
-
-
-MEMORY = WordHashes()
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the lower-cased (A-Z) words of a text; none for a null one."""
-    found = (text or "").encode().lower().split()
-    return np.fromiter(map(MEMORY.__getitem__, found), np.uint64, len(found))
+    return hashes((text or "").encode().lower().split())
 
 
 def mix(x: np.ndarray) -> np.ndarray:
