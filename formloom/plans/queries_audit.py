@@ -185,9 +185,15 @@ def _assessed(t):
     return a.assess(flagged, t.model_flags, t.correct_ranges, t.policies, full=False)
 
 
-@query("e9_assess", WITH + CTES_ASSESS + " SELECT wb_id, sheet, label_cell, score, is_correct, is_safe, is_high_risk FROM assessed")
+Q_FLAGS = """array_to_string(list_sort(list_filter(CASE WHEN is_correct OR is_safe THEN [] ELSE [CASE WHEN f_dup THEN 'duplicate_pattern' END, CASE WHEN f_bad THEN 'screenshot_bad_range_hit' END, CASE WHEN hard THEN 'label_area' END,
+  CASE WHEN f_t THEN 'template_inconsistency' END, CASE WHEN f_h THEN 'high_risk_pattern' END, CASE WHEN f_s THEN 'special_char_anomaly' END, CASE WHEN target IS NOT NULL AND NOT blank THEN 'planner_blank_violation' END] END, lambda x: x IS NOT NULL)), ',')"""
+Q_REASON = "CASE WHEN hard AND txt = '' THEN 'A value was written into a detected key/label cell. Treat this as a label-area overwrite that must be repaired.' ELSE txt END"
+
+
+@query("e9_assess", WITH + CTES_ASSESS + f" SELECT wb_id, sheet, label_cell, score, is_correct, is_safe, is_high_risk, {Q_FLAGS} AS flags, {Q_REASON} AS reason FROM assessed")
 def _(t):
-    return _assessed(t).select(*g.KEYS, "label_cell", "score", "is_correct", "is_safe", "is_high_risk")
+    d = _assessed(t).withColumn("flags", F.array_join("flags", ","))
+    return d.select(*g.KEYS, "label_cell", "score", "is_correct", "is_safe", "is_high_risk", "flags", "reason")
 
 
 @query(

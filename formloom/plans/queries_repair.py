@@ -64,13 +64,16 @@ def _(t):
     return r.select_region_hints(ht(t), tg(t)).select(*r.REGION, "hint_id", "key", "side")
 
 
+Q_NOTES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in r.FLAG_NOTES.items())
+
+
 @query(
     "e16_region_flag_notes",
-    f"""SELECT {REG}, CAST(row_number() OVER (PARTITION BY wb_id, region_id ORDER BY o) AS INT) AS pos, flag FROM (SELECT {REG}, flag, min(target_ord * 10 + i) AS o FROM (
+    f"""SELECT {REG}, CAST(row_number() OVER (PARTITION BY wb_id, region_id ORDER BY o) AS INT) AS pos, flag, CASE flag {Q_NOTES} END AS note FROM (SELECT {REG}, flag, min(target_ord * 10 + i) AS o FROM (
       SELECT {REG}, target_ord, unnest(string_split(flag_text, ',')) AS flag, generate_subscripts(string_split(flag_text, ','), 1) AS i FROM {Q_TG}) WHERE flag <> 'other' GROUP BY 1, 2, 3, 4)""",
 )
 def _(t):
-    return r.region_flag_notes(tg(t)).drop("note")
+    return r.region_flag_notes(tg(t))
 
 
 NOISY = f"(SELECT *, upper(value_cell) AS cell, CAST(substring(value_cell, 2) AS INT) AS cr, (x = '' OR {NO_WORD} OR length({ALNUM}) <= 1 OR regexp_full_match({ALNUM}, '[0-9]+[A-Za-z]?')) AS noise FROM (SELECT *, key AS x FROM {Q_HT}))"
