@@ -77,7 +77,8 @@ def tree_normalize(raw: Column, max_depth: int = 5, max_keys: int | None = None,
             return F.when(_is(node, "OBJECT"), F.concat(F.lit("{"), joined, F.lit("}"))).otherwise(F.concat(F.lit("["), joined, F.lit("]")))
 
         nested = _is(node, "OBJECT") | _is(node, "ARRAY")
-        return F.when(_is(node, "VOID"), F.lit("null")).when(nested, let(_kids(node), container)).otherwise(leaf)
+        inside = container(_kids(node)) if max_keys is None else let(_kids(node), container)  # with a limit the children are used twice
+        return F.when(_is(node, "VOID"), F.lit("null")).when(nested, inside).otherwise(leaf)
 
     return let(_root(raw), lambda n: F.when(n["kind"].isNotNull(), build(n, 0)))
 

@@ -263,7 +263,7 @@ def test_trees(spark):
     raw = ['{"b": 0, "a": [false, "x  y", {"evidence": "e", "k": null}], "c": {}}', "[1, [2, [3]]]", '"text"', "oops", None, "7", '{"z": "[not a list]"}']
     d = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, raw string")
     c = F.col("raw")
-    got = d.select("i", tr.tree_normalize(c).alias("t"), tr.flatten_text(c).alias("f"), tr.tree_depth(c).alias("d"), tr.record_count(c).alias("n"), tr.tree_normalize(c, max_keys=1, max_items=1).alias("s")).orderBy("i").collect()
+    got = d.select("i", tr.tree_normalize(c).alias("t"), tr.flatten_text(c).alias("f"), tr.tree_depth(c).alias("d"), tr.record_count(c).alias("n"), tr.tree_normalize(c, max_depth=2, max_keys=1, max_items=1).alias("s")).orderBy("i").collect()
     assert got[0]["t"] == '{"b": "0", "a": ["False", "x y", {"evidence": "e", "k": null}], "c": {}}'
     assert (got[0]["f"], got[0]["d"], got[0]["n"]) == ("x  y", 3, 1)
     assert got[0]["s"] == '{"b": "0", "__truncated__": true}'
