@@ -45,16 +45,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+def cut_lineage(df: DataFrame, replaces: DataFrame | None = None, compression: str | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
     The copy outlives lost executors, ends the lineage of loops, keeps columnar pruning, and has a known size, so later
     joins broadcast it only when it is small. ``replaces`` is an earlier result of this function that nothing reads any
-    more once the new table is written; its files are deleted.
+    more once the new table is written; its files are deleted. ``compression`` overrides the session's codec for Parquet:
+    tables of hashes gain nothing by it, and codecs hold buffers outside the heap.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/formloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     if replaces is not None:
