@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formloom.functions.ranges import let  # noqa: F401
+from formloom.session import cut_lineage
 
 #: What separates words: space and the controls from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -34,3 +35,8 @@ def by_slices(work: Callable[[list], pa.Array], texts: pa.Array, size: int = SLI
     out = pa.concat_arrays([work(texts.slice(k, size).to_pylist()) for k in range(0, max(len(texts), 1), size)])
     pa.default_memory_pool().release_unused()
     return out
+
+
+def cut_plain(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """``cut_lineage`` for tables of ids and hashes, without a codec."""
+    return cut_lineage(df, replaces, compression="uncompressed")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formloom.session import cut_lineage
+from formloom.llm.common import cut_plain
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -34,10 +34,10 @@ def connected(edges: DataFrame) -> DataFrame:
     ignored, an empty table gives none. Each step's table replaces the one before in the shared folder.
     """
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    now = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = cut_plain(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = state(now)
     while mark[0]:
-        now = cut_lineage(_small_star(_large_star(now)), replaces=now)
+        now = cut_plain(_small_star(_large_star(now)), replaces=now)
         before, mark = mark, state(now)
         if mark == before:
             break

@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from formloom.llm.common import by_slices, read_table
+from formloom.llm.common import by_slices, cut_plain, read_table
 from formloom.llm.components import connected
 from formloom.llm.shingles import Minima, shingle_set
-from formloom.session import cut_lineage, drop_cut
+from formloom.session import drop_cut
 
 #: Bands and minima in each: a pair at similarity 0.75 misses all bands with probability 1.3e-6.
 BANDS, ROWS = 50, 5
@@ -152,31 +152,31 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     count = bands * rows
     least = float(least_equal(count, percent, margin))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    marks = cut_lineage(base.select("doc_id", sketch(bands, rows)(F.col("text")).alias("s")).select("doc_id", "s.*"))
+    marks = cut_plain(base.select("doc_id", sketch(bands, rows)(F.col("text")).alias("s")).select("doc_id", "s.*"))
     some = marks.where("n > 0 AND doc_id IS NOT NULL")
-    classes = cut_lineage(some.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
+    classes = cut_plain(some.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     own = (F.col("doc_id") == F.col("rep")) & (some["set_key"] == classes["set_key"])
-    reps = cut_lineage(some.join(classes.hint("merge"), own).select("rep", "n", some["set_key"], "bands", "signature"))
+    reps = cut_plain(some.join(classes.hint("merge"), own).select("rep", "n", some["set_key"], "bands", "signature"))
     filed = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = filed.groupBy(F.col("bucket").alias("k")).agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("k", "first")
-    member = cut_lineage(filed.join(shared.hint("merge"), F.col("bucket") == F.col("k")).select("bucket", "rep", "first"))
+    member = cut_plain(filed.join(shared.hint("merge"), F.col("bucket") == F.col("k")).select("bucket", "rep", "first"))
     # The sets of all documents that share a bucket. The join is a merge join at every size: texts move once.
     sign = reps.join(member.select(F.col("rep").alias("w")).distinct(), F.col("rep") == F.col("w"), "left_semi").select("rep", "n", "set_key", "signature")
     sets = base.join(sign.hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "n", "set_key", "signature", full_set(F.col("text")).alias("s"))
-    sets = cut_lineage(sets.where("set_key = s.key").select("rep", "n", "signature", "s.items"))
+    sets = cut_plain(sets.where("set_key = s.key").select("rep", "n", "signature", "s.items"))
     drop_cut(reps)
 
     star = member.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     one = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
     two = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    tested = cut_lineage(star.join(one, "a").join(two, "b").where(fits & (equal_minima(count)(F.col("s_a"), F.col("s_b")) >= least)).select("a", "b"))
+    tested = cut_plain(star.join(one, "a").join(two, "b").where(fits & (equal_minima(count)(F.col("s_a"), F.col("s_b")) >= least)).select("a", "b"))
     links = _similar(tested, sets, percent)
-    first = cut_lineage(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    first = cut_plain(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
-    late = cut_lineage(_late_links(member, sets, first, count, percent, margin, block))
+    late = cut_plain(_late_links(member, sets, first, count, percent, margin, block))
     named = lambda c, n: late.join(first, F.col(c) == F.col("node"), "left").select("a", "b", F.coalesce("component", c).alias(n))
-    second = cut_lineage(connected(named("a", "u").join(named("b", "v"), ["a", "b"]).select("u", "v")))
+    second = cut_plain(connected(named("a", "u").join(named("b", "v"), ["a", "b"]).select("u", "v")))
     for table in (member, sets, tested, late):
         drop_cut(table)
     step = first.select(F.col("node").alias("f_node"), F.col("component").alias("f_component"))
@@ -194,17 +194,17 @@ def _late_links(member: DataFrame, sets: DataFrame, first: DataFrame, count: int
     """
     placed = member.join(first, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "first", F.coalesce("component", "rep").alias("component"))
     open_ones = placed.groupBy(F.col("bucket").alias("k")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("k")
-    rest = cut_lineage(placed.join(open_ones, F.col("bucket") == F.col("k")).select("bucket", "rep", "first", "component"))
+    rest = cut_plain(placed.join(open_ones, F.col("bucket") == F.col("k")).select("bucket", "rep", "first", "component"))
     homes = rest.groupBy("rep", "component").agg(F.min("first").alias("home"))
     jump = homes.select(F.col("rep").alias("j_rep"), F.col("home").alias("j_home")).distinct()
     homes = homes.join(jump, F.col("home") == F.col("j_rep"), "left").select("rep", "component", F.coalesce("j_home", "home").alias("home"))
     split = homes.groupBy(F.col("home").alias("h")).agg(F.ceil(F.count("*") / block).alias("parts"))
     where = F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    blocks = cut_lineage(homes.join(split, F.col("home") == F.col("h")).select("rep", "component", where.alias("block")))
+    blocks = cut_plain(homes.join(split, F.col("home") == F.col("h")).select("rep", "component", where.alias("block")))
     # Most buckets of a group hold the same blocks, so only distinct lists of blocks are unfolded to pairs.
     lists = rest.select("bucket", "rep").join(blocks.select("rep", "block"), "rep").groupBy("bucket").agg(F.array_sort(F.collect_set("block")).alias("x")).select("x").distinct()
     pairs = lists.select("x", F.explode("x").alias("a")).select("a", F.explode("x").alias("b")).where("a <= b").distinct()
-    pairs = cut_lineage(pairs)
+    pairs = cut_plain(pairs)
     full = blocks.join(sets, "rep").select("rep", "component", "block", "n", "signature", "items")
     facing = full.join(pairs, F.col("block") == F.col("a")).withColumn("side", F.lit(0))
     facing = facing.union(full.join(pairs.where("a < b"), F.col("block") == F.col("b")).withColumn("side", F.lit(1)))
@@ -239,3 +239,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+ORACLE = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS c FROM r GROUP BY 1) m USING (doc_id)
+"""

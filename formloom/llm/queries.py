@@ -20,6 +20,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
+    "op2_minhash_dedup": neardup.ORACLE,
     "op3_vafile_topk": vafile.ORACLE,
     "op4_chat_format": chat.ORACLE,
 }
