@@ -2,7 +2,8 @@
 
 A text is cut at the special tokens, then into words by the vocabulary's pattern. A word keeps its parts and the ranks of
 adjacent parts in two contiguous arrays; the smallest rank is looked up by scanning, its boundary goes, and the ranks on
-both sides are refreshed. Words that come again are taken from a bounded memory of each worker.
+both sides are refreshed. Words of one length are rows of one matrix, so a step takes all of them together. Words that come
+again are taken from a bounded memory of each worker.
 """
 
 from __future__ import annotations
@@ -22,12 +23,16 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm.common import read_table
+from formloom.llm.common import by_slices, read_table
 
 # Fixed value: the pattern by which the vocabulary's tokenizer separates words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words that a worker remembers twice over, about 60 MB each.
-REMEMBERED = 1 << 18
+#: Words that a worker remembers twice over, about 20 MB each.
+REMEMBERED = 1 << 16
+#: Bytes up to which words are merged together.
+SHORT_WORD = 40
+#: Texts whose words are looked up together, and their characters at most.
+SLICE, SLICE_CHARS = 256, 1 << 20
 #: Bytes from which a word's smallest rank comes from a heap: scanning would take time quadratic in the length.
 LONG_WORD = 1000
 #: Characters from which a text's words are taken one by one, to keep memory bounded.
@@ -73,6 +78,49 @@ class Vocabulary:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = Words(self)
         self.table = pa.array(self.pieces, pa.large_binary())
+        keys = np.array(sorted(self.ranks), np.int64)
+        self.keys, self.rank_of = keys, np.array([self.ranks[k] for k in keys.tolist()], np.int64)
+        self.id_of_byte, self.id_of_rank = np.array(self.single, np.int64), np.array(self.merged, np.int64)
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.rank_of[at], NO_RANK)
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of many words. Rows of a matrix lose one part a step; those without a rank are done and leave it."""
+        out: list[bytes] = [b""] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(k)
+        for n, place in by_length.items():
+            if n > SHORT_WORD:
+                for k in place:
+                    out[k] = array("i", self.merge(words[k])).tobytes()
+                continue
+            raw = np.frombuffer(b"".join([words[k] for k in place]), np.uint8).reshape(len(place), n)
+            parts, place = self.id_of_byte[raw], np.array(place)
+            ranks = self._ranks_of(parts[:, :-1], parts[:, 1:])
+            while len(place):
+                low = ranks.min(axis=1) if ranks.shape[1] else np.full(len(place), NO_RANK)
+                done = low == NO_RANK
+                if done.any():
+                    packed, width = parts[done].astype(np.int32).tobytes(), 4 * parts.shape[1]
+                    for j, k in enumerate(place[done].tolist()):
+                        out[k] = packed[j * width : (j + 1) * width]
+                    parts, ranks, place, low = parts[~done], ranks[~done], place[~done], low[~done]
+                    if not len(place):
+                        break
+                row, at = np.arange(len(place)), ranks.argmin(axis=1)
+                column = np.arange(parts.shape[1] - 1)
+                parts[row, at] = self.id_of_rank[low]
+                parts = np.where(column <= at[:, None], parts[:, :-1], parts[:, 1:])
+                ranks = np.where(column[:-1] < at[:, None], ranks[:, :-1], ranks[:, 1:])
+                for shift in (-1, 0):  # the ranks with the part before and after
+                    i = at + shift
+                    ok = np.flatnonzero((i >= 0) & (i < ranks.shape[1]))
+                    ranks[ok, i[ok]] = self._ranks_of(parts[ok, i[ok]], parts[ok, i[ok] + 1])
+        return out
 
     def merge(self, word: bytes) -> list[int]:
         parts = [self.single[b] for b in word]
@@ -111,19 +159,53 @@ class Vocabulary:
                     heapq.heappush(heap, (r, a, parts[a], parts[b]))
         return [p for p in parts if p >= 0]
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as packed 32-bit integers."""
-        packed = []
+    def _learn(self, found: set[str]) -> None:
+        """Merges those words that are not remembered."""
+        fresh = [w for w in found if w not in self.words and len(w) <= LONG_WORD]
+        known = self.words.older
+        self.words.update((w, known[w]) for w in fresh if w in known)
+        fresh = [w for w in fresh if w not in known]
+        self.words.update(zip(fresh, self.merge_all([w.encode() for w in fresh])))
+
+    def _cut(self, text: str) -> list:
+        """A text as lists of its words; special tokens stand between them as strings. Very long stretches stay text."""
+        out: list = []
         for k, piece in enumerate(self.cut.split(text) if self.cut else [text]):
+            out.append(piece if k % 2 or len(piece) >= LONG_TEXT else self.split.findall(piece))
+        return out
+
+    def _packed(self, pieces: list) -> bytes:
+        of = self.words.__getitem__
+        packed = []
+        for k, piece in enumerate(pieces):
             if k % 2:
                 packed.append(np.int32(self.special[piece]).tobytes())
-            elif len(piece) < LONG_TEXT:
-                packed.append(b"".join(map(self.words.__getitem__, self.split.findall(piece))))
+            elif isinstance(piece, list):
+                packed.append(b"".join(map(of, piece)))
             else:
-                packed.append(b"".join(self.words[m[0]] for m in self.split.finditer(piece)))
+                packed.append(b"".join(of(m[0]) for m in self.split.finditer(piece)))
+        return b"".join(packed)
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as packed 32-bit integers."""
+        return self._packed(self._cut(text))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts, in slices whose new words are merged together."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and end - at < SLICE and (end == at or size + len(texts[end]) <= SLICE_CHARS):
+                size += len(texts[end])
+                end += 1
+            cut = [self._cut(t) for t in texts[at:end]]
+            self._learn({w for pieces in cut for piece in pieces[::2] if isinstance(piece, list) for w in piece})
+            out += map(self._packed, cut)
             if len(self.words) > REMEMBERED:
                 self.words.age()
-        return b"".join(packed)
+            at = end
+        return out
 
 
 class Words(dict):
@@ -150,9 +232,12 @@ def _vocabulary(raw: bytes) -> Vocabulary:
 
 
 def encode_batch(v: Vocabulary, texts: pa.Array) -> pa.Array:
-    packed = [v.encode(t or "") for t in texts.to_pylist()]
-    ends = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+    def some(part: list) -> pa.Array:
+        packed = v.encode_all([t or "" for t in part])
+        ends = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+    return by_slices(some, texts)
 
 
 def decode_batch(v: Vocabulary, ids: pa.Array) -> pa.Array:
