@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from formloom.llm.common import by_slices, cut_plain, read_table
 from formloom.llm.components import connected
-from formloom.llm.shingles import Minima, shingle_set
+from formloom.llm.shingles import Minima, mix, shingle_set
 from formloom.session import drop_cut
 
 #: Bands and minima in each: a pair at similarity 0.75 misses all bands with probability 1.3e-6.
@@ -33,8 +33,8 @@ PAIRS_AT_ONCE = 4
 
 
 def _signature(minima: np.ndarray) -> list[bytes]:
-    """Two bits of each minimum, packed by fours."""
-    two = (minima & np.uint64(3)).astype(np.uint8)
+    """Two bits of each mixed minimum, packed by fours. The lowest bits of the minima themselves depend on two bits of a shingle."""
+    two = (mix(minima) & np.uint64(3)).astype(np.uint8)
     two = np.pad(two, ((0, 0), (0, -two.shape[1] % 4)))
     return [x.tobytes() for x in two[:, 0::4] | two[:, 1::4] << 2 | two[:, 2::4] << 4 | two[:, 3::4] << 6]
 

@@ -147,6 +147,18 @@ def test_near_duplicates_empty(nothing):
     assert neardup.near_duplicates(nothing).collect() == [] and neardup.keep_one(nothing).collect() == []
 
 
+def test_short_texts_at_the_threshold(spark):
+    """Pairs of exactly 0.75: texts of 7 and 8 words, of 10 and 12, that share their first words."""
+    r = random.Random(11)
+    out = []
+    for i in range(3000):
+        short, long = (7, 8) if i % 2 else (10, 12)
+        words = [f"{r.getrandbits(48):x}" for _ in range(long)]
+        out += [(2 * i, " ".join(words[:short])), (2 * i + 1, " ".join(words))]
+    got = neardup.near_duplicates(spark.createDataFrame(out, "doc_id bigint, text string")).collect()
+    assert [x.doc_id for x in got if x.component_id != x.doc_id // 2 * 2] == []
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (3, 2), (None, 5)]
     got = dict(components.connected(spark.createDataFrame(edges, "u bigint, v bigint")).collect())
