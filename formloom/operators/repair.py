@@ -177,7 +177,7 @@ def apply_restore(filled: DataFrame, restored: DataFrame) -> DataFrame:
     return j.select(*POS, new("value"), new("value_type"), *rest, new("style_key"))
 
 
-def label_overwrites(template: DataFrame, merges: DataFrame, filled: DataFrame, n: int | None = 12) -> DataFrame:
+def label_overwrites(template: DataFrame, merges: DataFrame, filled: DataFrame, n: int | None = None) -> DataFrame:
     """Static labels whose filled text is the label plus something: likely a value written into the label cell.
 
     Adds the three best candidate cells and those still missing a value (blank, or unchanged from the template).
@@ -211,7 +211,7 @@ def reconcile_check(replies: DataFrame, heuristic: DataFrame) -> DataFrame:
     """Joins a checker's reply with the overwritten-label findings of its sheet.
 
     replies: keys, need_fix, bad_ranges, correct_ranges (normalised arrays), bad_raw (array), confidence, parsed (boolean).
-    heuristic: keys, bad_ranges per finding (at most twelve findings per sheet by their cap).
+    heuristic: keys, row, col, bad_ranges per finding; every finding of a sheet counts.
     """
     h = heuristic.select(*KEYS, F.posexplode("bad_ranges").alias("i", "cell"), "row", "col")
     h = h.withColumn("a1", rg.normalize_a1(F.col("cell"))).groupBy(*KEYS, "a1").agg(F.min(F.struct("row", "col", "i")).alias("o"))

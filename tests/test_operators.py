@@ -228,6 +228,21 @@ def test_restore_leaves_no_damage_and_is_idempotent(spark):
     assert rep.restore_region(region, tpl, merges, fixed, merges).filter("changed").count() == 0
 
 
+def test_every_overwritten_label_reaches_the_check(spark):
+    schema = "wb_id string, sheet string, row int, col int, value string, value_type string, border_top string, border_bottom string, border_left string, border_right string, fill_type string, fill_rgb string, style_key string"
+    cell = lambda r, c, v: ("w", "S", r, c, v, "s", None, None, None, None, None, None, "0")
+    tpl = spark.createDataFrame([cell(r, 1, f"Name {r}:") for r in range(1, 16)], schema)
+    now = spark.createDataFrame([cell(r, 1, f"Name {r}: Bob") for r in range(1, 16)], schema)
+    merges = spark.createDataFrame([], "wb_id string, sheet string, r0 int, c0 int, r1 int, c1 int")
+    over = rep.label_overwrites(tpl, merges, now)
+    assert sorted(r.row for r in over.collect()) == list(range(1, 16))
+    none = F.array().cast("array<string>")
+    reply = spark.createDataFrame([("w", "S", False, 0.5)], "wb_id string, sheet string, need_fix boolean, confidence double").select(
+        "*", none.alias("bad_ranges"), F.array(F.lit("A15:A15"), F.lit("C1:C1")).alias("correct_ranges"), none.alias("bad_raw"))
+    got = rep.reconcile_check(reply, over).first()
+    assert got.need_fix and got.bad_ranges == [f"A{r}:A{r}" for r in range(1, 16)] and got.correct_ranges == ["C1:C1"]
+
+
 def test_far_candidates_reach_fused_hints(spark):
     pos = "wb_id string, sheet string, row int, col int"
     lab = spark.createDataFrame([("w", "S", 1, 1, "Total")], pos + ", text string")
