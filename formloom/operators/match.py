@@ -327,12 +327,13 @@ def policy_guard_cells(policies: DataFrame, labels: DataFrame, candidates: DataF
 
 def background_context(
     targets: DataFrame, cells: DataFrame, merges: DataFrame, candidates: DataFrame, labels_any: DataFrame, box: DataFrame,
-    focus: DataFrame | None = None, n_items: int | None = 4, n_cells: int | None = 40, full: bool = True,
+    focus: DataFrame | None = None, n_items: int | None = None, n_cells: int | None = None, width: int | None = None, full: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Context boxes around planned targets and the non-empty cells inside them.
 
     targets: keys, target_idx, target, reason, radius. A range target is padded by radius; a text target takes its best
-    label (0.60), that label's two best candidates and the box around them. focus: keys and rectangle.
+    label (0.60), that label's two best candidates and the box around them. focus: keys and rectangle. Limits for a prompt:
+    n_items targets a sheet, n_cells cells a box, width characters a cell; none by default.
     """
     tg = top_rows(targets.filter(tx.strip(F.col("target")) != ""), KEYS, ["target_idx"], n_items)
     tg = tg.withColumn("radius", F.greatest(F.lit(1), F.least(F.lit(4), F.coalesce("radius", F.lit(2)))))
@@ -363,7 +364,8 @@ def background_context(
             F.col("g").isNull() | rg.intersects(tuple(F.col(c) for c in RECT), F.col("g"))
         ).drop("g")
     inside = overlap_join(as_rects(nonempty_cells(cells)), items.select(*KEYS, "target_idx", *RECT), KEYS)
-    inside = inside.select(*KEYS, "target_idx", "row", "col", F.substring("text", 1, 160).alias("text"))
+    text = F.col("text") if width is None else F.substring("text", 1, width)
+    inside = inside.select(*KEYS, "target_idx", "row", "col", text.alias("text"))
     return items, top_rows(inside, [*KEYS, "target_idx"], ["row", "col"], n_cells)
 
 

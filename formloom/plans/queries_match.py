@@ -357,17 +357,27 @@ Q_CONTEXT = f"""WITH tg AS (SELECT * FROM (SELECT *, greatest(1, least(4, radius
  SELECT i.wb_id, i.sheet, i.target_idx, i.match_kind, i.r0, i.c0, i.r1, i.c1, count(c.row) AS n_cells, coalesce(min(c.text), '') AS first_text FROM items i LEFT JOIN {Q_ANY} c ON c.wb_id = i.wb_id AND c.row BETWEEN i.r0 AND i.r1 AND c.col BETWEEN i.c0 AND i.c1 GROUP BY ALL"""
 
 
-@query("d23_background_context", Q_CONTEXT)
-def _(t):
+def background(t, n_items: int | None):
     items, inside = m.background_context(
         t.targets, t.cells_f, t.merges, g.typed_candidates(t.cells_t, t.merges), g.labels(t.cells_f, any_value=True),
-        g.used_bbox(t.cells_t, t.merges), n_cells=None, full=False,
+        g.used_bbox(t.cells_t, t.merges), n_items=n_items, full=False,
     )
     n = inside.groupBy(*g.KEYS, "target_idx").agg(F.count("*").alias("n_cells"), F.min("text").alias("first_text"))
     out = items.join(n, [*g.KEYS, "target_idx"], "left").na.fill({"n_cells": 0, "first_text": ""})
     return out.select(*g.KEYS, "target_idx", "match_kind", "r0", "c0", "r1", "c1", "n_cells", "first_text")
 
 
+# The limit of four targets a sheet is part of this query's SQL; the next query has none.
+@query("d23_background_context", Q_CONTEXT)
+def _(t):
+    return background(t, 4)
+
+
+@query("d23_background_context_all", Q_CONTEXT.replace(" WHERE rn <= 4", "", 1))
+def _(t):
+    return background(t, None)
+
+
 @query(
     "d24_display_width",
     "SELECT doc_id, length(replace(x, chr(10), '')) + length(regexp_replace(x, '[^\\x{4E00}-\\x{9FFF}\\x{FF01}-\\x{FF60}]', '', 'g')) AS width FROM (SELECT doc_id, text || '名称！' || doc_id AS x FROM documents)",

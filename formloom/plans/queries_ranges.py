@@ -132,6 +132,10 @@ def _(t):
     return t.sql(FOCUS).select("id", F.array_join(rg.extract_focus_ranges(F.col("text")), ",").alias("found"))
 
 
+def user_cells(t):
+    return t.events.select("user_id", (1 + F.col("event_id") % 20).alias("row"), (1 + F.col("event_id") % 6).alias("col")).distinct()
+
+
 @query(
     "b13_dedupe_cells",
     """SELECT user_id, cell FROM (SELECT user_id, cell, row_number() OVER (PARTITION BY user_id ORDER BY r, c) AS rn FROM (
@@ -139,12 +143,15 @@ def _(t):
        1 + event_id % 20 AS r, event_id % 6 AS c FROM events)) WHERE rn <= 12""",
 )
 def _(t):
-    d = t.events.select(
-        "user_id", (1 + F.col("event_id") % 20).alias("row"), (1 + F.col("event_id") % 6).alias("col")
-    ).distinct()
     from formloom.operators.grid import top_rows
 
-    return top_rows(d, ["user_id"], ["row", "col"], 12).select("user_id", rg.a1_cell(F.col("row"), F.col("col")).alias("cell"))
+    return top_rows(user_cells(t), ["user_id"], ["row", "col"], 12).select("user_id", rg.a1_cell(F.col("row"), F.col("col")).alias("cell"))
+
+
+# Without the limit of twelve cells a user, which is part of the SQL above.
+@query("b13_dedupe_cells_all", "SELECT DISTINCT user_id, chr(CAST(65 + event_id % 6 AS INT)) || CAST(1 + event_id % 20 AS VARCHAR) AS cell FROM events")
+def _(t):
+    return user_cells(t).select("user_id", rg.a1_cell(F.col("row"), F.col("col")).alias("cell"))
 
 
 @query(

@@ -243,6 +243,22 @@ def test_every_overwritten_label_reaches_the_check(spark):
     assert got.need_fix and got.bad_ranges == [f"A{r}:A{r}" for r in range(1, 16)] and got.correct_ranges == ["C1:C1"]
 
 
+def test_every_target_gets_its_context_and_whole_texts(spark):
+    pos = "wb_id string, sheet string, row int, col int"
+    tg = spark.createDataFrame([("w", "S", i, f"A{10 * i}", "", 1) for i in range(1, 8)], "wb_id string, sheet string, target_idx int, target string, reason string, radius int")
+    cells = spark.createDataFrame([("w", "S", 10 * i, 1, "x" * 200 + str(i), "s") for i in range(1, 8)] + [("w", "S", 70 + d, c, "y", "s") for d in (-1, 1) for c in range(1, 4)], pos + ", value string, value_type string")
+    rect = "wb_id string, sheet string, r0 int, c0 int, r1 int, c1 int"
+    box, merges = spark.createDataFrame([("w", "S", 1, 1, 80, 30)], rect), spark.createDataFrame([], rect)
+    cand = spark.createDataFrame([], pos + ", kind string")
+    items, inside = m.background_context(tg, cells, merges, cand, g.labels(cells, any_value=True), box)
+    assert sorted(r.target_idx for r in items.collect()) == list(range(1, 8))
+    rows = inside.collect()
+    assert sorted(r.text for r in rows if r.text[0] == "x") == ["x" * 200 + str(i) for i in range(1, 8)]
+    assert sum(r.target_idx == 7 for r in rows) == 7
+    items, inside = m.background_context(tg, cells, merges, cand, g.labels(cells, any_value=True), box, n_items=2, n_cells=1, width=5)
+    assert items.count() == 2 and {(r.target_idx, r.text) for r in inside.collect()} == {(1, "xxxxx"), (2, "xxxxx")}
+
+
 def test_far_candidates_reach_fused_hints(spark):
     pos = "wb_id string, sheet string, row int, col int"
     lab = spark.createDataFrame([("w", "S", 1, 1, "Total")], pos + ", text string")
