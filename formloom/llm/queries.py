@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from formloom.llm import bpe, chat, collocations, licenses, mixing, neardup, pii, pu, rules, sharding, vafile
+from formloom.llm import bpe, chat, collocations, licenses, mixing, neardup, pii, pu, rules, sharding, turns, vafile
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_kd_shards": sharding.query,
     "op9_pu_quality": pu.query,
     "op10_bpe": bpe.query,
+    "op11_repair_turns": turns.query,
     "op13_collocations": collocations.query,
     "pipeline": corpus_pipeline.run,
 }
@@ -24,5 +25,6 @@ ORACLES = {
     "op2_minhash_dedup": neardup.ORACLE,
     "op3_vafile_topk": vafile.ORACLE,
     "op4_chat_format": chat.ORACLE,
+    "op11_repair_turns": turns.ORACLE,
     "op13_collocations": collocations.ORACLE,
 }
