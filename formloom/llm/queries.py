@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from formloom.llm import bpe, chat, collocations, licenses, mixing, neardup, pii, pu, rules, sharding, turns, vafile
+from formloom.llm import bpe, chat, collocations, exact, licenses, mixing, neardup, pii, pu, rules, sharding, turns, vafile
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_pu_quality": pu.query,
     "op10_bpe": bpe.query,
     "op11_repair_turns": turns.query,
+    "op12_exact_dedup": exact.query,
     "op13_collocations": collocations.query,
     "pipeline": corpus_pipeline.run,
 }
@@ -26,5 +27,6 @@ ORACLES = {
     "op3_vafile_topk": vafile.ORACLE,
     "op4_chat_format": chat.ORACLE,
     "op11_repair_turns": turns.ORACLE,
+    "op12_exact_dedup": exact.ORACLE,
     "op13_collocations": collocations.ORACLE,
 }
