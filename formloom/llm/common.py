@@ -40,3 +40,10 @@ def by_slices(work: Callable[[list], pa.Array], texts: pa.Array, size: int = SLI
 def cut_plain(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """``cut_lineage`` for tables of ids and hashes, without a codec."""
     return cut_lineage(df, replaces, compression="uncompressed")
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)

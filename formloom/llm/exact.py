@@ -20,13 +20,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formloom.llm.collocations import Known, known
-from formloom.llm.common import cut_plain
+from formloom.llm.common import cut_plain, drop_folder
 from formloom.session import cut_lineage, shared_folder
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: State stores of an executor share this setting's memory instead of taking some each.
 BOUNDED = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
+#: Whether a state store takes disk space in advance, some MB each; there are as many stores as shuffle partitions.
+AHEAD = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 #: Bytes of files that one batch of the stream takes.
 BATCH_BYTES = 256 << 30
 
@@ -75,10 +77,11 @@ def remember(spark: SparkSession, path: str, checkpoint: str, digest: Digest = s
     files = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(path)
     rows = _located(files, digest_of(digest)(F.col("text").cast("string")).alias("digest"))
     state = rows.groupBy("digest").agg(F.count("*").alias("size"), F.max(F.struct("doc_id", "path", "at")).alias("keep"))
-    before = {k: spark.conf.get(k, None) for k in (PROVIDER, BOUNDED)}
+    wanted = {PROVIDER: ROCKSDB, BOUNDED: "true", AHEAD: "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
-        spark.conf.set(PROVIDER, ROCKSDB)
-        spark.conf.set(BOUNDED, "true")
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         stream = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
         for k, v in before.items():
@@ -103,9 +106,11 @@ def duplicates(spark: SparkSession, path: str, checkpoint: str | None = None, di
     all executors share; the next call with it takes only new files and knows all earlier ones. Files may not be added during a
     call, changed or deleted. Very long texts are compared whole; an empty table gives no rows; other columns are ignored.
     """
-    checkpoint = checkpoint or f"{shared_folder(spark)}/formloom-exact-{uuid.uuid4().hex}"
-    remember(spark, path, checkpoint, digest, batch_bytes)
-    state = cut_plain(remembered(spark, checkpoint))
+    folder = checkpoint or f"{shared_folder(spark)}/formloom-exact-{uuid.uuid4().hex}"
+    remember(spark, path, folder, digest, batch_bytes)
+    state = cut_plain(remembered(spark, folder))
+    if not checkpoint:
+        drop_folder(spark, folder)
     repeated = state.where("size > 1")
     hits = spark.sparkContext.broadcast(known(repeated.select(F.xxhash64("digest").alias("h"))))  # of bounded size, see there
     rows = _located(spark.read.parquet(path), marked(digest, lambda: hits.value)(F.col("text").cast("string")).alias("m"))
