@@ -121,7 +121,7 @@ def duplicates(spark: SparkSession, path: str, checkpoint: str | None = None, di
     at_home = (F.col("k_digest") == F.col("digest")) & (F.col("keep_path") == F.col("path")) & (F.col("keep_at") == F.col("at"))
     home = repeated.select(F.col("digest").alias("k_digest"), "keep_path", "keep_at").join(again, at_home).select("k_digest", F.col("folded").alias("kept_text"))
     other = again.join(home, F.col("digest") == F.col("k_digest")).where("folded <> kept_text")
-    collided = cut_plain(other.select("digest").distinct())
+    collided = cut_plain(other.select("digest")).distinct()  # not at once, so that a hot digest's join may be split
 
     own = (F.col("path") == F.col("keep_path")) & (F.col("at") == F.col("keep_at"))
     columns = ["doc_id", "digest", "keep_id", "size AS group_size", "kept", "path", "at"]
