@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from formloom.functions import text as tx
 from formloom.operators import grid as g
@@ -186,35 +184,6 @@ def flow_blocks(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     return b.join(width, PAGE).select(*PAGE, "block_id", "kind", "table_idx", "start_row", "height", "total_cols")
 
 
-PLACED = ArrayType(StructType([StructField(n, IntegerType()) for n in ("row", "col", "row_span", "col_span")] + [StructField("text", StringType())]))
-
-
-@F.pandas_udf(PLACED)
-def place_spans(tables: pd.Series) -> pd.Series:
-    """Grid position of each cell of one table, around positions that cells above still cover.
-
-    A table is an array of (row, text, row_span, col_span) in reading order; rows count from 1.
-    """
-
-    def place(cells):
-        busy, out, row, c = {}, [], None, 1
-        for cell in cells if cells is not None else []:
-            if cell["row"] != row:
-                row, c = cell["row"], 1
-                taken = {k for k, last in busy.items() if last >= row}
-            while c in taken:
-                c += 1
-            width, height = int(cell["col_span"]), int(cell["row_span"])
-            for k in range(c, c + width):
-                busy[k] = max(busy.get(k, 0), row + height - 1)
-                taken.add(k)
-            out.append({"row": int(row), "col": c, "row_span": height, "col_span": width, "text": cell["text"]})
-            c += width
-        return out
-
-    return tables.map(place)
-
-
 def place_colspans(cells: DataFrame) -> DataFrame:
     """Column of each cell where no cell spans rows: the running sum of spans to its left. cells: TABLE, row, cell_idx, col_span."""
     w = W.partitionBy(*TABLE, "row").orderBy("cell_idx").rowsBetween(W.unboundedPreceding, 0)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from formloom.operators import grid as g
 from formloom.operators import layout as lay
+from formloom.operators import tables as tb
 from formloom.plans.queries_grid import Q_POINTS, points, q_edges
 from formloom.plans.registry import query
 
@@ -135,12 +136,34 @@ def _(t):
     return spans(t).select("doc_id", "table_idx", "row", "cell_idx", "col")
 
 
-@query("g10_place_spans")
-def _(t):
+def span_cells(t):
     e = F.col("event_id")
-    cell = F.struct((1 + e % 7).cast("int").alias("row"), e, F.col("event_type").alias("text"), (1 + e % 2).cast("int").alias("row_span"), (1 + e % 3).cast("int").alias("col_span"))
-    tb = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    return tb.select("user_id", F.inline(lay.place_spans(F.transform("cells", lambda x: x.dropFields("event_id")))))
+    return t.events.select("user_id", (1 + e % 7).cast("int").alias("row"), e.alias("cell_idx"), F.col("event_type").alias("text"), (1 + e % 2).cast("int").alias("row_span"), (1 + e % 3).cast("int").alias("col_span"))
+
+
+# Cell by cell: a list of what is taken, and the first column at or after the running one that no cell above covers.
+Q_SPANS = """(WITH RECURSIVE c AS (SELECT user_id, 1 + event_id % 7 AS row, event_id, event_type AS text, 1 + event_id % 2 AS rs, 1 + event_id % 3 AS cs FROM events),
+  n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY row, event_id) AS i FROM c),
+  v AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 0::BIGINT AS row, 1::BIGINT AS next, []::STRUCT(a BIGINT, b BIGINT, last BIGINT)[] AS busy, 0::BIGINT AS col FROM c
+    UNION ALL SELECT user_id, i, row, k + cs, list_append(busy, {'a': k, 'b': k + cs - 1, 'last': row + rs - 1}), k FROM (
+      SELECT *, list_filter(range(start, start + 3 * len(busy) + 1), lambda x: len(list_filter(busy, lambda o: x BETWEEN o.a AND o.b)) = 0)[1] AS k FROM (
+        SELECT n.user_id, n.i, n.row, n.rs, n.cs, CASE WHEN v.row = n.row THEN v.next ELSE 1 END AS start, list_filter(v.busy, lambda o: o.last >= n.row) AS busy FROM v JOIN n ON n.user_id = v.user_id AND n.i = v.i + 1)))
+  SELECT n.user_id, n.event_id, CAST(n.row AS INT) AS row, CAST(v.col AS INT) AS col, CAST(n.rs AS INT) AS row_span, CAST(n.cs AS INT) AS col_span, n.text FROM v JOIN n USING (user_id, i))"""
+
+
+@query("g10_place_spans", f"SELECT user_id, row, col, row_span, col_span, text FROM {Q_SPANS}")
+def _(t):
+    return tb.place_spans(span_cells(t), ["user_id"]).select("user_id", "row", "col", "row_span", "col_span", "text")
+
+
+@query("g10_table_merges", f"SELECT user_id, row AS r0, col AS c0, row + row_span - 1 AS r1, col + col_span - 1 AS c1 FROM {Q_SPANS} WHERE row_span > 1 OR col_span > 1")
+def _(t):
+    return tb.table_merges(tb.place_spans(span_cells(t), ["user_id"]), ["user_id"])
+
+
+@query("g10_table_size", f"SELECT user_id, CAST(max(row + row_span - 1) AS INT) AS n_rows, CAST(max(col + col_span - 1) AS INT) AS n_cols FROM {Q_SPANS} GROUP BY 1")
+def _(t):
+    return tb.table_size(tb.place_spans(span_cells(t), ["user_id"]), ["user_id"])
 
 
 @query(

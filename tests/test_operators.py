@@ -13,6 +13,7 @@ from formloom.functions import text as tx
 from formloom.operators import audit as a
 from formloom.operators import grid as g
 from formloom.operators import layout as lay
+from formloom.operators import tables as tb
 from formloom.operators import match as m
 from formloom.operators import repair as rep
 from formloom.operators import similar as sim
@@ -174,9 +175,9 @@ def test_clusters_do_not_depend_on_chunk_width(spark):
 
 
 def test_spans_go_around_cells_from_above(spark):
-    t = [(1, "a", 2, 1), (1, "b", 1, 2), (2, "c", 1, 1), (2, "d", 1, 1), (3, "e", 1, 3)]
-    d = spark.createDataFrame([(t,)], "c array<struct<row:int,text:string,row_span:int,col_span:int>>")
-    got = d.select(F.inline(lay.place_spans(F.col("c")))).collect()
+    cells = [(1, 0, "a", 2, 1), (1, 1, "b", 1, 2), (2, 0, "c", 1, 1), (2, 1, "d", 1, 1), (3, 0, "e", 1, 3)]
+    d = spark.createDataFrame([("t", *c) for c in cells], "t string, row int, cell_idx int, text string, row_span int, col_span int")
+    got = sorted(tb.place_spans(d, ["t"]).collect(), key=lambda r: (r.row, r.cell_idx))
     assert [(r.text, r.row, r.col) for r in got] == [("a", 1, 1), ("b", 1, 2), ("c", 2, 2), ("d", 2, 3), ("e", 3, 1)]
 
 
