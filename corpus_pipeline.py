@@ -41,9 +41,8 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of each document of the mixture, and the digest of what they decode to."""
-    ids = docs.select("doc_id", "lang", "source", bpe.encode(spark)(F.col("text")).alias("ids"))
-    decoded = bpe.decode(spark)(F.col("ids"))
-    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(decoded, 256).alias("decoded_sha256"))
+    tokens = bpe.tokenize(docs, keep=("doc_id", "lang", "source"))
+    return tokens.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
