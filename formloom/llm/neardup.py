@@ -9,10 +9,10 @@ signature cannot rule out on the full sets. Only confirmed links leave the task,
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -77,11 +77,15 @@ def _full_set(texts: pa.Array) -> pa.Array:
     return by_slices(_full_sets, texts)
 
 
+#: The key of a text without shingles.
+EMPTY_KEY = xxhash.xxh3_128_digest(b"")
+
+
 #: Marked so that no filter on its result moves it below the join that selects the texts it is for.
 full_set = _full_set.asNondeterministic()
 
 
-def _signs(signatures: pd.Series, count: int) -> np.ndarray:
+def _signs(signatures: list[bytes], count: int) -> np.ndarray:
     """Signatures as rows of +1 and -1 whose inner product counts equal minima: each two-bit value by its three characters."""
     raw = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(signatures), -1)
     two = np.stack([raw >> s & 3 for s in (0, 2, 4, 6)], axis=2).reshape(len(raw), -1)[:, :count]
@@ -108,25 +112,30 @@ def _block_links(count: int, percent: int, margin: float):
         common = np.add.reduceat((one[at] == every).astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
         return common * 100 >= (len(one) + sizes - common) * percent
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("a", "ascending"), ("b", "ascending"), ("side", "ascending")]).combine_chunks()
+        a, b, side, rep, component, n = (rows[c].to_numpy() for c in ("a", "b", "side", "rep", "component", "n"))
+        items = rows["items"].combine_chunks()
+        ends, flat = items.offsets.to_numpy(), items.values.to_numpy().view(np.uint64)
+        sets = [flat[x:y] for x, y in zip(ends[:-1], ends[1:])]
+        signatures = rows["signature"].to_pylist()
         found = [np.empty((0, 2), np.int64)]
-        for (a, b), part in rows.groupby(["a", "b"], sort=False):
-            left = part[part["side"] == 0]
-            right = left if a == b else part[part["side"] == 1]
+        starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else []
+        for first, end in zip(starts, [*starts[1:], len(a)]):
+            middle = first + int(np.searchsorted(side[first:end], 1))
+            left = np.arange(first, middle)
+            right = left if a[first] == b[first] else np.arange(middle, end)
             if not len(left) or not len(right):
                 continue
-            sets = [x.view(np.uint64) for x in right["items"]]
-            other = _signs(right["signature"], count).T
-            n, rep, component = (right[c].to_numpy() for c in ("n", "rep", "component"))
-            equal = (count + _signs(left["signature"], count) @ other) / 4
-            x = left["n"].to_numpy()[:, None]
-            fits = (equal >= least) & (np.minimum(x, n) * 100 >= np.maximum(x, n) * percent) & (left["component"].to_numpy()[:, None] != component)
-            for i, items in enumerate(left["items"]):
-                j = np.flatnonzero(fits[i])
-                if len(j):
-                    j = j[confirmed(items.view(np.uint64), [sets[k] for k in j])]
-                    found.append(np.stack([np.full(len(j), left["rep"].iloc[i]), rep[j]], axis=1))
-        return pd.DataFrame(np.unique(np.sort(np.concatenate(found), axis=1), axis=0), columns=["a", "b"])
+            equal = (count + _signs([signatures[k] for k in left], count) @ _signs([signatures[k] for k in right], count).T) / 4
+            x, y = n[left][:, None], n[right]
+            fits = (equal >= least) & (np.minimum(x, y) * 100 >= np.maximum(x, y) * percent) & (component[left][:, None] != component[right])
+            for i in np.flatnonzero(fits.any(axis=1)):
+                j = right[np.flatnonzero(fits[i])]
+                j = j[confirmed(sets[left[i]], [sets[k] for k in j])]
+                found.append(np.stack([np.full(len(j), rep[left[i]]), rep[j]], axis=1))
+        links = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        return pa.table({"a": pa.array(links[:, 0]), "b": pa.array(links[:, 1])})
 
     return run
 
@@ -140,30 +149,40 @@ def _similar(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, margin: float = MARGIN, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs`` (``doc_id, text``; other columns are ignored).
 
     Documents link if 100 times the common shingles reach ``percent`` times all their shingles (five lower-cased words each;
     a shorter text is one shingle). The component is the smallest doc_id that links lead to. Null, empty and blank texts
-    have no shingle and link with nothing; rows without doc_id have no component. Where a doc_id is
+    have no shingle and link with nothing; rows without doc_id have no component. Classes are those of texts: where a doc_id is
     repeated, each row has the component of its own text. An empty table gives an empty result. No cap on partners: whatever shares
     a band is compared, in blocks of bounded size, by signature and, where that cannot rule a link out, by full sets.
     """
+    return _components(docs, **options).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, margin: float = MARGIN, block: int = BLOCK) -> DataFrame:
+    """The rows of ``near_duplicates`` with ``set_key`` and ``component``, a number for each component of texts (null without shingles).
+
+    Texts with the same shingles are one class, which has a number of its own (``rep``), as a doc_id may stand for several texts.
+    """
     count = bands * rows
     least = float(least_equal(count, percent, margin))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     marks = cut_plain(base.select("doc_id", sketch(bands, rows)(F.col("text")).alias("s")).select("doc_id", "s.*"))
     some = marks.where("n > 0 AND doc_id IS NOT NULL")
-    classes = cut_plain(some.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    own = (F.col("doc_id") == F.col("rep")) & (some["set_key"] == classes["set_key"])
-    reps = cut_plain(some.join(classes.hint("merge"), own).select("rep", "n", some["set_key"], "bands", "signature"))
+    classes = cut_plain(some.groupBy("set_key").agg(F.min("doc_id").alias("low")).withColumn("rep", F.monotonically_increasing_id()))
+    named = classes.select(F.col("set_key").alias("c_key"), "low", "rep")
+    own = (F.col("doc_id") == F.col("low")) & (F.col("set_key") == F.col("c_key"))
+    # One row a class, even where a row is repeated; the join has dealt the rows by both columns already.
+    reps = cut_plain(some.join(named.hint("merge"), own).dropDuplicates(["doc_id", "set_key"]).select("rep", "low", "n", "set_key", "bands", "signature"))
     filed = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = filed.groupBy(F.col("bucket").alias("k")).agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("k", "first")
     member = cut_plain(filed.join(shared.hint("merge"), F.col("bucket") == F.col("k")).select("bucket", "rep", "first"))
     # The sets of all documents that share a bucket. The join is a merge join at every size: texts move once.
-    sign = reps.join(member.select(F.col("rep").alias("w")).distinct(), F.col("rep") == F.col("w"), "left_semi").select("rep", "n", "set_key", "signature")
-    sets = base.join(sign.hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "n", "set_key", "signature", full_set(F.col("text")).alias("s"))
-    sets = cut_plain(sets.where("set_key = s.key").select("rep", "n", "signature", "s.items"))
+    sign = reps.join(member.select(F.col("rep").alias("w")).distinct(), F.col("rep") == F.col("w"), "left_semi").select("rep", "low", "n", "set_key", "signature")
+    sets = base.join(sign.hint("merge"), F.col("doc_id") == F.col("low")).select("low", "rep", "n", "set_key", "signature", full_set(F.col("text")).alias("s"))
+    sets = cut_plain(sets.where("set_key = s.key").dropDuplicates(["low", "set_key"]).select("rep", "n", "signature", "s.items"))
     drop_cut(reps)
 
     star = member.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
@@ -175,15 +194,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     first = cut_plain(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     late = cut_plain(_late_links(member, sets, first, count, percent, margin, block))
-    named = lambda c, n: late.join(first, F.col(c) == F.col("node"), "left").select("a", "b", F.coalesce("component", c).alias(n))
-    second = cut_plain(connected(named("a", "u").join(named("b", "v"), ["a", "b"]).select("u", "v")))
+    told = lambda c, n: late.join(first, F.col(c) == F.col("node"), "left").select("a", "b", F.coalesce("component", c).alias(n))
+    second = cut_plain(connected(told("a", "u").join(told("b", "v"), ["a", "b"]).select("u", "v")))
     for table in (member, sets, tested, late):
         drop_cut(table)
     step = first.select(F.col("node").alias("f_node"), F.col("component").alias("f_component"))
-    known = classes.join(step, F.col("rep") == F.col("f_node"), "left").select("set_key", F.coalesce("f_component", "rep").alias("c"))
-    known = known.join(second, F.col("c") == F.col("node"), "left").select(F.col("set_key").alias("c_key"), F.coalesce("component", "c").alias("component"))
-    out = marks.join(known, F.col("set_key") == F.col("c_key"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    known = named.join(step, F.col("rep") == F.col("f_node"), "left").select("c_key", "low", F.coalesce("f_component", "rep").alias("c"))
+    known = cut_plain(known.join(second, F.col("c") == F.col("node"), "left").select("c_key", "low", F.coalesce("component", "c").alias("component")))
+    least_id = known.groupBy("component").agg(F.min("low").alias("component_id"))
+    out = marks.join(known.join(least_id, "component"), F.col("set_key") == F.col("c_key"), "left")
+    shown = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), shown, "set_key", "component")
 
 
 def _late_links(member: DataFrame, sets: DataFrame, first: DataFrame, count: int, percent: int, margin: float, block: int) -> DataFrame:
@@ -209,7 +230,7 @@ def _late_links(member: DataFrame, sets: DataFrame, first: DataFrame, count: int
     facing = full.join(pairs, F.col("block") == F.col("a")).withColumn("side", F.lit(0))
     facing = facing.union(full.join(pairs.where("a < b"), F.col("block") == F.col("b")).withColumn("side", F.lit(1)))
     groups = 1 + pairs.count() // PAIRS_AT_ONCE
-    return facing.withColumn("g", F.pmod(F.xxhash64("a", "b"), F.lit(groups))).groupBy("g").applyInPandas(_block_links(count, percent, margin), "a bigint, b bigint").distinct()
+    return facing.withColumn("g", F.pmod(F.xxhash64("a", "b"), F.lit(groups))).groupBy("g").applyInArrow(_block_links(count, percent, margin), "a bigint, b bigint").distinct()
 
 
 def equal_minima(count: int) -> Column:
@@ -228,10 +249,25 @@ def equal_minima(count: int) -> Column:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, in the columns of ``docs``: the one with the smallest doc_id. Rows without doc_id stay."""
-    found = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("k_doc")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("k_doc"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id IS NULL"))
+    """One document of each component, in the columns of ``docs``: the one with the smallest doc_id. Rows without doc_id stay.
+
+    Where that doc_id stands for several texts of the component, or its row is repeated, one row stays, the same at each run.
+    Rows without shingles stay, one for each doc_id.
+    """
+    found = cut_plain(_components(docs, **options).where("doc_id IS NOT NULL").select("doc_id", "set_key", "component", "component_id"))
+    best = F.min(F.struct("doc_id", "set_key"))
+    linked = found.where("component IS NOT NULL AND doc_id = component_id").groupBy("component").agg(best.alias("k"))
+    kept = linked.select("k.*").union(found.where("component IS NULL").select("doc_id", "set_key").distinct())
+    often = found.groupBy("doc_id").agg(F.count("*").alias("n_rows")).where("n_rows > 1").select(F.col("doc_id").alias("o_doc"))
+    kept = kept.join(often, F.col("doc_id") == F.col("o_doc"), "left").select(F.col("doc_id").alias("k_doc"), F.col("set_key").alias("k_key"), F.col("o_doc").isNotNull().alias("often"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    once = row.join(kept.where("NOT often"), F.col("row.doc_id") == F.col("k_doc"), "left_semi")
+    # Only rows of repeated ids need their text's class again.
+    several = row.join(kept.where("often"), F.col("row.doc_id") == F.col("k_doc")).select("row", "k_doc", "k_key", full_set(F.col("row.text"))["key"].alias("key"))
+    several = several.where(F.coalesce(F.col("k_key") == F.col("key"), F.col("key") == F.lit(EMPTY_KEY)))
+    order = W.partitionBy("k_doc", "key").orderBy(F.xxhash64("row"), F.col("row.text"))
+    several = several.withColumn("place", F.row_number().over(order)).where("place = 1").select("row")
+    return once.union(several).union(row.where("row.doc_id IS NULL")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
