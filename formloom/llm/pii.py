@@ -33,6 +33,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_-]{16,})")
 DIGIT_RUN = re.compile(r"[0-9][0-9.]*")
 TRIGGER = re.compile(r"[0-9@]+")
+BLANK = re.compile(r"[ \t\n\r\x0b\x0c]")
+#: A long value after a colon or equals sign, and the telling names that may stand before it.
+VALUE = re.compile(r"[:=]\s{0,3}[\"']?[A-Za-z0-9+/_-]{16,}")
+TELLING = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|key)\b[\"']?\s{0,3}$")
 PIECE = re.compile(r"\w+|\s+|[^\w\s]")
 SPACE = " \t\n\r\x0b\x0c"
 #: Pieces in a segment at most.
@@ -49,10 +53,13 @@ def luhn(digits: str) -> bool:
 
 
 def _chunk(text: str, at: int) -> tuple[int, int]:
-    """The stretch without white space around a place."""
-    start = 1 + max(text.rfind(c, 0, at) for c in SPACE)
-    end = min((e for c in SPACE if (e := text.find(c, at)) >= 0), default=len(text))
-    return start, end
+    """The stretch without white space around a place. No more of the text is looked at than a few times the stretch."""
+    start, reach = 0, 64
+    while not start and reach < 4 * at + 256:
+        start = 1 + max(text.rfind(c, max(0, at - reach), at) for c in SPACE)
+        reach *= 4
+    blank = BLANK.search(text, at)
+    return start, blank.start() if blank else len(text)
 
 
 def base_spans(text: str) -> list[Span]:
@@ -76,17 +83,32 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def islands(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches that hold triggers near each other, widened to white space. Outside them no segment can be personal data."""
-    start = end = -1
+def _opening(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches, in order, around digits and at-signs and from telling names to the end of their values."""
+    named = ((a.start(), _chunk(text, m.end() - 1)[1]) for m in VALUE.finditer(text) if (a := TELLING.search(text, max(0, m.start() - 24), m.start())))
+    named = ((_chunk(text, a)[0], b) for a, b in named)
+    value, end = next(named, None), -1
     for m in TRIGGER.finditer(text):
         if m.start() < end:
             continue
-        a, b = _chunk(text, m.start())
+        start, end = _chunk(text, m.start())
+        while value and value[0] < start:
+            yield value
+            value = next(named, None)
+        yield start, end
+    while value:
+        yield value
+        value = next(named, None)
+
+
+def islands(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches that hold triggers near each other, widened to white space. Outside them no segment can be personal data."""
+    start = end = -1
+    for a, b in _opening(text):
         if start >= 0 and a - end > APART:
             yield start, end
             start = a
-        start, end = (a if start < 0 else start), b
+        start, end = (a if start < 0 else start), max(b, end)
     if start >= 0:
         yield start, end
 
@@ -306,7 +328,7 @@ def training_texts(texts: pa.Array) -> pa.Array:
 def train(docs: DataFrame, max_docs: int = 20000, max_islands: int = 1500) -> Field:
     """Fits on islands of at most ``max_docs`` documents, the first in hash order, ``max_islands`` of them in all."""
     place = F.xxhash64(F.lit("pii"), F.col("doc_id"))
-    picked = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(place, "doc_id").limit(max_docs).distinct().withColumnRenamed("doc_id", "s_doc")
+    picked = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(place, "doc_id").limit(max_docs).withColumnRenamed("doc_id", "s_doc")
     # The sample has a fixed bound, so it may be broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("s_doc")).where(F.col("text").rlike("[0-9@]"))
     found = rows.select(F.explode(training_texts(F.col("text"))).alias("t")).distinct().orderBy(F.xxhash64("t"), "t").limit(max_islands)
@@ -317,11 +339,13 @@ def find_personal(docs: DataFrame, field: Field | None = None, **options) -> Dat
     """``docs`` with ``pii_base`` and ``pii_added`` (arrays of kind, start, end in code points, end exclusive).
 
     Whole texts are searched; null and empty ones have no spans. Base spans of different kinds may overlap; added ones
-    overlap nothing. Rows keep their columns; repeated rows are searched each.
+    overlap nothing. Rows keep their columns, but for columns of these two names, which are replaced; repeated rows are searched
+    each. An empty table gives no rows.
     """
     field = field or train(docs, **options)
-    found = docs.withColumn("pii_found", finder(field)(F.col("text")))
-    return found.withColumn("pii_base", F.col("pii_found.base")).withColumn("pii_added", F.col("pii_found.added")).drop("pii_found")
+    own = [c for c in docs.columns if c not in ("pii_base", "pii_added")]
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), finder(field)(F.col("text")).alias("found"))
+    return found.select("row.*", F.col("found.base").alias("pii_base"), F.col("found.added").alias("pii_added"))
 
 
 @F.arrow_udf(StringType())
@@ -344,4 +368,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     every = F.array_sort(F.transform(F.concat("pii_base", "pii_added"), lambda s: F.struct(place[s["kind"]].alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     of_kind = lambda kind: F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[of_kind(k) for k in BASE_KINDS], F.sha2(joined(F.col("pii_base")), 256).alias("base_sha256"), joined(every).alias("spans"))
+    secrets = F.size(F.filter("pii_added", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret")
+    added = F.size("pii_added").cast("long").alias("n_added")
+    return found.select("doc_id", *[of_kind(k) for k in BASE_KINDS], secrets, added, F.sha2(joined(F.col("pii_base")), 256).alias("base_sha256"), joined(every).alias("spans"))
