@@ -136,17 +136,19 @@ def held_out() -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_positives: int = 8000, max_web: int = 16000) -> Model:
     """Fits on at most ``max_positives`` documents with quality 1 and ``max_web`` others, both the first in hash order.
 
-    Held-out rows give neither. Of several labels of a document the lowest holds; null labels count as none.
+    Held-out rows give neither. A repeated doc_id counts once, with its least text. Of several labels of a document the lowest holds; null labels count as none.
     """
     place = F.xxhash64(F.lit("pu"), F.col("doc_id"))
     good = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where(F.col("q") == 1)
     pos = good.where(~held_out()).join(docs.select(F.col("doc_id").alias("d")).distinct(), F.col("doc_id") == F.col("d"), "left_semi")
     pos = pos.select("doc_id").orderBy(place, "doc_id").limit(max_positives).select(F.col("doc_id").alias("s_doc"), F.lit(True).alias("positive"))
-    web = docs.where(~held_out()).where("doc_id IS NOT NULL").select("doc_id").orderBy(place, "doc_id").limit(max_web).distinct()
+    web = docs.where(~held_out()).where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(place, "doc_id").limit(max_web)
     picked = pos.union(web.select("doc_id", F.lit(False)))
     # The sample has a fixed bound, so it may be broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("s_doc")).select("doc_id", "positive", features(F.col("text")).alias("x"))
-    got = rows.toArrow().to_pandas().drop_duplicates(["doc_id", "positive"]).sort_values(["positive", "doc_id"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("s_doc"))
+    # A repeated id gives one row, its least text, so that no more rows than the sample has reach the driver.
+    texts = texts.groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
+    got = texts.select("doc_id", "positive", features(F.col("text")).alias("x")).toArrow().to_pandas().sort_values(["positive", "doc_id"])
     matrix = lambda flag: np.array([*got.loc[got["positive"] == flag, "x"]], np.float64).reshape(-1, len(FEATURES))
     return fit_model(matrix(True), matrix(False))
 
@@ -168,7 +170,8 @@ def score(model: Model) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` with ``quality_score`` (0 to 1) and ``quality_ok`` added; whole texts are scored, null and empty ones too.
 
-    Rows keep their columns, nulls included; repeated rows are scored each. Without usable labels every document passes.
+    Rows keep their columns, nulls included, but for columns of these two names, which are replaced; repeated rows are scored
+    each. Without usable labels every document passes; an empty table gives no rows.
     """
     model = train(docs, labels, **options)
     return docs.withColumn("quality_score", score(model)(F.col("text"))).withColumn("quality_ok", F.col("quality_score") >= 0.5)
