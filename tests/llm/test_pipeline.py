@@ -110,6 +110,6 @@ def test_stages_keep_the_columns(spark, folder):
 
 
 def test_registry():
-    assert sorted(re.match(r"op(\d+)_", n)[1] for n in QUERIES if n.startswith("op")) == sorted(map(str, range(1, 11)))
+    assert sorted(re.match(r"op(\d+)_", n)[1] for n in QUERIES if n.startswith("op")) == sorted(map(str, range(1, 14)))
     assert set(ORACLES) <= set(QUERIES) and QUERIES["pipeline"] is corpus_pipeline.run and corpus_pipeline.ORACLE_SQL is None
-    assert mixing.WEIGHTS == (5, 2, 1) and bpe.SHORT_WORD > 0
+    assert mixing.WEIGHTS == (5, 2, 1) and bpe.LONG_WORD > 0
