@@ -55,31 +55,36 @@ def as_rects(points: DataFrame) -> DataFrame:
     )
 
 
+#: Blocks of at least so many rows are filed by bands of so many rows, lower ones by row.
+BAND = 64
+
+
 def attach_anchor(points: DataFrame, merges: DataFrame) -> DataFrame:
     """Adds ``a_row, a_col, m_r1, m_c1, is_merged``: where a write to the cell really lands.
 
-    Blocks are unfolded by row only, so a wide block costs its height; a row holds few blocks.
+    Blocks are not unfolded to cells: low ones are filed by their rows, tall ones by bands of rows, so that a block over a
+    whole sheet costs some thousand rows; a row holds few blocks.
     """
-    m = merges.select(
-        *KEYS,
-        F.explode(F.sequence("r0", "r1")).alias("row"),
-        F.col("r0").alias("m_r0"),
-        F.col("c0").alias("m_c0"),
-        F.col("r1").alias("m_r1"),
-        F.col("c1").alias("m_c1"),
-    )
-    p, q = points.alias("p"), m.alias("q")
-    on = F.col("p.row") == F.col("q.row")
-    for k in KEYS:
-        on = on & (F.col("p." + k) == F.col("q." + k))
-    on = on & F.col("p.col").between(F.col("q.m_c0"), F.col("q.m_c1"))
-    return p.join(q, on, "left").select(
-        "p.*",
-        F.coalesce("m_r0", F.col("p.row")).alias("a_row"),
-        F.coalesce("m_c0", F.col("p.col")).alias("a_col"),
-        F.coalesce("m_r1", F.col("p.row")).alias("m_r1"),
-        F.coalesce("m_c1", F.col("p.col")).alias("m_c1"),
-        F.col("m_r0").isNotNull().alias("is_merged"),
+    m = merges.select(*[F.col(k).alias("_m_" + k) for k in KEYS], *[F.col(c).alias("_m_" + c) for c in RECT])
+    tall = F.col("_m_r1") - F.col("_m_r0") >= BAND
+    low = m.filter(~tall).withColumn("_m_row", F.explode(F.sequence("_m_r0", "_m_r1")))
+    high = m.filter(tall).withColumn("_m_row", F.explode(F.sequence(F.floor(F.col("_m_r0") / BAND), F.floor(F.col("_m_r1") / BAND))))
+    high = high.select(*[F.col(c).alias(c.replace("_m_", "_h_")) for c in high.columns])
+
+    def on(pre: str, row: Column) -> Column:
+        cond = F.col(f"_{pre}_row") == row
+        for k in KEYS:
+            cond = cond & (F.col(k) == F.col(f"_{pre}_{k}"))
+        return cond & F.col("row").between(F.col(f"_{pre}_r0"), F.col(f"_{pre}_r1")) & F.col("col").between(F.col(f"_{pre}_c0"), F.col(f"_{pre}_c1"))
+
+    j = points.join(low, on("m", F.col("row")), "left").join(high, on("h", F.floor(F.col("row") / BAND)), "left")
+    return j.select(
+        *points.columns,
+        F.coalesce("_m_r0", "_h_r0", "row").alias("a_row"),
+        F.coalesce("_m_c0", "_h_c0", "col").alias("a_col"),
+        F.coalesce("_m_r1", "_h_r1", "row").alias("m_r1"),
+        F.coalesce("_m_c1", "_h_c1", "col").alias("m_c1"),
+        (F.col("_m_r0").isNotNull() | F.col("_h_r0").isNotNull()).alias("is_merged"),
     )
 
 
@@ -130,23 +135,6 @@ def labels(cells: DataFrame, any_value: bool = False) -> DataFrame:
     return cells.filter(keep).select(*POS, strip(F.col("value")).alias("text"))
 
 
-def _covered(merges: DataFrame) -> DataFrame:
-    return anchor_map(merges).select(
-        *POS, F.col("r0").alias("a_row"), F.col("c0").alias("a_col"), F.lit(True).alias("is_merged")
-    )
-
-
-def _with_cover(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """Cells and covered positions side by side: covered cells need not be stored."""
-    base = cells.select(*POS, *["border_" + s for s in SIDES])
-    return (
-        base.join(_covered(merges), POS, "full")
-        .withColumn("is_merged", F.coalesce("is_merged", F.lit(False)))
-        .withColumn("a_row", F.coalesce("a_row", "row"))
-        .withColumn("a_col", F.coalesce("a_col", "col"))
-    )
-
-
 def input_cells(pairs: DataFrame, merges: DataFrame) -> DataFrame:
     """Anchors of all value cells a form names."""
     pts = pairs.select(*KEYS, F.explode(rg.parse_list(F.col("value_cell"))).alias("x")).select(
@@ -157,19 +145,26 @@ def input_cells(pairs: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def input_candidates(cells: DataFrame, merges: DataFrame, box: DataFrame | None = None) -> DataFrame:
-    """Cells that look writable, as anchors: boxed, with a bottom line, or merged. ``box`` limits the scanned positions."""
-    c = _with_cover(cells, merges).filter(F.col("border_bottom").isNotNull() | F.col("is_merged"))
-    c = within_box(c, box) if box is not None else c
-    return c.select(*KEYS, F.col("a_row").alias("row"), F.col("a_col").alias("col")).distinct()
+    """Cells that look writable, as anchors: boxed, with a bottom line, or merged. ``box`` limits the scanned positions.
+
+    A merged block is a candidate where it meets the box; it is taken as a rectangle.
+    """
+    lined = cells.filter(F.col("border_bottom").isNotNull()).select(*POS)
+    blocks = merges.select(*KEYS, *RECT)
+    if box is not None:
+        lined = within_box(lined, box)
+        b = box.select(*KEYS, *[F.col(c).alias("x_" + c) for c in RECT])
+        meets = (F.col("r0") <= F.col("x_r1")) & (F.col("x_r0") <= F.col("r1")) & (F.col("c0") <= F.col("x_c1")) & (F.col("x_c0") <= F.col("c1"))
+        blocks = blocks.join(b, KEYS).filter(meets)
+    at = attach_anchor(lined, merges).select(*KEYS, F.col("a_row").alias("row"), F.col("a_col").alias("col"))
+    return at.unionByName(blocks.select(*KEYS, F.col("r0").alias("row"), F.col("c0").alias("col"))).distinct()
 
 
 def typed_candidates(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """Writable cells with the first matching kind; a merged block counts only at its anchor."""
-    anchor = F.col("is_merged") & (F.col("row") == F.col("a_row")) & (F.col("col") == F.col("a_col"))
-    kind = (
-        F.when(is_boxed(), "boxed").when(F.col("border_bottom").isNotNull(), "bottom_line").when(anchor, "merged_anchor")
-    )
-    return _with_cover(cells, merges).withColumn("kind", kind).filter("kind is not null").select(*POS, "kind")
+    drawn = cells.select(*POS, F.when(is_boxed(), "boxed").when(F.col("border_bottom").isNotNull(), "bottom_line").alias("drawn")).filter("drawn is not null")
+    anchors = merges.select(*KEYS, F.col("r0").alias("row"), F.col("c0").alias("col")).distinct()
+    return drawn.join(anchors, POS, "full").select(*POS, F.coalesce("drawn", F.lit("merged_anchor")).alias("kind"))
 
 
 def static_template_cells(cells: DataFrame, merges: DataFrame) -> DataFrame:
@@ -265,14 +260,24 @@ STRUCTURAL_BORDERS = ("thin", "medium", "thick", "double", "hair")
 PLAIN_FILLS = ("00000000", "FFFFFFFF", "FF000000")
 
 
-def interesting_cells(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """Cells with a value, a structural border, a visible fill, or inside a merged block."""
+def interesting_points(cells: DataFrame) -> DataFrame:
+    """Stored cells with a value, a structural border or a visible fill."""
     line = F.lit(False)
     for s in SIDES:
         line = line | F.coalesce(F.col("border_" + s).isin(*STRUCTURAL_BORDERS), F.lit(False))
     fill = F.coalesce(~F.col("fill_rgb").isin(*PLAIN_FILLS), F.lit(False))
-    own = cells.filter(F.col("value").isNotNull() | line | fill).select(*POS)
-    return own.unionByName(anchor_map(merges).select(*POS)).distinct()
+    return cells.filter(F.col("value").isNotNull() | line | fill).select(*POS)
+
+
+def interesting_cells(cells: DataFrame, merges: DataFrame, box: DataFrame | None = None) -> DataFrame:
+    """Positions of interesting cells: ``interesting_points`` and all of each merged block, clipped to the sheet's ``box`` if given."""
+    own, blocks = interesting_points(cells), merges.select(*KEYS, *RECT)
+    if box is not None:
+        own = within_box(own, box)
+        b = box.select(*KEYS, *[F.col(c).alias("x_" + c) for c in RECT])
+        clipped = blocks.join(b, KEYS).select(*KEYS, *[f("" + c, "x_" + c).alias(c) for f, c in ((F.greatest, "r0"), (F.greatest, "c0"), (F.least, "r1"), (F.least, "c1"))])
+        blocks = clipped.filter("r0 <= r1 AND c0 <= c1")
+    return own.unionByName(anchor_map(blocks).select(*POS)).distinct()
 
 
 def px_size(axis: Column, size: Column, dpi: int = 96, truncate: bool = False) -> Column:
@@ -355,36 +360,44 @@ def ring_offsets(radius: int = 6) -> list[tuple[int, int, int]]:
     return [(r, c, i) for i, (r, c) in enumerate(order)]
 
 
-def snap_to_interesting(points: DataFrame, interesting: DataFrame, radius: int = 6) -> DataFrame:
+def snap_to_interesting(points: DataFrame, interesting: DataFrame, radius: int = 6, merges: DataFrame | None = None) -> DataFrame:
     """Moves each cell to the nearest interesting one in 8-neighbour distance; none within the radius keeps it.
 
-    ``points`` carry ``row, col``; the result adds ``s_row, s_col``. 169 offsets for radius 6 are a fixed-size table.
+    ``points`` carry ``row, col``; the result adds ``s_row, s_col``. ``interesting`` are positions, ``merges`` rectangles all of
+    whose cells are interesting; they are clipped to the surroundings of a point, not unfolded. Positions are filed in
+    square blocks as wide as the surroundings, so a point meets its own and the neighbouring blocks. Ties go by the order of a
+    breadth-first walk.
     """
-    spark = points.sparkSession
-    offs = F.broadcast(spark.createDataFrame(ring_offsets(radius), "dr int, dc int, ord int"))
-    near = points.select(*POS).distinct().crossJoin(offs)
-    near = near.select(*POS, "ord", (F.col("row") + F.col("dr")).alias("s_row"), (F.col("col") + F.col("dc")).alias("s_col"))
-    hit = interesting.select(*KEYS, F.col("row").alias("s_row"), F.col("col").alias("s_col"))
-    best = (
-        near.join(hit, [*KEYS, "s_row", "s_col"])
-        .groupBy(*POS)
-        .agg(F.min_by(F.struct("s_row", "s_col"), "ord").alias("_s"))
-    )
-    out = points.join(best, POS, "left")
-    return out.select(
-        *points.columns,
-        F.coalesce("_s.s_row", "row").alias("s_row"),
-        F.coalesce("_s.s_col", "col").alias("s_col"),
-    )
+    side = 2 * radius + 1
+    places = {(r, c): k for r, c, k in ring_offsets(radius)}
+    order = F.array(*[F.lit(places[r, c]) for r in range(-radius, radius + 1) for c in range(-radius, radius + 1)])
+    visit = lambda dr, dc: F.element_at(order, ((dr + radius) * side + dc + radius + 1).cast("int"))
+    blk = lambda c: F.floor(c / side)
+
+    own = points.select(*POS).distinct()
+    span = lambda c: F.explode(F.sequence(blk(F.col(c) - radius), blk(F.col(c) + radius)))
+    near = own.withColumn("_br", span("row")).withColumn("_bc", span("col"))
+    cells = interesting.select(*KEYS, F.col("row").alias("s_row"), F.col("col").alias("s_col"), blk(F.col("row")).alias("_br"), blk(F.col("col")).alias("_bc"))
+    close = (F.abs(F.col("s_row") - F.col("row")) <= radius) & (F.abs(F.col("s_col") - F.col("col")) <= radius)
+    hit = near.join(cells, [*KEYS, "_br", "_bc"]).filter(close)
+    hit = hit.select(*POS, visit(F.col("s_row") - F.col("row"), F.col("s_col") - F.col("col")).alias("ord"), "s_row", "s_col")
+    if merges is not None:
+        meets = overlap_join(as_rects(own), merges.select(*KEYS, *RECT), KEYS, grow=radius)
+        clip = lambda c, lo, hi: F.explode(F.sequence(F.greatest(F.col(lo), F.col(c) - radius), F.least(F.col(hi), F.col(c) + radius)))
+        inside = meets.withColumn("s_row", clip("row", "o_r0", "o_r1")).withColumn("s_col", clip("col", "o_c0", "o_c1"))
+        hit = hit.unionByName(inside.select(*POS, visit(F.col("s_row") - F.col("row"), F.col("s_col") - F.col("col")).alias("ord"), "s_row", "s_col"))
+    best = hit.groupBy(*POS).agg(F.min_by(F.struct("s_row", "s_col"), "ord").alias("_s"))
+    return points.join(best, POS, "left").select(*points.columns, F.coalesce("_s.s_row", "row").alias("s_row"), F.coalesce("_s.s_col", "col").alias("s_col"))
 
 
 def anchor_from_points(points: DataFrame, interesting: DataFrame, merges: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
     """One anchor cell per point group: the snapped candidate with the least squared pixel distance to all points.
 
     The sum over points splits into n, sum x, sum x^2 and so on, so candidates meet one summary row per group
-    and points are never paired with candidates. Points carry ``id_col, ord, x, y``.
+    and points are never paired with candidates. Points carry ``id_col, ord, x, y``. ``interesting`` are positions; merged
+    blocks are interesting as well.
     """
-    placed = snap_to_interesting(point_to_cell(points, edges), interesting)
+    placed = snap_to_interesting(point_to_cell(points, edges), interesting, merges=merges)
     cand = placed.select(id_col, *KEYS, "ord", F.col("s_row").alias("row"), F.col("s_col").alias("col"))
     cand = attach_anchor(cand, merges)
     cand = cand.groupBy(id_col, *KEYS, "a_row", "a_col", "m_r1", "m_c1").agg(F.min("ord").alias("ord"))

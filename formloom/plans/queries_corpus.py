@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-
+from formloom.operators import markup as mk
 from formloom.operators import score as sc
 from formloom.plans.queries_audit import CTES_ASSESS, WITH, _assessed
 from formloom.plans.registry import query
@@ -106,6 +106,43 @@ def _(t):
     return d.select("doc_id", F.coalesce(v("$.k"), v("$.raw_text")).alias("k"), (F.size("notes") > 0).alias("failed"))
 
 
+def xml_orders(t):
+    """An XML document for each order; every tenth is not well-formed."""
+    c = lambda n: F.col(n).cast("string")
+    line = F.concat(
+        F.lit("\n  <line no='"), c("ln"), F.lit("'><part>P&amp;"), c("p"), F.lit("</part>"),
+        F.when(F.col("q") % 2 == 0, F.concat(F.lit('<qty unit="pc">'), c("q"), F.lit("</qty>"))).otherwise(""),
+        F.when(F.col("s") % 3 == 0, F.concat(F.lit("<tag>"), c("f"), F.lit("</tag> <tag>"), c("st"), F.lit("</tag>"))).otherwise(""), F.lit("</line>"),
+    )
+    d = t.li.groupBy("o").agg(F.array_sort(F.collect_list(F.struct("ln", line.alias("x")))).alias("x"))
+    text = F.concat(
+        F.lit('<?xml version="1.0"?>\n<order id="'), c("o"), F.lit('"><!-- <lines> --><lines n="'), F.size("x").cast("string"), F.lit('"> all '),
+        F.array_join(F.transform("x", lambda k: k["x"]), ""), F.when(F.col("o") % 10 == 0, "").otherwise("</lines>"), F.lit("<note/></order>"),
+    )
+    return d.select(F.col("o").alias("doc_id"), F.lit("order.xml").alias("path"), text.alias("text"))
+
+
+@query(
+    "a9_xml_tree",
+    """WITH l AS (SELECT o, ln, '{"@attributes": {"no": "' || ln || '"}, "part": "P&' || p || '"' || CASE WHEN q % 2 = 0 THEN ', "qty": {"@attributes": {"unit": "pc"}, "#text": "' || q || '"}' ELSE '' END
+      || CASE WHEN s % 3 = 0 THEN ', "tag": ["' || f || '", "' || st || '"]' ELSE '' END || '}' AS x FROM <<li>>),
+      g AS (SELECT o, count(*) AS n, string_agg(x, ', ' ORDER BY ln) AS x FROM l GROUP BY 1)
+      SELECT o AS doc_id, CASE WHEN o % 10 > 0 THEN '{"@attributes": {"id": "' || o || '"}, "lines": {"@attributes": {"n": "' || n || '"}, "line": ' || CASE WHEN n > 1 THEN '[' || x || ']' ELSE x END || ', "#text": "all"}, "note": ""}' END AS tree FROM g""",
+)
+def _(t):
+    return mk.xml_trees(xml_orders(t))
+
+
+@query(
+    "a9_xml_structured",
+    "SELECT o AS doc_id, CASE WHEN o % 10 > 0 THEN CAST(count(*) AS VARCHAR) END AS n, CASE WHEN o % 10 > 0 THEN '' END AS note, o % 10 = 0 AS failed FROM <<li>> GROUP BY 1",
+)
+def _(t):
+    d = rd.parse_structured(xml_orders(t))
+    v = lambda p: F.try_variant_get("tree", p, "string")
+    return d.select("doc_id", v("$.lines['@attributes'].n").alias("n"), v("$.note").alias("note"), (F.size("notes") > 0).alias("failed"))
+
+
 @query("a10_read_text", "SELECT doc_id, md5(text) AS h, FALSE AS latin1 FROM documents UNION ALL SELECT doc_id + 1000000, md5('caf' || chr(233) || doc_id), TRUE FROM documents")
 def _(t):
     utf = t.documents.select("doc_id", F.encode(F.concat(F.lit("﻿"), F.col("text")), "UTF-8").alias("content"))

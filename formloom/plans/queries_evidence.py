@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from formloom.functions import lines as ln
@@ -9,6 +10,8 @@ from formloom.functions import trees as tr
 from formloom.functions import text as tx
 from formloom.operators import evidence as ev
 from formloom.operators import grid as g
+from formloom.operators import markup as mk
+from formloom.operators import tables as tb
 from formloom.plans.registry import q_lines, query
 
 TRIM = "trim({0}, ' ' || chr(9) || chr(10))"
@@ -83,6 +86,45 @@ def _(t):
     return d.select("c_custkey", "row", (F.col("ci") + 1).alias("cell"), "c.*")
 
 
+def nested_pages(t):
+    """A page for each order: a table with a row a line, tables inside some cells, end tags left out in places, and an empty table."""
+    c = lambda n: F.col(n).cast("string")
+    inner = F.concat(F.lit("<table border=0><tr><td>"), c("p"), F.lit('<td rowspan="2">'), c("q"), F.lit("</table>"))
+    row = F.concat(F.lit("<tr><td>L"), c("ln"), F.lit(" "), F.when(F.col("s") % 2 == 0, inner).otherwise(""), F.when(F.col("ln") % 2 == 0, "</td></tr>\n").otherwise(""))
+    d = t.li.groupBy("o").agg(F.array_sort(F.collect_list(F.struct("ln", row.alias("x")))).alias("x"))
+    head = F.concat(F.lit("<h1>x</h1></table><TABLE><tr><th>Order "), c("o"), F.lit("</th><td colspan=2>"))
+    text = F.concat(head, F.array_join(F.transform("x", lambda k: k["x"]), ""), F.lit("</table><!-- <table><tr><td>no --><table></table>"))
+    return d.select(F.col("o").alias("doc_id"), text.alias("text"))
+
+
+Q_NEST = "(SELECT o, ln, p, q, s % 2 = 0 AS nested, sum(CASE WHEN s % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY o ORDER BY ln) AS k FROM <<li>>)"
+
+
+@query(
+    "f5_nested_tables",
+    f"""WITH x AS (SELECT * FROM {Q_NEST}), r AS (SELECT DISTINCT o, 0 AS ln, 0 AS j, 1 AS t, 'Order ' || o || '|' AS cells FROM x
+      UNION ALL SELECT o, ln, 1, 1, CASE WHEN nested THEN 'L' || ln || ' ' || p || ' ' || q || '|' || p || '|' || q ELSE 'L' || ln END FROM x
+      UNION ALL SELECT o, ln, 2, 1, p || '|' || q FROM x WHERE nested UNION ALL SELECT o, ln, 2, 1 + k, p || '|' || q FROM x WHERE nested)
+      SELECT o AS doc_id, CAST(t AS INT) AS table_idx, CAST(row_number() OVER (PARTITION BY o, t ORDER BY ln, j) AS INT) AS row, cells FROM r""",
+)
+def _(t):
+    return mk.table_rows(mk.page_cells(nested_pages(t))).withColumn("cells", F.array_join("cells", "|"))
+
+
+@query(
+    "f5_table_grid",
+    f"""WITH x AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY ln) + 1 AS r FROM {Q_NEST}),
+      c AS (SELECT DISTINCT o, 1 AS t, 1 AS row, 1 AS col, 1 AS rs, 1 AS cs, 'Order ' || o AS text FROM x UNION ALL SELECT DISTINCT o, 1, 1, 2, 1, 2, '' FROM x
+      UNION ALL SELECT o, 1, r, 1, 1, 1, CASE WHEN nested THEN 'L' || ln || ' ' || p || ' ' || q ELSE 'L' || ln END FROM x
+      UNION ALL SELECT o, 1 + k, 1, 1, 1, 1, CAST(p AS VARCHAR) FROM x WHERE nested UNION ALL SELECT o, 1 + k, 1, 2, 2, 1, CAST(q AS VARCHAR) FROM x WHERE nested)
+      SELECT o AS doc_id, CAST(t AS INT) AS table_idx, CAST(row AS INT) AS row, CAST(col AS INT) AS col, CAST(rs AS INT) AS row_span, CAST(cs AS INT) AS col_span, text FROM c""",
+)
+def _(t):
+    placed = tb.place_spans(mk.grid_cells(mk.page_cells(nested_pages(t))), ["doc_id", "table_id"])
+    idx = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("table_id"))
+    return placed.select("doc_id", idx.alias("table_idx"), "row", "col", "row_span", "col_span", "text")
+
+
 Q_ENT = "regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
 for _name, _ch in ln.ENTITIES.items():
     Q_ENT = f"replace({Q_ENT}, '&{_name};', '{_ch if _ch != chr(39) else chr(39) * 2}')"

@@ -270,7 +270,7 @@ Q_SNAP = f"""(SELECT p.*, coalesce(s.sr, p.row) AS s_row, coalesce(s.sc, p.col)
 @query("c19_snap_to_interesting", f"SELECT wb_id, sheet, ord, row, col, s_row, s_col FROM {Q_SNAP}")
 def _(t):
     placed = g.point_to_cell(points(t), g.grid_edges(t.dims))
-    return g.snap_to_interesting(placed, g.interesting_cells(t.cells_t, t.merges), 2).select(*g.KEYS, "ord", "row", "col", "s_row", "s_col")
+    return g.snap_to_interesting(placed, g.interesting_points(t.cells_t), 2, t.merges).select(*g.KEYS, "ord", "row", "col", "s_row", "s_col")
 
 
 Q_SNAP6 = Q_SNAP.replace(Q_RING, ", ".join(f"({r}, {c}, {i})" for r, c, i in g.ring_offsets(6)))
@@ -289,7 +289,7 @@ Q_SNAP6 = Q_SNAP.replace(Q_RING, ", ".join(f"({r}, {c}, {i})" for r, c, i in g.r
 )
 def _(t):
     p = points(t).withColumn("group_id", F.col("wb_id"))
-    return g.anchor_from_points(p, g.interesting_cells(t.cells_t, t.merges), t.merges, g.grid_edges(t.dims), "group_id")
+    return g.anchor_from_points(p, g.interesting_points(t.cells_t), t.merges, g.grid_edges(t.dims), "group_id")
 
 
 VALIDATIONS = """SELECT CAST(o AS STRING) AS wb_id, 'S1' AS sheet, 'B' || CAST(ln + 1 AS STRING) || ' E' || CAST(ln + 1 AS STRING) || ':F' || CAST(ln + 2 AS STRING) AS sqref,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from formloom.operators import grid as g
 from formloom.operators import layout as lay
 from formloom.operators import tables as tb
-from formloom.plans.queries_grid import Q_POINTS, points, q_edges
+from formloom.plans.queries_grid import Q_ANCHOR, Q_PLACED, Q_POINTS, Q_SNAP6, points, q_edges
 from formloom.plans.registry import query
 
 ELEM = """SELECT CAST(user_id AS BIGINT) AS doc_id, CAST(event_id % 3 AS INT) AS page, CAST(event_id % 2 AS INT) AS table_idx, CAST(event_id AS BIGINT) AS item_id, event_type AS text, CAST(event_id % 100 AS DOUBLE) / 100 AS score,
@@ -235,10 +235,25 @@ def _(t):
     return lay.slots_from_mask(t.sql(RUNS.replace("{li}", LI)), g.grid_edges(t.dims)).select(*g.KEYS, "row", "col", "slot_id")
 
 
-@query("g16_slots_from_components")
+Q_COMP = f"(SELECT *, CAST(wb_id AS VARCHAR) || '/' || CAST(ord % 2 AS VARCHAR) AS comp_id FROM {Q_PLACED})"
+
+
+@query(
+    "g16_slots_from_components",
+    f"""WITH e AS (SELECT * FROM {q_edges()}), pts AS (SELECT * FROM {Q_COMP}), snap AS (SELECT * FROM {Q_SNAP6}),
+     cand AS (SELECT c.comp_id, s.wb_id, coalesce(m.r0, s_row) AS r0, coalesce(m.c0, s_col) AS c0, coalesce(m.r1, s_row) AS r1, coalesce(m.c1, s_col) AS c1, min(s.ord) AS ord
+       FROM snap s JOIN pts c USING (wb_id, ord) LEFT JOIN {Q_ANCHOR} m ON m.wb_id = s.wb_id AND m.row = s_row AND m.col = s_col GROUP BY 1, 2, 3, 4, 5, 6),
+     mid AS (SELECT c.*, (e1.edge0 + e2.edge1) / 2 AS cy, (e3.edge0 + e4.edge1) / 2 AS cx FROM cand c
+       JOIN e e1 ON e1.wb_id = c.wb_id AND e1.axis = 'row' AND e1.idx = c.r0 JOIN e e2 ON e2.wb_id = c.wb_id AND e2.axis = 'row' AND e2.idx = c.r1
+       JOIN e e3 ON e3.wb_id = c.wb_id AND e3.axis = 'col' AND e3.idx = c.c0 JOIN e e4 ON e4.wb_id = c.wb_id AND e4.axis = 'col' AND e4.idx = c.c1),
+     cost AS (SELECT m.comp_id, m.wb_id, m.r0, m.c0, m.ord, round(sum((m.cx - p.x) * (m.cx - p.x) + (m.cy - p.y) * (m.cy - p.y)), 6) AS cost FROM mid m JOIN pts p USING (comp_id) GROUP BY 1, 2, 3, 4, 5),
+     best AS (SELECT *, row_number() OVER (PARTITION BY comp_id ORDER BY cost, ord) AS rn FROM cost),
+     span AS (SELECT comp_id, wb_id, min(row) AS r0, min(col) AS c0, max(row) AS r1, max(col) AS c1 FROM pts GROUP BY 1, 2)
+     SELECT s.comp_id, s.wb_id, 'S1' AS sheet, s.r0, s.c0, s.r1, s.c1, b.r0 AS row, b.c0 AS col FROM span s JOIN best b ON b.comp_id = s.comp_id AND rn = 1""",
+)
 def _(t):
     p = points(t).withColumn("comp_id", F.concat_ws("/", "wb_id", (F.col("ord") % 2).cast("string")))
-    return lay.slots_from_components(p, g.interesting_cells(t.cells_t, t.merges), t.merges, g.grid_edges(t.dims))
+    return lay.slots_from_components(p, g.interesting_points(t.cells_t), t.merges, g.grid_edges(t.dims))
 
 
 @query(

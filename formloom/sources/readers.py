@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType
 
 from formloom.functions import text as tx
 from formloom.functions.ranges import let
+from formloom.operators.markup import xml_trees
 
 FORM = "excel string, sheet string, pairs array<struct<label:string,value_cell:string,value:string>>"
 MANIFEST = "case_id string, tenant string, topic string, subtopic string, source_dir string, files array<struct<source_rel:string,copied_name:string,bucket:string,ext:string,size:long>>"
@@ -152,14 +153,25 @@ def parse_delimited(docs: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def parse_structured(docs: DataFrame) -> DataFrame:
-    """JSON texts as a tree; what does not parse keeps its raw text with a note. docs: doc_id, text."""
-    d = docs.select("doc_id", "text", F.inline(F.array(F.struct(F.try_parse_json("text").alias("tree")))))
-    bad = F.col("tree").isNull()
+    """JSON and XML texts as a tree; what does not parse keeps its raw text with a note. docs: doc_id, text, and path where files differ.
+
+    Without a path texts are JSON. A path with another suffix than json or xml gives the raw text, without a note.
+    """
+    kind = suffix(F.col("path")) if "path" in docs.columns else F.lit("json")
+    d = docs.select("doc_id", "text", kind.alias("_kind"))
+    tree = F.try_parse_json("text")
+    if "path" in docs.columns:
+        d = d.join(xml_trees(d.where("_kind = 'xml'")).withColumnRenamed("tree", "_xml"), "doc_id", "left")
+        tree = F.when(F.col("_kind") == "xml", F.try_parse_json("_xml")).when(F.col("_kind") == "json", tree)
+    d = d.select("doc_id", "text", "_kind", F.inline(F.array(F.struct(tree.alias("tree")))))
+    bad = F.col("tree").isNull() & F.col("_kind").isin("json", "xml")
     return d.select("doc_id", F.coalesce("tree", F.to_variant_object(F.struct(F.col("text").alias("raw_text")))).alias("tree"), F.when(bad, F.array(F.lit("parse_failed"))).otherwise(F.array().cast("array<string>")).alias("notes"))
 
 
-def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
+def read_structured(spark: SparkSession, path: str) -> DataFrame:
+    """JSON and XML files of a folder as trees; ``doc_id`` is the file's path."""
+    d = read_text(spark, path)
+    return parse_structured(d.select(F.col("path").alias("doc_id"), "path", "text"))
 
 
 @F.pandas_udf(StringType())
