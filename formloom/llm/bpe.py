@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from formloom.llm.common import read_table
+from formloom.llm.common import give_back, read_table
 
 # Fixed value: the pattern by which the vocabulary's tokenizer separates words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -318,7 +318,7 @@ def token_batches(v: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[
             ids = encode_batch(v, rows.column(rows.num_columns - 1).to_pylist())
             names = [*batch.schema.names[:-1], "ids", "decoded"]
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], ids, decode_batch(v, ids)], names)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def digest_batches(v: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,10 +35,24 @@ SLICE = 512
 def by_slices(work: Callable[[list], pa.Array], texts: pa.Array, size: int = SLICE) -> pa.Array:
     """A batch's result, a slice at a time, so that a worker holds what belongs to few texts."""
     out = pa.concat_arrays([work(texts.slice(k, size).to_pylist()) for k in range(0, max(len(texts), 1), size)])
-    pa.default_memory_pool().release_unused()
+    give_back()
     return out
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Returns memory that a worker has freed to the system: idle workers stay, and keep what they hold."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def cut_plain(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """``cut_lineage`` for tables of ids and hashes, without a codec."""
     return cut_lineage(df, replaces, compression="uncompressed")

@@ -8,6 +8,9 @@ signature cannot rule out on the full sets. Only confirmed links leave the task,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -16,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from formloom.llm.common import by_slices, cut_plain, read_table
+from formloom.llm.common import by_slices, cut_plain, give_back, read_table
 from formloom.llm.components import connected
 from formloom.llm.shingles import Minima, mix, shingle_set
 from formloom.session import drop_cut
@@ -28,8 +31,6 @@ PERCENT = 75
 MARGIN = 5.0
 #: Documents of a block, about.
 BLOCK = 512
-#: Pairs of blocks that one call gets on average; most blocks have a few documents.
-PAIRS_AT_ONCE = 4
 
 
 def _signature(minima: np.ndarray) -> list[bytes]:
@@ -112,16 +113,15 @@ def _block_links(count: int, percent: int, margin: float):
         common = np.add.reduceat((one[at] == every).astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
         return common * 100 >= (len(one) + sizes - common) * percent
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("a", "ascending"), ("b", "ascending"), ("side", "ascending")]).combine_chunks()
+    def links(rows: pa.Table, starts: np.ndarray) -> np.ndarray:
+        """Links of the pairs of blocks that begin at ``starts``; the last start is the end."""
         a, b, side, rep, component, n = (rows[c].to_numpy() for c in ("a", "b", "side", "rep", "component", "n"))
         items = rows["items"].combine_chunks()
         ends, flat = items.offsets.to_numpy(), items.values.to_numpy().view(np.uint64)
         sets = [flat[x:y] for x, y in zip(ends[:-1], ends[1:])]
         signatures = rows["signature"].to_pylist()
         found = [np.empty((0, 2), np.int64)]
-        starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else []
-        for first, end in zip(starts, [*starts[1:], len(a)]):
+        for first, end in zip(starts[:-1], starts[1:]):
             middle = first + int(np.searchsorted(side[first:end], 1))
             left = np.arange(first, middle)
             right = left if a[first] == b[first] else np.arange(middle, end)
@@ -134,8 +134,24 @@ def _block_links(count: int, percent: int, margin: float):
                 j = right[np.flatnonzero(fits[i])]
                 j = j[confirmed(sets[left[i]], [sets[k] for k in j])]
                 found.append(np.stack([np.full(len(j), rep[left[i]]), rep[j]], axis=1))
-        links = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-        return pa.table({"a": pa.array(links[:, 0]), "b": pa.array(links[:, 1])})
+        return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in the order of pairs and sides; a pair is done once the next one begins."""
+        rest: pa.Table | None = None
+        for batch in chain(batches, (None,)):
+            if batch is None and rest is None:
+                break
+            rows = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            rows = rows.combine_chunks()
+            a, b = rows["a"].to_numpy(), rows["b"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(1, np.int64)
+            if batch is None:
+                starts = np.append(starts, len(a))
+            done = links(rows.slice(0, starts[-1]).combine_chunks(), starts)
+            rest = rows.slice(starts[-1])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(done[:, 0]), "b": pa.array(done[:, 1])})
+        give_back()
 
     return run
 
@@ -229,8 +245,8 @@ def _late_links(member: DataFrame, sets: DataFrame, first: DataFrame, count: int
     full = blocks.join(sets, "rep").select("rep", "component", "block", "n", "signature", "items")
     facing = full.join(pairs, F.col("block") == F.col("a")).withColumn("side", F.lit(0))
     facing = facing.union(full.join(pairs.where("a < b"), F.col("block") == F.col("b")).withColumn("side", F.lit(1)))
-    groups = 1 + pairs.count() // PAIRS_AT_ONCE
-    return facing.withColumn("g", F.pmod(F.xxhash64("a", "b"), F.lit(groups))).groupBy("g").applyInArrow(_block_links(count, percent, margin), "a bigint, b bigint").distinct()
+    facing = facing.select("a", "b", "side", "rep", "component", "n", "signature", "items").repartition("a", "b").sortWithinPartitions("a", "b", "side")
+    return facing.mapInArrow(_block_links(count, percent, margin), "a bigint, b bigint").distinct()
 
 
 def equal_minima(count: int) -> Column:
