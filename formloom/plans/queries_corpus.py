@@ -238,30 +238,21 @@ def _(t):
     return sc.corpus_profile(t.pairs)
 
 
-def _run_stream(t, transform):
-    """Feeds the derived log as JSON lines through the streaming reader and returns the state after all files are read."""
+def _run_stream(t, transform, keys):
+    """Feeds the derived log as JSON lines, spread over files without order, through the stream into a table of its state."""
     src = _folder(t)
-    lines = t.edits.select(F.to_json(F.struct(F.lit("j1").alias("job_id"), "wb_id", "sheet", "target_cell", "old_value", "new_value", "round_idx", "step_idx", "source", "is_actual_edit", "seq")).alias("value"))
-    lines.repartition(4).write.text(src)
-    name = f"state_{uuid.uuid4().hex}"
-    out = _folder(t)
-
-    def keep(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out}/{name}")
-
-    q = (
-        transform(st.read_edit_stream(t.spark, src, max_files=2)).writeStream.outputMode("complete").foreachBatch(keep)
-        .option("checkpointLocation", _folder(t)).trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return t.spark.read.parquet(f"{out}/{name}")
+    lines = t.edits.select("seq", F.to_json(F.struct(F.lit("j1").alias("job_id"), "wb_id", "sheet", "target_cell", "old_value", "new_value", "round_idx", "step_idx", "source", "is_actual_edit", "seq")).alias("value"))
+    lines.repartition(6, F.xxhash64("seq")).select("value").write.text(src)
+    table = st.StateTable(t.spark, _folder(t), keys, every=2)
+    st.run_into(transform(st.read_edit_stream(t.spark, src, max_files=2)), table, _folder(t))
+    return table.read()
 
 
 @query("j1_stream_edit_state", "SELECT wb_id, sheet, target_cell, old_value, new_value, seq FROM (SELECT *, row_number() OVER (PARTITION BY wb_id, sheet, target_cell ORDER BY seq DESC) AS rn FROM <<edits>> WHERE is_actual_edit) WHERE rn = 1")
 def _(t):
-    return _run_stream(t, st.stream_edit_state).select("wb_id", "sheet", "target_cell", "old_value", "new_value", "seq")
+    return _run_stream(t, st.stream_edit_state, st.CELL).select("wb_id", "sheet", "target_cell", "old_value", "new_value", "seq")
 
 
 @query("j2_stream_rollup", "SELECT round_idx, source, count(*) AS n_writes, count(*) FILTER (is_actual_edit) AS n_edits FROM <<edits>> GROUP BY 1, 2")
 def _(t):
-    return _run_stream(t, st.stream_rollup).drop("job_id")
+    return _run_stream(t, st.stream_rollup, ["job_id", "round_idx", "source"]).drop("job_id")

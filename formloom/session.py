@@ -63,10 +63,25 @@ def cut_lineage(df: DataFrame, replaces: DataFrame | None = None, compression: s
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    target, fs = _file_system(spark, path)
+    fs.delete(target, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of the cluster's file system; none where there is no such folder."""
+    target, fs = _file_system(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(target)] if fs.exists(target) else []
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes the files of a table that ``cut_lineage`` wrote, once nothing reads them any more."""
     path = getattr(df, "cut_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+        drop_folder(df.sparkSession, path)
