@@ -182,7 +182,7 @@ def _(t):
 def _assessed(t):
     used, box = _box(t)
     flagged = a.programmatic_flags(_cands(t), a.duplicate_risk_regions(t.saved("cells_f"), t.saved("merges"), box, used), t.bad_ranges)
-    return a.assess(flagged, t.model_flags, t.correct_ranges, t.policies, full=False)
+    return a.assess(flagged, t.model_flags, t.correct_ranges, t.policies, full=True)
 
 
 Q_FLAGS = """array_to_string(list_sort(list_filter(CASE WHEN is_correct OR is_safe THEN [] ELSE [CASE WHEN f_dup THEN 'duplicate_pattern' END, CASE WHEN f_bad THEN 'screenshot_bad_range_hit' END, CASE WHEN hard THEN 'label_area' END,
@@ -224,7 +224,7 @@ JOBS = CTES_TARGET + f""", tx AS (SELECT t.*, e.e_r0, e.e_c0, e.e_r1, e.e_c1 FRO
 
 
 def jobs_of(t):
-    return a.audit_round(t.saved("cells_f"), t.saved("merges"), t.pairs, t.form_edits, t.model_flags, t.bad_ranges, t.correct_ranges, t.policies, full=False)[1]
+    return a.audit_round(t.saved("cells_f"), t.saved("merges"), t.pairs, t.form_edits, t.model_flags, t.bad_ranges, t.correct_ranges, t.policies, full=True)[1]
 
 
 @query("e13_patch_jobs", WITH + JOBS + " SELECT wb_id, sheet, region, kind, key, r0, c0, r1, c1 FROM jobs")

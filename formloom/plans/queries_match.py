@@ -138,6 +138,12 @@ def _(t):
     return t.part.select("p_partkey", tx.text_sim(F.concat_ws("/", "p_name", "p_type"), F.concat_ws("-", "p_type", "p_brand"), full=False).alias("sim"))
 
 
+@query("d9_text_sim_full")
+def _(t):
+    sim_of = tx.text_sim(F.concat_ws("/", "p_name", "p_type"), F.concat_ws("-", "p_type", "p_brand"))
+    return t.part.select("p_partkey", F.round(sim_of, 6).alias("sim"))
+
+
 @query(
     "d10_keys_soft_match",
     f"SELECT x.brand, x.norm AS a, y.norm AS b FROM {Q_BRAND} x JOIN {Q_BRAND} y ON x.brand = y.brand AND x.side = 0 AND y.side = 1 WHERE contains(x.norm, y.norm) OR contains(y.norm, x.norm) OR {q_overlap('x.norm', 'y.norm')} >= 0.75",
@@ -185,7 +191,7 @@ Q_TEXT_TARGETS = "(SELECT * FROM <<targets>> WHERE NOT regexp_full_match(target,
 @query("d13_best_label", f"SELECT wb_id, sheet, target, l_row, l_col, l_text, round(score, 6) AS score FROM {q_best(Q_TEXT_TARGETS, Q_LABELS, 0.74)}")
 def _(t):
     tg = t.targets.select(*g.KEYS, "target").distinct().filter("NOT target rlike '^[A-Za-z]+[0-9]+(:[A-Za-z]+[0-9]+)?$'")
-    return m.best_label(tg, g.labels(t.cells_t), 0.74, full=False).withColumn("score", F.round("score", 6))
+    return m.best_label(tg, g.labels(t.cells_t), 0.74, full=True).withColumn("score", F.round("score", 6))
 
 
 Q_WRITABLE = f"(SELECT wb_id, sheet, row, col FROM {Q_CAND} UNION SELECT wb_id, sheet, r0, 2 FROM {Q_PAIR_RECTS})"
@@ -246,7 +252,7 @@ Q_HINTS = f"""WITH p AS (SELECT wb_id, sheet, pair_idx, key_text, value_cell, {Q
 @query("d16_fused_hints", Q_HINTS)
 def _(t):
     p = t.slot_pairs.withColumn("pair_id", F.col("pair_idx"))
-    d = m.fused_hints(p, g.labels(t.cells_t), g.typed_candidates(t.cells_t, t.merges), g.used_bbox(t.cells_t, t.merges), full=False)
+    d = m.fused_hints(p, g.labels(t.cells_t), g.typed_candidates(t.cells_t, t.merges), g.used_bbox(t.cells_t, t.merges), full=True)
     d = d.filter("row is not null")
     return d.select(*g.KEYS, F.col("pair_id").alias("pair_idx"), "l_row", "l_col", "label_score", "row", "col", "kind", "final_score", "rank")
 
@@ -335,13 +341,13 @@ Q_FOR_KEY = f"""(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTIT
         FROM {Q_BLANK} p JOIN b ON b.wb_id = p.wb_id AND b.target = p.target JOIN r ON r.wb_id = b.wb_id AND r.l_row = b.l_row AND r.l_col = b.l_col) GROUP BY 1, 2, 3, 4""",
 )
 def _(t):
-    return m.policy_guard_cells(t.policies, g.labels(t.cells_t), g.typed_candidates(t.cells_t, t.merges), full=False)
+    return m.policy_guard_cells(t.policies, g.labels(t.cells_t), g.typed_candidates(t.cells_t, t.merges), full=True)
 
 
 @query("d22_blank_policy_for_key", f"SELECT wb_id, key, policy_kind, policy_target, policy_reason, round(score, 4) AS match_score FROM {Q_FOR_KEY}")
 def _(t):
     keys = g.labels(t.cells_t).select("wb_id", F.col("text").alias("key"))
-    return m.blank_policy_for_key(keys, t.policies, full=False)
+    return m.blank_policy_for_key(keys, t.policies, full=True)
 
 
 Q_ANY = f"(SELECT wb_id, sheet, row, col, trim(value) AS text FROM <<cells_f>> WHERE {CONTENT})"
@@ -360,7 +366,7 @@ Q_CONTEXT = f"""WITH tg AS (SELECT * FROM (SELECT *, greatest(1, least(4, radius
 def background(t, n_items: int | None):
     items, inside = m.background_context(
         t.targets, t.cells_f, t.merges, g.typed_candidates(t.cells_t, t.merges), g.labels(t.cells_f, any_value=True),
-        g.used_bbox(t.cells_t, t.merges), n_items=n_items, full=False,
+        g.used_bbox(t.cells_t, t.merges), n_items=n_items, full=True,
     )
     n = inside.groupBy(*g.KEYS, "target_idx").agg(F.count("*").alias("n_cells"), F.min("text").alias("first_text"))
     out = items.join(n, [*g.KEYS, "target_idx"], "left").na.fill({"n_cells": 0, "first_text": ""})
