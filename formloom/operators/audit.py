@@ -29,14 +29,14 @@ def actual_edits_for_round(edits: DataFrame, round_idx: int) -> DataFrame:
     return edits.filter(F.col("is_actual_edit") & (F.col("round_idx") == round_idx))
 
 
-def edit_preview(edits: DataFrame, by: list[str], n: int = 12) -> DataFrame:
-    """First ``n`` distinct edited cells per group in log order, and how many more there are."""
+def edit_preview(edits: DataFrame, by: list[str], n: int | None = None) -> DataFrame:
+    """Distinct edited cells per group in log order; with ``n`` the first so many, and how many more there are."""
     cells = edits.filter(tx.strip(F.col("target_cell")) != "").groupBy(*by, "target_cell").agg(F.min("seq").alias("seq"))
     total = cells.groupBy(*by).agg(F.count("*").alias("n_cells"))
     head = g.top_rows(cells, by, ["seq"], n).groupBy(*by).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "target_cell"))), lambda s: s["target_cell"]).alias("cells")
     )
-    more = F.when(F.col("n_cells") > n, F.concat(F.lit("... +"), (F.col("n_cells") - n).cast("string"), F.lit(" more")))
+    more = F.lit(None).cast("string") if n is None else F.when(F.col("n_cells") > n, F.concat(F.lit("... +"), (F.col("n_cells") - n).cast("string"), F.lit(" more")))
     return total.join(head, by).select(*by, F.array_join(F.array_compact(F.concat("cells", F.array(more))), ", ").alias("preview"), "n_cells")
 
 

@@ -171,9 +171,11 @@ def structure_by_route(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "representation", built.alias("structured"))
 
 
-def sheet_previews(cells: DataFrame, sheets: int, rows: int, cols: int) -> DataFrame:
-    """Top-left corner of the first sheets of each workbook as rows of text; the caps bound what is collected."""
-    c = cells.filter((F.col("row") <= rows) & (F.col("col") <= cols) & F.col("value").isNotNull())
+def sheet_previews(cells: DataFrame, sheets: int | None = None, rows: int | None = None, cols: int | None = None) -> DataFrame:
+    """Sheets as rows of text; limits, for a prompt, keep the top-left corner of the first sheets of a workbook. A sheet is bounded by its format."""
+    c = cells.filter(F.col("value").isNotNull())
+    c = c if rows is None else c.filter(F.col("row") <= rows)
+    c = c if cols is None else c.filter(F.col("col") <= cols)
     first = top_rows(c.select("wb_id", "sheet").distinct(), ["wb_id"], ["sheet"], sheets)
     c = c.join(first, KEYS, "left_semi")
     r = c.groupBy(*KEYS, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("m"), F.max("col").alias("w"))

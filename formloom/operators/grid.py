@@ -195,9 +195,10 @@ def top_rows(df: DataFrame, by: list[str], order: list, n: int | None) -> DataFr
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def structure_preview(cells: DataFrame, n: int = 200, width: int = 120) -> DataFrame:
-    """First text cells per sheet in row-major order, each cut to a width."""
-    t = labels(cells).select(*POS, F.substring("text", 1, width).alias("text"))
+def structure_preview(cells: DataFrame, n: int | None = None, width: int | None = None) -> DataFrame:
+    """Text cells per sheet; for a prompt the first ``n`` in row-major order, each cut to ``width``."""
+    t = labels(cells)
+    t = t if width is None else t.withColumn("text", F.substring("text", 1, width))
     return top_rows(t, KEYS, ["row", "col"], n)
 
 
@@ -206,8 +207,8 @@ def nonempty_cells(cells: DataFrame, box: DataFrame | None = None) -> DataFrame:
     return within_box(out, box) if box is not None else out
 
 
-def template_region_summary(regions: DataFrame, template: DataFrame, n: int | None = 40) -> DataFrame:
-    """Non-empty template cells of each region, the first ``n`` in row-major order. regions: keys, region_id, rect."""
+def template_region_summary(regions: DataFrame, template: DataFrame, n: int | None = None) -> DataFrame:
+    """Non-empty template cells of each region; for a prompt the first ``n`` in row-major order. regions: keys, region_id, rect."""
     hit = overlap_join(as_rects(nonempty_cells(template)), regions.select(*KEYS, "region_id", *RECT), KEYS)
     hit = hit.select(*KEYS, "region_id", "row", "col", "text")
     return top_rows(hit, [*KEYS, "region_id"], ["row", "col"], n)
@@ -422,7 +423,7 @@ def anchor_from_points(points: DataFrame, interesting: DataFrame, merges: DataFr
 
 
 def dropdown_constraints(
-    validations: DataFrame, cells: DataFrame, names: DataFrame, read: int = 50, keep: int = 20
+    validations: DataFrame, cells: DataFrame, names: DataFrame, read: int | None = None, keep: int | None = None
 ) -> DataFrame:
     """Options of list validations, one row per target range.
 
@@ -432,9 +433,8 @@ def dropdown_constraints(
     v = validations.filter(F.lower(strip(F.col("type"))) == "list").withColumn("_raw", F.regexp_replace(strip(F.col("formula1")), "^=", ""))
     v = v.withColumn("_raw", strip(F.col("_raw"))).withColumn("dv_id", F.xxhash64(*KEYS, "sqref", "formula1"))
     literal = F.col("_raw").rlike('^".*"$')
-    lit_opts = F.slice(
-        F.filter(F.transform(F.split(F.regexp_replace("_raw", '^"+|"+$', ""), ","), strip), lambda x: x != ""), 1, read
-    )
+    shorter = lambda options, n: options if n is None else F.slice(options, 1, n)
+    lit_opts = shorter(F.filter(F.transform(F.split(F.regexp_replace("_raw", '^"+|"+$', ""), ","), strip), lambda x: x != ""), read)
     inline = v.filter(literal).select("dv_id", lit_opts.alias("options"))
     bang = F.instr("_raw", "!") > 0
     ref_sheet = F.when(bang, F.regexp_replace(F.split("_raw", "!", 2)[0], "^'+|'+$", "")).otherwise(F.col("sheet"))
@@ -454,10 +454,10 @@ def dropdown_constraints(
     )
     opts = inline.unionByName(looked).dropDuplicates(["dv_id"]).filter(F.size("options") > 0)
     targets = v.select(*KEYS, "dv_id", "formula1", F.explode(F.split(strip(F.col("sqref")), r"\s+")).alias("target_range"))
-    return targets.join(opts, "dv_id").select(*KEYS, "target_range", F.slice("options", 1, keep).alias("options"), "formula1")
+    return targets.join(opts, "dv_id").select(*KEYS, "target_range", shorter(F.col("options"), keep).alias("options"), "formula1")
 
 
-def dropdown_for_focus(constraints: DataFrame, focus: DataFrame, n: int | None = 80) -> DataFrame:
+def dropdown_for_focus(constraints: DataFrame, focus: DataFrame, n: int | None = None) -> DataFrame:
     """Constraints whose target meets the sheet's focus range. focus: keys, region_id, rect."""
     c = constraints.select(*KEYS, "target_range", "options", rg.rect_columns(rg.parse_a1(F.col("target_range"))))
     hit = overlap_join(c, focus.select(*KEYS, "region_id", *RECT), KEYS)

@@ -64,8 +64,8 @@ def kind_bonus(kind: Column) -> Column:
 REACH_ROWS, REACH_LEFT, REACH_RIGHT, MIN_SCORE = 46, 19, 17, 0.24
 
 
-def rank_candidates(labels: DataFrame, candidates: DataFrame, label_cells: DataFrame, n: int | None = 2) -> DataFrame:
-    """Writable cells near each label by score, best first.
+def rank_candidates(labels: DataFrame, candidates: DataFrame, label_cells: DataFrame, n: int | None = None) -> DataFrame:
+    """Writable cells near each label by score, best first; ``n`` keeps so many a label.
 
     The cut bounds the distance, so a label meets only the candidates of its neighbourhood, never the whole sheet.
     """
@@ -314,11 +314,11 @@ def blank_policy_for_key(keys_df: DataFrame, policies: DataFrame, full: bool = T
     )
 
 
-def policy_guard_cells(policies: DataFrame, labels: DataFrame, candidates: DataFrame, full: bool = True) -> DataFrame:
-    """Top two candidate cells of the label each blank target means, with the first reason that protects them."""
+def policy_guard_cells(policies: DataFrame, labels: DataFrame, candidates: DataFrame, full: bool = True, n: int | None = None) -> DataFrame:
+    """Candidate cells (the best ``n`` if given) of the label each blank target means, with the first reason that protects them."""
     t = blank_targets(policies).join(labels.select(*KEYS).distinct(), "wb_id")
     best = best_label(t.select(*KEYS, "kind", "pol_idx", "target", "reason"), labels, POLICY_THRESHOLD, full)
-    ranked = rank_candidates(best.select(*KEYS, F.col("l_row").alias("row"), F.col("l_col").alias("col")), candidates, labels, 2)
+    ranked = rank_candidates(best.select(*KEYS, F.col("l_row").alias("row"), F.col("l_col").alias("col")), candidates, labels, n)
     hit = best.join(ranked.select(*KEYS, "l_row", "l_col", "row", "col", "rank"), [*KEYS, "l_row", "l_col"])
     base = F.concat(F.lit("planner "), F.col("kind"), F.lit(" target '"), F.col("target"), F.lit("' should remain blank"))
     why = F.when(F.col("reason") != "", F.concat(base, F.lit(" ("), F.col("reason"), F.lit(")"))).otherwise(base)

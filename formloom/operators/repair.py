@@ -67,11 +67,13 @@ def region_flag_notes(targets: DataFrame) -> DataFrame:
     return f.select(*REGION, pos.alias("pos"), "flag", notes[F.col("flag")].alias("note"))
 
 
-def hint_context_summary(items: DataFrame, n_cells: int = 12, n_reasons: int = 4, n_groups: int = 8, n_negative: int = 6, n_noise: int = 16) -> tuple[DataFrame, DataFrame]:
+def hint_context_summary(
+    items: DataFrame, n_cells: int | None = None, n_reasons: int | None = None, n_groups: int | None = None, n_negative: int | None = None, n_noise: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Hints grouped by key: candidate, invalid and blank cells, sources and reasons; and the noise cells per region.
 
-    items: REGION, item_ord, key, value_cell, is_invalid, is_blank, reason, source. Lists are capped before they are
-    collected, so a group of any size costs only its caps.
+    items: REGION, item_ord, key, value_cell, is_invalid, is_blank, reason, source. Limits are for
+    prompts and off unless given; they cut before lists are collected.
     """
     i = items.withColumn("cell", F.upper(tx.strip(F.col("value_cell")))).filter("cell <> ''").withColumn("noise", tx.noisy_key(F.col("key")))
     noise = i.filter("noise").select(*REGION, "cell").distinct().withColumn("o", rg.cell_sort_key(F.col("cell")))
@@ -90,7 +92,7 @@ def hint_context_summary(items: DataFrame, n_cells: int = 12, n_reasons: int = 4
     is_cell = F.col("kind").isin("candidate", "invalid", "blank")
     e = e.withColumn("k", F.when(is_cell, rg.cell_sort_key(F.col("v"))))
     e = e.withColumn("rn", F.row_number().over(W.partitionBy(*by, "kind").orderBy("k", "o")))
-    e = e.filter(F.col("rn") <= F.when(F.col("kind") == "reason", n_reasons).otherwise(n_cells))
+    e = e.filter(F.coalesce(F.col("rn") <= F.when(F.col("kind") == "reason", F.lit(n_reasons)).otherwise(F.lit(n_cells)), F.lit(True)))
     pick = lambda k: F.transform(
         F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("rn", "v")))), lambda s: s["v"]
     ).alias(k + "_list")
@@ -100,7 +102,7 @@ def hint_context_summary(items: DataFrame, n_cells: int = 12, n_reasons: int = 4
     positive = F.size("candidate_list") > 0
     s = s.withColumn("side", F.when(positive, "candidate").otherwise("negative"))
     order = W.partitionBy(*REGION, "side").orderBy(F.desc(F.size("candidate_list")), F.desc(F.size("invalid_list")), F.lower("key"))
-    s = s.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= F.when(F.col("side") == "candidate", n_groups).otherwise(n_negative))
+    s = s.withColumn("pos", F.row_number().over(order)).filter(F.coalesce(F.col("pos") <= F.when(F.col("side") == "candidate", F.lit(n_groups)).otherwise(F.lit(n_negative)), F.lit(True)))
     return s, noise
 
 

@@ -125,8 +125,9 @@ def policy_for_stage(policy: DataFrame, stage: str) -> DataFrame:
     return policy.select(*keep, reads.alias("background_reads"))
 
 
-def policy_lines(policy: DataFrame, stage: str) -> DataFrame:
-    """Readable lines of the parts that apply to a stage, in order."""
+def policy_lines(policy: DataFrame, stage: str, n_groups: int | None = None, n_reads: int | None = None) -> DataFrame:
+    """Readable lines of the parts that apply to a stage, in order; limits are for prompts and off unless given."""
+    first = lambda c, n: F.col(c) if n is None else F.slice(c, 1, n)
     p = policy_for_stage(policy, stage)
     w, rep = F.col("workflow"), F.col("repeated")
     count = F.coalesce(rep["expected_count"], F.lit(0))
@@ -142,9 +143,9 @@ def policy_lines(policy: DataFrame, stage: str) -> DataFrame:
     lines.append(F.when(rep["has_repeated_blocks"], F.when((key != "") & (count != 0), F.concat(F.lit("Repeated block policy: '"), key, F.lit("' appears about "), count.cast("string"), F.lit(" times.")))
                         .when(key != "", F.concat(F.lit("Repeated block policy: repeated block key is '"), key, F.lit("'."))).otherwise("Repeated block policy: the form contains repeated blocks.")))
     if stage != "reflect":
-        order = F.transform(F.slice("field_groups", 1, 8), lambda x: F.concat(x["fill_priority"].cast("string"), F.lit(":"), x["group_name"]))
+        order = F.transform(first("field_groups", n_groups), lambda x: F.concat(x["fill_priority"].cast("string"), F.lit(":"), x["group_name"]))
         lines.append(F.when(F.size(order) > 0, F.concat(F.lit("Suggested fill order by group: "), F.array_join(order, " -> "), F.lit("."))))
-    reads = F.transform(F.slice("background_reads", 1, 6), lambda x: F.concat(F.lit("Read local background around '"), x["target"], F.lit("' before writing."), F.when(x["reason"] != "", F.concat(F.lit(" Reason: "), x["reason"], F.lit("."))).otherwise("")))
+    reads = F.transform(first("background_reads", n_reads), lambda x: F.concat(F.lit("Read local background around '"), x["target"], F.lit("' before writing."), F.when(x["reason"] != "", F.concat(F.lit(" Reason: "), x["reason"], F.lit("."))).otherwise("")))
     return p.select("plan_id", F.concat(F.array_compact(F.array(*lines)), reads).alias("lines"))
 
 

@@ -26,6 +26,15 @@ def _(t):
       r AS (SELECT *, row_number() OVER (PARTITION BY wb_id ORDER BY seq) AS rn, count(*) OVER (PARTITION BY wb_id) AS n FROM c)
       SELECT wb_id, string_agg(target_cell, ', ' ORDER BY seq) FILTER (rn <= 12) || CASE WHEN max(n) > 12 THEN ', ... +' || (max(n) - 12) || ' more' ELSE '' END AS preview, max(n) AS n_cells FROM r GROUP BY 1""",
 )
+def _(t):
+    return a.edit_preview(a.actual_edits_for_round(t.edits, 2), ["wb_id"], 12)
+
+
+@query(
+    "e2_actual_edits_for_round_all",
+    """WITH c AS (SELECT wb_id, target_cell, min(seq) AS seq FROM <<edits>> WHERE is_actual_edit AND round_idx = 2 GROUP BY 1, 2)
+      SELECT wb_id, string_agg(target_cell, ', ' ORDER BY seq) AS preview, count(*) AS n_cells FROM c GROUP BY 1""",
+)
 def _(t):
     return a.edit_preview(a.actual_edits_for_round(t.edits, 2), ["wb_id"])
 

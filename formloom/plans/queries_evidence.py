@@ -298,6 +298,18 @@ def _(t):
     return ev.sheet_previews(t.cells_f, 10, 80, 25).select(*g.KEYS, F.col("preview.row_count").cast("bigint").alias("row_count"), F.col("preview.column_count").alias("column_count"))
 
 
+@query(
+    "f20_sheet_previews_all",
+    """WITH c AS (SELECT * FROM <<cells_f>> WHERE value IS NOT NULL), w AS (SELECT wb_id, sheet, row, unnest(range(1, max(col) + 1)) AS col FROM c GROUP BY 1, 2, 3),
+      f AS (SELECT w.*, coalesce(c.value, '') AS value FROM w LEFT JOIN c USING (wb_id, sheet, row, col)),
+      l AS (SELECT wb_id, sheet, row, string_agg(value, '|' ORDER BY col) AS line FROM f GROUP BY 1, 2, 3 HAVING bool_or(trim(value) <> ''))
+      SELECT wb_id, sheet, string_agg(line, chr(10) ORDER BY row) AS body FROM l GROUP BY 1, 2""",
+)
+def _(t):
+    body = F.array_join(F.transform("preview.rows", lambda r: F.array_join(r, "|")), "\n")
+    return ev.sheet_previews(t.cells_f).select(*g.KEYS, body.alias("body"))
+
+
 @query("f21_email_parts", "SELECT conv_id * 1000 + turn AS id, 'a@' || role || '.example b' AS from_field, md5(trim(text, ' ' || chr(10) || chr(9))) AS body FROM conversations")
 def _(t):
     msg = F.concat(F.lit("From: a@"), F.col("role"), F.lit(".example\r\n b\nSubject: x\n\n"), F.col("text"))

@@ -120,6 +120,11 @@ def _(t):
     return g.structure_preview(t.cells_t, n=10, width=6)
 
 
+@query("c9_structure_preview_all", f"SELECT wb_id, sheet, row, col, text FROM {Q_LABELS}")
+def _(t):
+    return g.structure_preview(t.cells_t)
+
+
 @query(
     "c10_nonempty_cells",
     f"""SELECT a.wb_id, a.sheet, a.row, a.col, trim(a.value) AS text FROM <<cells_f>> a JOIN {Q_FORM} b USING (wb_id, sheet)
@@ -152,6 +157,15 @@ def _(t):
     return g.template_region_summary(regions(t), t.cells_t, 3)
 
 
+@query(
+    "c11_template_region_summary_all",
+    f"""SELECT a.wb_id, a.sheet, region_id, row, col, trim(value) AS text FROM <<cells_t>> a JOIN {Q_REGIONS} b
+     ON a.wb_id = b.wb_id AND a.sheet = b.sheet AND row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1 WHERE {CONTENT}""",
+)
+def _(t):
+    return g.template_region_summary(regions(t), t.cells_t)
+
+
 Q_CURRENT = f"""(SELECT p.wb_id, p.sheet, p.pair_idx, p.key, p.value_cell, p.r0 AS a_row, 2 AS a_col, v.value AS current_value
   FROM {Q_PAIR_RECTS} p LEFT JOIN <<cells_f>> v ON p.wb_id = v.wb_id AND p.sheet = v.sheet AND v.row = p.r0 AND v.col = 2)"""
 

@@ -341,7 +341,7 @@ Q_FOR_KEY = f"""(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTIT
         FROM {Q_BLANK} p JOIN b ON b.wb_id = p.wb_id AND b.target = p.target JOIN r ON r.wb_id = b.wb_id AND r.l_row = b.l_row AND r.l_col = b.l_col) GROUP BY 1, 2, 3, 4""",
 )
 def _(t):
-    return m.policy_guard_cells(t.policies, g.labels(t.cells_t), g.typed_candidates(t.cells_t, t.merges), full=True)
+    return m.policy_guard_cells(t.policies, g.labels(t.cells_t), g.typed_candidates(t.cells_t, t.merges), n=2)
 
 
 @query("d22_blank_policy_for_key", f"SELECT wb_id, key, policy_kind, policy_target, policy_reason, round(score, 4) AS match_score FROM {Q_FOR_KEY}")

@@ -79,26 +79,41 @@ def _(t):
 NOISY = f"(SELECT *, upper(value_cell) AS cell, CAST(substring(value_cell, 2) AS INT) AS cr, (x = '' OR {NO_WORD} OR length({ALNUM}) <= 1 OR regexp_full_match({ALNUM}, '[0-9]+[A-Za-z]?')) AS noise FROM (SELECT *, key AS x FROM {Q_HT}))"
 
 
-@query(
-    "e17_hint_context_summary",
-    f"""WITH i AS (SELECT *, {q_key('key')} AS grp FROM {NOISY} WHERE NOT noise),
-      cl AS (SELECT {REG}, grp, kind, string_agg(cell, ',' ORDER BY cr) FILTER (rn <= 12) AS v, least(count(*), 12) AS n FROM (SELECT *, row_number() OVER (PARTITION BY wb_id, region_id, grp, kind ORDER BY cr) AS rn FROM (
+def q_hints(n_cells: str, n_reasons: str) -> str:
+    return f"""WITH i AS (SELECT *, {q_key('key')} AS grp FROM {NOISY} WHERE NOT noise),
+      cl AS (SELECT {REG}, grp, kind, string_agg(cell, ',' ORDER BY cr) FILTER (rn <= {n_cells}) AS v, least(count(*), {n_cells}) AS n FROM (SELECT *, row_number() OVER (PARTITION BY wb_id, region_id, grp, kind ORDER BY cr) AS rn FROM (
         SELECT DISTINCT {REG}, grp, CASE WHEN is_invalid THEN 'i' ELSE 'c' END AS kind, cell, cr FROM i UNION SELECT DISTINCT {REG}, grp, 'b', cell, cr FROM i WHERE is_blank)) GROUP BY 1, 2, 3, 4, 5),
-      rs AS (SELECT {REG}, grp, string_agg(reason, ',' ORDER BY o) FILTER (rn <= 4) AS reasons FROM (SELECT *, row_number() OVER (PARTITION BY wb_id, region_id, grp ORDER BY o) AS rn FROM (
+      rs AS (SELECT {REG}, grp, string_agg(reason, ',' ORDER BY o) FILTER (rn <= {n_reasons}) AS reasons FROM (SELECT *, row_number() OVER (PARTITION BY wb_id, region_id, grp ORDER BY o) AS rn FROM (
         SELECT {REG}, grp, reason, min(hint_id) AS o FROM i WHERE reason <> '' GROUP BY 1, 2, 3, 4, 5)) GROUP BY 1, 2, 3, 4),
       k AS (SELECT {REG}, grp, arg_min(key, hint_id) AS key FROM i GROUP BY 1, 2, 3, 4),
       s AS (SELECT k.*, coalesce(c.v, '') AS candidates, coalesce(x.v, '') AS invalids, coalesce(b.v, '') AS blanks, coalesce(rs.reasons, '') AS reasons, coalesce(c.n, 0) AS nc, coalesce(x.n, 0) AS ni FROM k
         LEFT JOIN cl c ON c.wb_id = k.wb_id AND c.region_id = k.region_id AND c.grp = k.grp AND c.kind = 'c' LEFT JOIN cl x ON x.wb_id = k.wb_id AND x.region_id = k.region_id AND x.grp = k.grp AND x.kind = 'i'
         LEFT JOIN cl b ON b.wb_id = k.wb_id AND b.region_id = k.region_id AND b.grp = k.grp AND b.kind = 'b' LEFT JOIN rs ON rs.wb_id = k.wb_id AND rs.region_id = k.region_id AND rs.grp = k.grp)
-      SELECT {REG}, key, side, candidates, invalids, blanks, reasons, CAST(row_number() OVER (PARTITION BY wb_id, region_id, side ORDER BY nc DESC, ni DESC, lower(key)) AS INT) AS pos FROM (SELECT *, CASE WHEN nc > 0 THEN 'candidate' ELSE 'negative' END AS side FROM s)""",
-)
-def _(t):
-    s, _noise = r.hint_context_summary(ht(t).withColumn("item_ord", F.col("hint_id")))
+      SELECT {REG}, key, side, candidates, invalids, blanks, reasons, CAST(row_number() OVER (PARTITION BY wb_id, region_id, side ORDER BY nc DESC, ni DESC, lower(key)) AS INT) AS pos FROM (SELECT *, CASE WHEN nc > 0 THEN 'candidate' ELSE 'negative' END AS side FROM s)"""
+
+
+def _hints(t, *limits):
+    s, _noise = r.hint_context_summary(ht(t).withColumn("item_ord", F.col("hint_id")), *limits)
     j = lambda c, n: F.array_join(c, ",").alias(n)
     return s.select(*r.REGION, "key", "side", j("candidate_list", "candidates"), j("invalid_list", "invalids"), j("blank_list", "blanks"), j("reason_list", "reasons"), "pos")
 
 
+@query("e17_hint_context_summary", q_hints("12", "4"))
+def _(t):
+    return _hints(t, 12, 4, 8, 6, 16)
+
+
+@query("e17_hint_context_summary_all", q_hints("1000000000", "1000000000"))
+def _(t):
+    return _hints(t)
+
+
 @query("e17_noise_cells", f"SELECT {REG}, cell FROM (SELECT *, row_number() OVER (PARTITION BY wb_id, region_id ORDER BY cr) AS rn FROM (SELECT DISTINCT {REG}, cell, cr FROM {NOISY} WHERE noise)) WHERE rn <= 16")
+def _(t):
+    return r.hint_context_summary(ht(t).withColumn("item_ord", F.col("hint_id")), n_noise=16)[1]
+
+
+@query("e17_noise_cells_all", f"SELECT DISTINCT {REG}, cell FROM {NOISY} WHERE noise")
 def _(t):
     return r.hint_context_summary(ht(t).withColumn("item_ord", F.col("hint_id")))[1]
 
