@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from formloom.functions import text as tx
 from formloom.operators import grid as g
 from formloom.operators.grid import KEYS
+from formloom.operators.select import medians
 from formloom.operators.spatial import overlap_join
+from formloom.session import cut_lineage
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 PAGE = ["doc_id", "page"]
@@ -51,42 +57,71 @@ def match_text_to_cells(items: DataFrame, cells: DataFrame) -> DataFrame:
     return j.filter(center_in(box, cell) | (overlap_ratio(box, cell) >= 0.5)).select(*TABLE, "cell_idx", "item_id")
 
 
-def join_texts(items: Column) -> Column:
-    """Reading-order text of one cell. ``items``: array<struct<bbox, text>>.
+def _line_numbers():
+    """Numbers the lines of rows in reading order, a group after the other: a box opens a line when its centre is further than the
+    tolerance from the running mean of the line. Columns: group, item, centre, tolerance."""
 
-    A box starts a line when its centre is further than the tolerance from the running mean of the line; blanks follow gaps.
-    """
-    s = F.transform(F.array_sort(F.transform(items, lambda i: F.struct(i["bbox"]["y0"].alias("y0"), i["bbox"]["x0"].alias("x0"), i.alias("i")))), lambda x: x["i"])
-    heights = F.array_sort(F.transform(items, lambda i: F.greatest(F.lit(1.0), i["bbox"]["y1"] - i["bbox"]["y0"])))
-    n = F.size(heights)
-    median = (F.get(heights, F.floor((n - 1) / 2).cast("int")) + F.get(heights, F.floor(n / 2).cast("int"))) / 2
-    tol = F.greatest(F.lit(8.0), median * 0.6)
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("lines"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, total, n, line = object(), 0.0, 0, 0
+        for batch in batches:
+            keys, centres, tolerances = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            lines = []
+            for key, cy, tol in zip(keys, centres, tolerances):
+                if key != group:
+                    group, total, n, line = key, cy, 1, 1
+                elif abs(cy - total / n) <= tol:
+                    total, n = total + cy, n + 1
+                else:
+                    total, n, line = cy, 1, line + 1
+                lines.append(line)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.int64())], ["_p", "_i", "line"])
 
-    def step(acc: Column, i: Column) -> Column:
-        cy = (i["bbox"]["y0"] + i["bbox"]["y1"]) / 2
-        same = (acc["n"] > 0) & (F.abs(cy - acc["sum"] / acc["n"]) <= tol)
-        line = F.when(same, acc["line"]).otherwise(acc["line"] + 1)
-        return F.struct(F.when(same, acc["sum"] + cy).otherwise(cy).alias("sum"), F.when(same, acc["n"] + 1).otherwise(1).alias("n"), line.alias("line"), F.array_append(acc["lines"], line).alias("lines"))
+    return run
 
-    lines = F.aggregate(s, start, step, lambda a: a["lines"])
-    placed = F.array_sort(F.zip_with(lines, s, lambda ln, i: F.struct(ln.alias("ln"), i["bbox"]["x0"].alias("x0"), i["bbox"].alias("b"), i["text"].alias("t"))))
-    h = lambda b: b["y1"] - b["y0"]
 
-    def glue(acc: Column, p: Column) -> Column:
-        gap = p["b"]["x0"] - acc["b"]["x1"] > F.greatest(F.lit(4.0), F.least(h(acc["b"]), h(p["b"])) * 0.35)
-        sep = F.when(acc["ln"].isNull(), "").when(acc["ln"] != p["ln"], "\n").when(gap, " ").otherwise("")
-        return F.struct(p["ln"].alias("ln"), p["b"].alias("b"), F.concat(acc["t"], sep, p["t"]).alias("t"))
+def join_texts(items: DataFrame, by: list[str], width: float = 4096.0) -> DataFrame:
+    """``by, text``: the reading-order text of each group of boxes. items: by, item_id (unique in its group), bbox, text.
 
-    zero = F.struct(F.lit(None).cast("int").alias("ln"), F.lit(None).cast(BOX).alias("b"), F.lit("").alias("t"))
-    return F.aggregate(placed, zero, glue, lambda a: a["t"])
+    Boxes are taken by top and left edge. A box starts a line when its centre is further than the tolerance (0.6 of the median
+    height, 8 at least) from the running mean of the line; lines are read from left to right, blanks follow gaps. A line is
+    trimmed, empty ones are left out. Where a centre lies beyond all earlier ones by more than the tolerance, a line begins
+    whatever the mean is, so groups fall into pieces there, and only a piece is walked through in order.
+    """
+    key = F.struct(*by).alias("_g")
+    box = F.col("bbox")
+    d = items.select(key, F.col("item_id").alias("_i"), box["x0"].alias("x0"), box["y0"].alias("y0"), box["x1"].alias("x1"), (box["y1"] - box["y0"]).alias("h"),
+                     ((box["y0"] + box["y1"]) / 2).alias("cy"), F.coalesce("text", F.lit("")).alias("t"))
+    tol = medians(d.select("_g", F.greatest(F.lit(1.0), "h").alias("v")), ["_g"]).select("_g", F.greatest(F.lit(8.0), F.col("median") * 0.6).alias("tol"))
+    d = d.join(tol, "_g").withColumn("_c", F.floor(F.col("y0") / width))
+    # The highest centre before each box: within a stretch of the axis by a window, over earlier stretches by one row each.
+    inside = W.partitionBy("_g", "_c").orderBy("y0", "x0", "_i")
+    ends = d.groupBy("_g", "_c").agg(F.max("cy").alias("top"))
+    ends = ends.withColumn("before", F.max("top").over(W.partitionBy("_g").orderBy("_c").rowsBetween(W.unboundedPreceding, -1))).drop("top")
+    d = d.withColumn("_top", F.max("cy").over(inside.rowsBetween(W.unboundedPreceding, -1))).join(ends, ["_g", "_c"])
+    opens = (F.col("cy") - F.greatest("_top", "before") > F.col("tol")).cast("long")
+    d = d.withColumn("_open", F.coalesce(opens, F.lit(0))).withColumn("_k", F.sum("_open").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    sums = d.groupBy("_g", "_c").agg(F.sum("_open").alias("n"))
+    sums = sums.withColumn("base", F.sum("n").over(W.partitionBy("_g").orderBy("_c").rowsBetween(W.unboundedPreceding, -1))).drop("n")
+    d = d.join(sums, ["_g", "_c"]).withColumn("_piece", F.col("_k") + F.coalesce("base", F.lit(0)))
+    d = cut_lineage(d.select("_g", "_piece", "_i", "x0", "y0", "x1", "h", "cy", "t", "tol"))
+    rows = d.select(F.struct("_g", "_piece").alias("_p"), "_i", "cy", "tol", "y0", "x0").repartition("_p").sortWithinPartitions("_p", "y0", "x0", "_i").select("_p", "_i", "cy", "tol")
+    kinds = StructType([rows.schema["_p"], rows.schema["_i"], StructField("line", LongType())])
+    lines = rows.mapInArrow(_line_numbers(), kinds).select("_p._g", "_p._piece", "_i", "line")
+    d = d.join(lines, ["_g", "_piece", "_i"])
+    right = W.partitionBy("_g", "_piece", "line").orderBy("x0", "y0", "_i")
+    gap = F.col("x0") - F.lag("x1").over(right) > F.greatest(F.lit(4.0), F.least(F.lag("h").over(right), F.col("h")) * 0.35)
+    d = d.withColumn("part", F.concat(F.when(F.coalesce(gap, F.lit(False)), " ").otherwise(""), F.col("t")))
+    joined = lambda x, sep: F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda s: s["s"]), sep)
+    said = d.groupBy("_g", "_piece", "line").agg(tx.strip(joined(F.struct("x0", "y0", "_i", F.col("part").alias("s")), "")).alias("s"))
+    out = said.groupBy("_g").agg(joined(F.when(F.col("s") != "", F.struct("_piece", "line", "s")), "\n").alias("text"))
+    return out.select("_g.*", "text")
 
 
 def assign_text_to_cells(items: DataFrame, cells: DataFrame) -> DataFrame:
     """Cells with joined text and best score (1.0 when nothing matched), plus unmatched text boxes as fallback elements."""
     m = match_text_to_cells(items, cells).join(items.select(*TABLE, "item_id", "bbox", "text", "score"), [*TABLE, "item_id"])
-    got = m.groupBy(*TABLE, "cell_idx").agg(F.collect_list(F.struct("bbox", "text")).alias("i"), F.max("score").alias("score"))
-    got = got.select(*TABLE, "cell_idx", join_texts(F.col("i")).alias("text"), "score")
+    m = cut_lineage(m)
+    got = join_texts(m, [*TABLE, "cell_idx"]).join(m.groupBy(*TABLE, "cell_idx").agg(F.max("score").alias("score")), [*TABLE, "cell_idx"])
     full = cells.select(*TABLE, "cell_idx", "bbox").join(got, [*TABLE, "cell_idx"], "left")
     full = full.select(*TABLE, F.lit("table_cell").alias("kind"), F.col("cell_idx").alias("elem_id"), "bbox", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(1.0)).alias("score"))
     rest = items.join(m.select(*TABLE, "item_id").distinct(), [*TABLE, "item_id"], "left_anti")
@@ -121,9 +156,9 @@ def grid_edges_from_elements(elements: DataFrame, pages: DataFrame) -> DataFrame
     """
     is_table = F.col("kind").isin("table_cell", "table_text_fallback")
     e = elements.withColumn("cls", F.when(is_table, "table").when(F.col("kind") == "layout_block", "layout")).filter("cls is not null")
-    size = e.groupBy(*PAGE, "cls").agg(
-        F.median(F.greatest(F.lit(1.0), F.col("bbox.x1") - F.col("bbox.x0"))).alias("mw"), F.median(F.greatest(F.lit(1.0), F.col("bbox.y1") - F.col("bbox.y0"))).alias("mh")
-    )
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.greatest(F.lit(1.0), F.col(f"bbox.{a}1") - F.col(f"bbox.{a}0")).alias("v")) for s, a in (("mw", "x"), ("mh", "y"))])
+    size = medians(e.select(*PAGE, "cls", F.inline(sides)), [*PAGE, "cls", "side"]).groupBy(*PAGE, "cls")
+    size = size.agg(*[F.max(F.when(F.col("side") == s, F.col("median"))).alias(s) for s in ("mw", "mh")])
     axis = F.array(*[F.struct(F.lit(a).alias("axis"), F.col("bbox." + c).alias("v")) for a, c in (("x", "x0"), ("x", "x1"), ("y", "y0"), ("y", "y1"))])
     v = e.select(*PAGE, "cls", F.inline(axis)).join(size, [*PAGE, "cls"])
     clamp = lambda lo, hi, x: F.greatest(F.lit(lo), F.least(F.lit(hi), x))
@@ -260,7 +295,7 @@ def meta_report(pages: DataFrame, fields: list[str]) -> DataFrame:
 
 def filter_slots_by_area(slots: DataFrame, min_px: float = 200.0, share: float = 0.3) -> DataFrame:
     """Slots of at least ``share`` of their sheet's median area and ``min_px`` pixels."""
-    mid = slots.groupBy(*KEYS).agg(F.median("area_px").alias("_mid"))
+    mid = medians(slots.select(*KEYS, F.col("area_px").alias("v")), KEYS).withColumnRenamed("median", "_mid")
     return slots.join(mid, KEYS).filter(F.col("area_px") >= F.greatest(F.lit(min_px), F.col("_mid") * share)).drop("_mid")
 
 

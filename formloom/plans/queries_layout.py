@@ -58,10 +58,36 @@ def _(t):
     return lay.assign_text_to_cells(elements(t), cell_boxes(t)).select(*lay.TABLE, "kind", "elem_id", "score")
 
 
-@query("g4_join_texts_by_layout")
+def q_texts(src: str, by: str) -> str:
+    """Item by item: the sum and number of the line's centres; then lines from left to right. ``src``: by, item_id, text and the box."""
+    same = lambda a, b: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in by.split(","))
+    here = "abs(e.cy - v.total / v.n) <= e.tol"
+    return f"""(WITH RECURSIVE e AS (SELECT *, (y0 + y1) / 2 AS cy, y1 - y0 AS h, greatest(8.0, 0.6 * median(greatest(1.0, y1 - y0)) OVER (PARTITION BY {by})) AS tol,
+    row_number() OVER (PARTITION BY {by} ORDER BY y0, x0, item_id) AS i FROM {src}),
+  v AS (SELECT {by}, i, cy AS total, 1 AS n, 1 AS line FROM e WHERE i = 1
+    UNION ALL SELECT {', '.join('e.' + k.strip() for k in by.split(','))}, e.i, CASE WHEN {here} THEN v.total + e.cy ELSE e.cy END, CASE WHEN {here} THEN v.n + 1 ELSE 1 END, CASE WHEN {here} THEN v.line ELSE v.line + 1 END
+      FROM v JOIN e ON {same('e', 'v')} AND e.i = v.i + 1),
+  l AS (SELECT e.*, v.line FROM e JOIN v USING ({by}, i)),
+  g AS (SELECT *, coalesce(x0 - lag(x1) OVER w > greatest(4.0, 0.35 * least(lag(h) OVER w, h)), FALSE) AS gap FROM l WINDOW w AS (PARTITION BY {by}, line ORDER BY x0, y0, item_id)),
+  s AS (SELECT {by}, line, trim(string_agg(CASE WHEN gap THEN ' ' ELSE '' END || text, '' ORDER BY x0, y0, item_id)) AS s FROM g GROUP BY ALL)
+  SELECT {by}, coalesce(string_agg(s, chr(10) ORDER BY line) FILTER (s <> ''), '') AS text FROM s GROUP BY ALL)"""
+
+
+Q_CELL_ITEMS = f"(SELECT m.cell_idx, e.* FROM {Q_MATCH} m JOIN {Q_ELEM} e USING (doc_id, page, table_idx, item_id))"
+
+
+@query(
+    "g3_cell_texts",
+    f"""SELECT c.doc_id, c.page, c.table_idx, c.cell_idx AS elem_id, coalesce(x.text, '') AS text FROM {CELL_BOX.format(events='events')} c
+      LEFT JOIN {q_texts(Q_CELL_ITEMS, 'doc_id, page, table_idx, cell_idx')} x USING (doc_id, page, table_idx, cell_idx)""",
+)
+def _(t):
+    return lay.assign_text_to_cells(elements(t), cell_boxes(t)).where("kind = 'table_cell'").select(*lay.TABLE, "elem_id", "text")
+
+
+@query("g4_join_texts_by_layout", f"SELECT doc_id, page, table_idx, text FROM {q_texts(Q_ELEM, 'doc_id, page, table_idx')}")
 def _(t):
-    d = elements(t).groupBy(*lay.TABLE).agg(F.collect_list(F.struct("bbox", "text")).alias("i"))
-    return d.select(*lay.TABLE, lay.join_texts(F.col("i")).alias("text"))
+    return lay.join_texts(elements(t), lay.TABLE)
 
 
 def q_cluster(src: str, by: str, tol: str) -> str:

@@ -1,6 +1,7 @@
 """Operators against brute force and hand-derived tables."""
 
 import random
+import statistics
 from difflib import SequenceMatcher
 
 import pytest
@@ -18,6 +19,7 @@ from formloom.operators import match as m
 from formloom.operators import repair as rep
 from formloom.operators import similar as sim
 from formloom.operators import spatial as sp
+from formloom.operators.select import medians
 from formloom.sources import readers as rd
 
 K = ["wb_id", "sheet"]
@@ -181,11 +183,52 @@ def test_spans_go_around_cells_from_above(spark):
     assert [(r.text, r.row, r.col) for r in got] == [("a", 1, 1), ("b", 1, 2), ("c", 2, 2), ("d", 2, 3), ("e", 3, 1)]
 
 
+def _read(items):
+    """Lines by the running mean of their centres, blanks at gaps."""
+    items = sorted(items, key=lambda i: (i[2], i[1], i[0]))
+    tol = max(8.0, statistics.median(max(1.0, i[4] - i[2]) for i in items) * 0.6)
+    lines = []
+    for i in items:
+        cy = (i[2] + i[4]) / 2
+        if lines and abs(cy - sum((x[2] + x[4]) / 2 for x in lines[-1]) / len(lines[-1])) <= tol:
+            lines[-1].append(i)
+        else:
+            lines.append([i])
+    out = []
+    for line in lines:
+        line = sorted(line, key=lambda i: (i[1], i[2], i[0]))
+        text = line[0][5] or ""
+        for a, b in zip(line, line[1:]):
+            text += (" " if b[1] - a[3] > max(4.0, min(a[4] - a[2], b[4] - b[2]) * 0.35) else "") + (b[5] or "")
+        out.append(text.strip())
+    return "\n".join(x for x in out if x)
+
+
 def test_join_texts_by_layout(spark):
-    box = lambda x0, y0, x1, y1, s: ((float(x0), float(y0), float(x1), float(y1)), s)
-    items = [box(60, 2, 90, 12, "world"), box(0, 0, 40, 10, "hello"), box(0, 40, 30, 50, "next"), box(31, 41, 60, 51, "line")]
-    d = spark.createDataFrame([(items,)], f"i array<struct<bbox:{lay.BOX},text:string>>")
-    assert d.select(lay.join_texts(F.col("i")).alias("t")).first().t == "hello world\nnextline"
+    box = lambda k, i, x0, y0, x1, y1, s: (k, i, float(x0), float(y0), float(x1), float(y1), s)
+    rows = [box("a", 1, 60, 2, 90, 12, "world"), box("a", 2, 0, 0, 40, 10, "hello"), box("a", 3, 0, 40, 30, 50, "next"), box("a", 4, 31, 41, 60, 51, "line"), box("b", 1, 0, 0, 5, 5, " "), box("c", 1, 0, 0, 5, 5, None)]
+    r = random.Random(9)
+    for k in ("d", "e", None):
+        for i in range(120):
+            x, y, h = r.randint(0, 300), r.randint(0, 900 if k == "d" else 120), r.choice([5, 9, 10, 11, 40])
+            rows.append(box(k, i, x, y, x + r.randint(1, 60), y + h, r.choice(["w", " v", "", None, "long text"])))
+    d = spark.createDataFrame([(k, i, (x0, y0, x1, y1), s) for k, i, x0, y0, x1, y1, s in rows], f"k string, item_id int, bbox {lay.BOX}, text string")
+    groups = {}
+    for k, i, *rest in rows:
+        groups.setdefault(k, []).append((i, *rest))
+    for width in (4096.0, 64.0):
+        got = {x["k"]: x["text"] for x in lay.join_texts(d, ["k"], width).collect()}
+        assert got == {k: _read(v) for k, v in groups.items()}
+    assert got["a"] == "hello world\nnextline"
+
+
+def test_medians_of_large_groups(spark):
+    r = random.Random(2)
+    groups = {"one": [5.0], "two": [1.0, 2.0], "same": [3.0] * 50, "hot": [r.choice([0.0, 1.0, 1.5, 7.0, r.random(), r.gauss(0, 1e6)]) for _ in range(3000)], None: [r.random() for _ in range(101)]}
+    d = spark.createDataFrame([(k, v) for k, x in groups.items() for v in [*x, None]], "k string, v double")
+    for few in (1, 40, 20_000):
+        got = {x["k"]: x["median"] for x in medians(d, ["k"], few).collect()}
+        assert got == {k: statistics.median(v) for k, v in groups.items()}
 
 
 def test_text_structures(spark):
