@@ -134,25 +134,25 @@ def programmatic_flags(candidates: DataFrame, duplicate_regions: DataFrame, bad_
 def propagate_forward(items: DataFrame) -> DataFrame:
     """Keys and positions of items that are fine because an earlier fine item overlaps them.
 
-    items: POS, rectangle, ``base_ok``, ``hard``. Overlap edges run from earlier to later row-major position and never touch
-    hard items. They are computed once; each pass moves only the newly reached items along them.
+    items: POS, rectangle, ``base_ok``, ``hard``. Fine spreads from earlier to later row-major positions and never touches hard
+    items. Overlaps are not written as pairs of items: equal rectangles are one, and of the newly fine items under a rectangle
+    only the earliest counts, so a pass joins the rectangles that still wait with those that have become fine.
     """
-    soft = items.filter(~F.col("hard")).select(*POS, *RECT, "base_ok")
-    src = soft.select(*KEYS, F.col("row").alias("i_row"), F.col("col").alias("i_col"), *RECT)
-    e = overlap_join(soft.select(*POS, *RECT), src, KEYS)
-    e = e.filter((F.col("i_row") < F.col("row")) | ((F.col("i_row") == F.col("row")) & (F.col("i_col") < F.col("col"))))
-    e = cut_lineage(e.select(*POS, "i_row", "i_col"))
-    base = cut_lineage(soft.filter("base_ok").select(*POS))
-    reached, front = base, base
-    hits = None
+    at = (F.col("row").cast("long") * 32768 + F.col("col")).alias("at")
+    soft = cut_lineage(items.filter(~F.col("hard")).select(*POS, *RECT, "base_ok", at))
+    front = soft.filter("base_ok").groupBy(*KEYS, *RECT).agg(F.min("at").alias("first"))
+    waiting, hits = soft, None
     while True:
-        f = front.select(*KEYS, F.col("row").alias("i_row"), F.col("col").alias("i_col"))
-        step = e.join(f, [*KEYS, "i_row", "i_col"], "left_semi").select(*POS).distinct()
-        hits = step if hits is None else hits.unionByName(step)
-        front = cut_lineage(step.join(reached, POS, "left_anti"))
-        if front.isEmpty():
+        wanted = waiting.groupBy(*KEYS, *RECT).agg(F.max("at").alias("last"))
+        met = overlap_join(wanted, front, KEYS).filter(F.col("first") < F.col("last"))
+        met = met.groupBy(*KEYS, *RECT).agg(F.min("first").alias("first"))
+        step = cut_lineage(waiting.join(met, [*KEYS, *RECT], "left").withColumn("hit", F.coalesce(F.col("at") > F.col("first"), F.lit(False))).drop("first"))
+        hits = step.filter("hit").select(*POS) if hits is None else hits.unionByName(step.filter("hit").select(*POS))
+        new = step.filter("hit AND NOT base_ok")
+        if new.isEmpty():
             return hits.distinct()
-        reached = reached.unionByName(front)
+        front = new.groupBy(*KEYS, *RECT).agg(F.min("at").alias("first"))
+        waiting = step.filter("NOT hit").drop("hit")
 
 
 def assess(

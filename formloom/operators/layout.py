@@ -171,7 +171,7 @@ def grid_edges_from_elements(elements: DataFrame, pages: DataFrame) -> DataFrame
     has = e.filter("cls = 'table'").select(*PAGE).distinct().withColumn("tab", F.lit(True))
     allv = inner.unionByName(outer).join(has, PAGE, "left")
     final = F.when(F.col("tab"), F.when(F.col("axis") == "x", 2.0).otherwise(2.5)).otherwise(6.0)
-    edges = cluster_positions(allv, [*PAGE, "axis"], final)
+    edges = cut_lineage(cluster_positions(allv, [*PAGE, "axis"], final))  # used three times
     lone = edges.groupBy(*PAGE, "axis").agg(F.count("*").alias("k")).filter("k < 2").join(pages, PAGE)
     span = F.greatest(F.when(F.col("axis") == "x", F.col("width")).otherwise(F.col("height")), F.lit(100.0))
     fixed = lone.select(*PAGE, "axis", F.posexplode(F.array(F.lit(0.0), span)).alias("edge_idx", "pos"))

@@ -367,3 +367,31 @@ def test_text_decoding(spark):
     got = spark.createDataFrame(rows, "content binary").select(F.inline(F.array(rd.decode_text(F.col("content"))))).collect()
     assert [(r.text, r.latin1) for r in got] == [("表单 value", False), ("表单", False), ("café 12", True), ("x", False)]
 
+
+
+def test_fine_items_spread_over_one_spot(spark):
+    """As many fields as a sheet may have rows over one spot: pairs of them would be billions."""
+    n = 100_000
+    d = spark.range(n).select(
+        F.lit("w").alias("wb_id"), F.lit("S").alias("sheet"), (F.col("id") + 1).cast("int").alias("row"), F.lit(1).alias("col"), F.lit(1).alias("r0"), F.lit(1).alias("c0"),
+        (F.lit(5) + F.col("id") % 7).cast("int").alias("r1"), F.lit(3).alias("c1"), (F.col("id") == 10).alias("base_ok"), (F.col("id") % 1000 == 999).alias("hard"),
+    )
+    got = a.propagate_forward(d).agg(F.count("*").alias("n"), F.min("row").alias("first")).first()
+    assert (got.n, got.first) == (n - 11 - n // 1000, 12)
+
+
+def test_fine_items_spread_forward_only(spark):
+    r = random.Random(12)
+    rows = []
+    for k in range(140):
+        r0, c0 = r.randint(1, 40), r.randint(1, 12)
+        rows.append(("w", "S", k // 4 + 1, k % 4 + 1, r0, c0, r0 + r.randint(0, 3), c0 + r.randint(0, 2), r.random() < 0.06, r.random() < 0.1))
+    d = spark.createDataFrame(rows, "wb_id string, sheet string, row int, col int, r0 int, c0 int, r1 int, c1 int, base_ok boolean, hard boolean")
+    fine, want = [], set()
+    for x in sorted(rows, key=lambda x: x[2:4]):
+        hit = not x[9] and any(y[4] <= x[6] and x[4] <= y[6] and y[5] <= x[7] and x[5] <= y[7] for y in fine)
+        if hit:
+            want.add(x[2:4])
+        if not x[9] and (hit or x[8]):
+            fine.append(x)
+    assert {(x.row, x.col) for x in a.propagate_forward(d).collect()} == want
