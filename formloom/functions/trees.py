@@ -117,6 +117,32 @@ def tree_depth(raw: Column) -> Column:
     return F.when(F.try_parse_json(raw).isNotNull(), F.aggregate(marks, start, step, lambda a: a["top"]))
 
 
+#: Where a document keeps previews of its tables and records.
+PREVIEWS = (
+    "records_preview array<string>, rows_preview array<array<string>>, tables array<struct<rows:array<array<string>>>>,"
+    " sheets array<struct<records_preview:array<string>,rows_preview:array<array<string>>>>"
+)
+
+
 def record_count(raw: Column) -> Column:
-    """Elements of a list, one for any other document."""
-    return let(_root(raw), lambda n: F.when(_is(n, "ARRAY"), F.size(_kids(n))).when(n["kind"].isNotNull(), F.lit(1)))
+    """Elements of a list; of an object those of its record preview, or of its sheets' record previews; else 0. Null for text that is no JSON."""
+
+    def of(p: Column) -> Column:
+        sheets = F.aggregate(F.coalesce(p["sheets"], F.array()), F.lit(0), lambda a, s: a + F.coalesce(F.size(s["records_preview"]), F.lit(0)))
+        return F.when(p["records_preview"].isNotNull(), F.size(p["records_preview"])).otherwise(F.coalesce(sheets, F.lit(0)))
+
+    counted = lambda n: F.when(_is(n, "ARRAY"), F.size(_kids(n))).when(_is(n, "OBJECT"), let(F.from_json(raw, PREVIEWS), of)).when(n["kind"].isNotNull(), F.lit(0))
+    return let(_root(raw), counted)
+
+
+def table_previews(raw: Column) -> Column:
+    """Struct (blocks: all previewed tables of an object, as rows of cells; first: the rows whose cells tell the density)."""
+
+    def of(p: Column) -> Column:
+        none = F.array().cast("array<array<array<string>>>")
+        own = F.when(p["rows_preview"].isNotNull(), F.array(p["rows_preview"])).otherwise(none)
+        rows = lambda items, name: F.coalesce(F.transform(F.filter(items, lambda t: t.isNotNull()), lambda t: F.coalesce(t[name], F.array().cast("array<array<string>>"))), none)
+        first = F.coalesce(p["rows_preview"], F.get(p["sheets"], F.lit(0))["rows_preview"])
+        return F.struct(F.concat(own, rows(p["tables"], "rows"), rows(p["sheets"], "rows_preview")).alias("blocks"), first.alias("first"))
+
+    return let(F.from_json(F.when(F.startswith(F.ltrim(raw), F.lit("{")), raw), PREVIEWS), of)

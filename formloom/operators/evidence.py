@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from formloom.functions import lines as ln
 from formloom.functions import text as tx
+from formloom.functions import trees as tr
 from formloom.operators.grid import KEYS, top_rows
 
 
@@ -24,10 +25,28 @@ def _kv_line(x: Column) -> Column:
     return x.contains(":") & (F.length(tx.strip(F.substring_index(x, ":", 1))) <= 60)
 
 
+def document_parts(docs: DataFrame) -> DataFrame:
+    """What ``routing_features`` needs, from documents alone. docs: doc_id, raw (a normalised document as JSON text), evidence (array).
+
+    The text is the document's scalars; tables are those it previews, the tallest and widest of them count. A density needs rows
+    of its own or of its first sheet.
+    """
+    raw = F.col("raw")
+    d = _pinned(docs, _t=tr.table_previews(raw))
+    blocks = F.col("_t.blocks")
+    tallest = lambda size: F.coalesce(F.array_max(F.transform(blocks, size)), F.lit(0))
+    return d.select(
+        *docs.columns, F.coalesce(tr.flatten_text(raw), F.lit("")).alias("text"), F.col("_t.first").alias("rows"), F.size(blocks).alias("table_blocks"),
+        tallest(lambda r: F.size(r)).alias("table_row_count"), tallest(lambda r: F.coalesce(F.array_max(F.transform(r, lambda c: F.size(c))), F.lit(0))).alias("table_col_count"),
+        F.coalesce(tr.record_count(raw), F.lit(0)).alias("record_count"), F.coalesce(tr.tree_depth(raw), F.lit(0)).alias("object_depth"), F.size("evidence").alias("evidence_count"),
+    )
+
+
 def routing_features(docs: DataFrame) -> DataFrame:
     """Features a route is chosen by, row by row.
 
-    docs: doc_id, text, rows (array<array<string>>, first table), table_blocks, record_count, object_depth, evidence_count.
+    docs: doc_id, text, rows (array<array<string>>, first table), table_blocks, record_count, object_depth, evidence_count, and
+    table_row_count and table_col_count where they are not those of ``rows``; ``document_parts`` gives all of them.
     Lines are stripped before the indent test, so ``indent_ratio`` is always 0, and no table counts as medium sparsity.
     """
     d = _pinned(docs, _l=ln.clean_lines(F.col("text")))
@@ -44,7 +63,7 @@ def routing_features(docs: DataFrame) -> DataFrame:
     d = d.select(
         *docs.columns, F.length("text").alias("char_count"), F.size("_l").alias("line_count"), ratio("_kv").alias("kv_line_ratio"),
         ratio("_sec").alias("section_line_ratio"), ratio("_bul").alias("bullet_line_ratio"), F.lit(0.0).alias("indent_ratio"),
-        F.size(rows).alias("table_row_count"), cols.alias("table_col_count"),
+        *([] if "table_row_count" in docs.columns else [F.size(rows).alias("table_row_count"), cols.alias("table_col_count")]),
         F.when(total > 0, F.bround(filled / total, 4)).otherwise(0.0).alias("non_empty_density"), "_sec", "_bul",
     )
     c = F.col

@@ -216,6 +216,14 @@ def _(t):
 NESTED = """SELECT event_id, '[{{"a": "] [" , "b": ' || repeat('[', CAST(event_id % 7 AS INT)) || IF(event_id % 3 = 0, '', '1') || repeat(']', CAST(event_id % 7 AS INT)) || IF(event_id % 7 = 0 AND event_id % 3 = 0, '0', '') || '}}, {{}}]' AS raw FROM {events}"""
 
 
+NESTED_SHEETS = "SELECT event_id, '{{\"sheets\": [{{\"records_preview\": [1' || repeat(', {{}}', CAST(event_id % 4 AS INT)) || ']}}, {{\"name\": 1}}, {{\"records_preview\": [2, 3]}}]}}' AS raw FROM {events}"
+
+
+@query("f15_record_count", "SELECT event_id, CAST(3 + event_id % 4 AS INT) AS record_count FROM events")
+def _(t):
+    return t.sql(NESTED_SHEETS).select("event_id", tr.record_count(F.col("raw")).alias("record_count"))
+
+
 @query("f15_tree_depth", "SELECT event_id, CAST(2 + event_id % 7 - CASE WHEN event_id % 3 = 0 AND event_id % 7 > 0 THEN 1 ELSE 0 END AS INT) AS depth, 2 AS record_count FROM events")
 def _(t):
     return t.sql(NESTED).select("event_id", tr.tree_depth(F.col("raw")).alias("depth"), tr.record_count(F.col("raw")).alias("record_count"))
@@ -254,6 +262,39 @@ def _(t):
     )
 
 
+def json_documents(t):
+    """A normalised document for each order: a table, records, a list, sheets, or a deep object."""
+    c = lambda n: F.col(n).cast("string")
+    q = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    cells = F.concat(F.lit("["), F.concat_ws(", ", q(c("p")), q(c("q")), q(F.when(F.col("q") % 2 == 0, " ").otherwise(F.col("f")))), F.lit("]"))
+    item = F.concat(F.lit('{"k": '), q(c("p")), F.lit("}"))
+    d = t.li.groupBy("o").agg(F.array_sort(F.collect_list(F.struct("ln", cells.alias("cells"), item.alias("item")))).alias("x"))
+    listed = lambda n: F.concat(F.lit("["), F.array_join(F.transform("x", lambda k: k[n]), ", "), F.lit("]"))
+    rows, items, k = listed("cells"), listed("item"), F.col("o") % 5
+    raw = (
+        F.when(k == 0, F.concat(F.lit('{"rows_preview": '), rows, F.lit(', "note": "Key: v"}')))
+        .when(k == 1, F.concat(F.lit('{"records_preview": '), items, F.lit(', "lines": ["- a", "- b"]}'))).when(k == 2, items)
+        .when(k == 3, F.concat(F.lit('{"sheets": [{"rows_preview": '), rows, F.lit(', "records_preview": '), items, F.lit('}, {"rows_preview": [["a", ""]]}]}')))
+        .otherwise(F.concat(F.lit('{"a": {"b": {"c": {"d": '), c("o"), F.lit("}}}}")))
+    )
+    return d.select(F.col("o").alias("doc_id"), raw.alias("raw"), F.array(F.lit("e")).alias("evidence"))
+
+
+@query(
+    "f16_document_features",
+    """WITH d AS (SELECT o, o % 5 AS k, CAST(count(*) AS INT) AS n, count(*) FILTER (q % 2 = 0) AS empty FROM <<li>> GROUP BY 1)
+      SELECT o AS doc_id, CASE WHEN k IN (1, 2, 3) THEN n ELSE 0 END AS record_count, CASE k WHEN 3 THEN 5 WHEN 4 THEN 4 WHEN 2 THEN 2 ELSE 3 END AS object_depth,
+        CASE k WHEN 0 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS table_blocks, CASE WHEN k IN (0, 3) THEN n ELSE 0 END AS table_row_count, CASE WHEN k IN (0, 3) THEN 3 ELSE 0 END AS table_col_count,
+        CASE WHEN k IN (0, 3) THEN round_even((3.0 * n - empty) / (3 * n), 4) ELSE 0.0 END AS non_empty_density,
+        CASE WHEN k IN (3, 4) THEN 'high' ELSE 'medium' END AS hierarchy_strength, CASE WHEN k IN (1, 2, 3) AND n >= 8 THEN 'high' WHEN k = 1 OR (k IN (2, 3) AND n >= 2) THEN 'medium' ELSE 'low' END AS repetition_strength,
+        CASE WHEN k IN (0, 3) THEN CASE WHEN n >= 4 THEN 'high' ELSE 'medium' END ELSE 'low' END AS grid_strength FROM d""",
+)
+def _(t):
+    return ev.routing_features(ev.document_parts(json_documents(t))).select(
+        "doc_id", "record_count", "object_depth", "table_blocks", "table_row_count", "table_col_count", "non_empty_density", "hierarchy_strength", "repetition_strength", "grid_strength"
+    )
+
+
 Q_ROUTE = f"""(SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN CASE WHEN grid <> 'low' THEN 'table_like_representation' ELSE 'evidence_grounded_spans' END WHEN grid = 'high' THEN CASE WHEN rep = 'high' AND tcols <= 8 THEN 'list_of_records' WHEN tier <> 'low' THEN 'hybrid_sectioned_json_and_table_blocks' ELSE 'table_like_representation' END
   WHEN tier = 'high' THEN 'hierarchical_json' WHEN secr >= 0.12 OR tier = 'medium' THEN 'sectioned_json' WHEN rep = 'high' THEN 'list_of_records' WHEN kvr >= 0.28 AND size <> 'large' THEN 'flat_kv_pairs' WHEN size = 'small' AND kvr >= 0.15 THEN 'flat_kv_pairs' ELSE 'evidence_grounded_spans' END AS representation,
   CASE WHEN doc_id % 13 = 0 THEN CASE WHEN grid <> 'low' THEN 'ocr_plus_layout_parsing' ELSE 'ocr' END ELSE ['direct_text_parsing', 'html_dom_parsing', 'pdf_text_layer_parsing', 'office_document_parsing', 'direct_text_parsing', 'structured_data_parsing'][CAST(doc_id % 6 AS INT) + 1] END AS parse_mode, grid FROM {Q_FEAT})"""

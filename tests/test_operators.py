@@ -340,7 +340,7 @@ def test_trees(spark):
     c = F.col("raw")
     got = d.select("i", tr.tree_normalize(c).alias("t"), tr.flatten_text(c).alias("f"), tr.tree_depth(c).alias("d"), tr.record_count(c).alias("n"), tr.tree_normalize(c, max_depth=2, max_keys=1, max_items=1).alias("s")).orderBy("i").collect()
     assert got[0]["t"] == '{"b": "0", "a": ["False", "x y", {"evidence": "e", "k": null}], "c": {}}'
-    assert (got[0]["f"], got[0]["d"], got[0]["n"]) == ("x  y", 3, 1)
+    assert (got[0]["f"], got[0]["d"], got[0]["n"]) == ("x  y", 3, 0)
     assert got[0]["s"] == '{"b": "0", "__truncated__": true}'
     assert (got[1]["t"], got[1]["f"], got[1]["d"], got[1]["n"], got[1]["s"]) == ('["1", ["2", ["3"]]]', "1\n2\n3", 3, 2, '["1"]')
     assert (got[2]["t"], got[2]["f"], got[2]["d"]) == ('"text"', "text", 0)
