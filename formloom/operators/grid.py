@@ -431,7 +431,7 @@ def dropdown_constraints(
     ``names(wb_id, name, ref_sheet, ref)``. At most ``read`` options are read and ``keep`` kept, as the rule demands.
     """
     v = validations.filter(F.lower(strip(F.col("type"))) == "list").withColumn("_raw", F.regexp_replace(strip(F.col("formula1")), "^=", ""))
-    v = v.withColumn("_raw", strip(F.col("_raw"))).withColumn("dv_id", F.xxhash64(*KEYS, "sqref", "formula1"))
+    v = v.withColumn("_raw", strip(F.col("_raw"))).withColumn("dv_id", F.struct(*KEYS, "sqref", "formula1"))
     literal = F.col("_raw").rlike('^".*"$')
     shorter = lambda options, n: options if n is None else F.slice(options, 1, n)
     lit_opts = shorter(F.filter(F.transform(F.split(F.regexp_replace("_raw", '^"+|"+$', ""), ","), strip), lambda x: x != ""), read)

@@ -284,7 +284,7 @@ def page_elements(blocks: DataFrame, table_elements: DataFrame) -> DataFrame:
 def blocks_report(blocks: DataFrame) -> DataFrame:
     """Blocks of a page in reading order with their box spelled out."""
     order = W.partitionBy(*PAGE).orderBy(F.col("bbox.y0"), F.col("bbox.x0"), "block_id")
-    return blocks.select(*PAGE, F.row_number().over(order).alias("order"), "label", tx.squeeze(F.coalesce("text", F.lit(""))).alias("text"), F.to_json("bbox").alias("bbox"))
+    return blocks.select(*PAGE, "block_id", F.row_number().over(order).alias("order"), "label", tx.squeeze(F.coalesce("text", F.lit(""))).alias("text"), F.to_json("bbox").alias("bbox"))
 
 
 def meta_report(pages: DataFrame, fields: list[str]) -> DataFrame:

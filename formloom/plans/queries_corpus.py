@@ -143,11 +143,12 @@ def _(t):
     return d.select("doc_id", v("$.lines['@attributes'].n").alias("n"), v("$.note").alias("note"), (F.size("notes") > 0).alias("failed"))
 
 
-@query("a10_read_text", "SELECT doc_id, md5(text) AS h, FALSE AS latin1 FROM documents UNION ALL SELECT doc_id + 1000000, md5('caf' || chr(233) || doc_id), TRUE FROM documents")
+@query("a10_read_text", "SELECT doc_id, md5(text) AS h, FALSE AS latin1 FROM documents UNION ALL SELECT doc_id + 1000000, md5('caf' || chr(233) || doc_id), TRUE FROM documents UNION ALL SELECT doc_id + 2000000, md5('中文表' || doc_id), FALSE FROM documents")
 def _(t):
     utf = t.documents.select("doc_id", F.encode(F.concat(F.lit("﻿"), F.col("text")), "UTF-8").alias("content"))
     lat = t.documents.select((F.col("doc_id") + 1000000).alias("doc_id"), F.encode(F.concat(F.lit("café"), F.col("doc_id").cast("string")), "ISO-8859-1").alias("content"))
-    d = utf.unionByName(lat).select("doc_id", F.inline(F.array(rd.decode_text(F.col("content")))))
+    chinese = t.documents.select((F.col("doc_id") + 2000000).alias("doc_id"), F.concat(F.unhex(F.lit("D6D0CEC4B1ED")), F.col("doc_id").cast("string").cast("binary")).alias("content"))
+    d = utf.unionByName(lat).unionByName(chinese).select("doc_id", F.inline(F.array(rd.decode_text(F.col("content")))))
     return d.select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"), "latin1")
 
 

@@ -197,6 +197,25 @@ def _(t):
     return d.select("doc_id", F.size("h.tables").alias("n_tables"))
 
 
+@query(
+    "f11_record_fields",
+    f"""WITH h AS (SELECT doc_id, table_idx, cells AS head FROM {Q_PIPE} WHERE row = 1), b AS (SELECT doc_id, table_idx, row, cells FROM {Q_PIPE} WHERE row >= 2),
+      f AS (SELECT doc_id, table_idx, row, i, CASE WHEN trim(head[i]) <> '' THEN trim(head[i]) ELSE 'col_' || i END AS key, coalesce(cells[i], '') AS value
+        FROM (SELECT b.*, h.head, unnest(range(1, len(h.head) + 1)) AS i FROM b JOIN h USING (doc_id, table_idx)))
+      SELECT doc_id, string_agg(key || '=' || value, ';' ORDER BY table_idx, row, i) AS fields FROM f GROUP BY 1""",
+)
+def _(t):
+    recs = ev.list_of_records(ln.markdown_tables(F.col("text")))
+    d = t.sql(MIX).select("doc_id", F.flatten(recs).alias("f")).where(F.size("f") > 0)
+    return d.select("doc_id", F.array_join(F.transform("f", lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";").alias("fields"))
+
+
+@query("f12_table_cells", f"SELECT doc_id, string_agg(array_to_string(cells, '|'), chr(10) ORDER BY table_idx, row) AS body FROM {Q_PIPE} GROUP BY 1")
+def _(t):
+    d = t.sql(MIX).select("doc_id", ev.hybrid_blocks(F.col("text"), ln.markdown_tables(F.col("text"))).alias("h"))
+    return d.select("doc_id", F.array_join(F.transform(F.flatten("h.tables"), lambda r: F.array_join(r, "|")), "\n").alias("body")).where("body <> ''")
+
+
 TREES = """SELECT event_id, '{{"id": ' || CAST(event_id AS STRING) || ', "a": {{"b": [' || CAST(user_id AS STRING) || ', "' || event_type || '"], "evidence": "skip"}}, "z": ' || props || ', "n": null, "zero": 0}}' AS raw FROM {events}"""
 
 
@@ -368,6 +387,16 @@ def _(t):
     return ev.native_text_check(p, 400).select("doc_id", "is_native")
 
 
+@query(
+    "f22_native_text",
+    """SELECT conv_id AS doc_id, md5(string_agg('[Page ' || turn || ']' || chr(10) || trim(text, ' ' || chr(10) || chr(9)), chr(10) || chr(10) ORDER BY turn)) AS h FROM conversations
+      WHERE trim(text, ' ' || chr(10) || chr(9)) <> '' GROUP BY 1""",
+)
+def _(t):
+    p = t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")
+    return ev.native_text_check(p).select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
 @query("f23_ocr_page_tables", "SELECT event_id, unnest([0, 1, 2]) AS table_idx, unnest([event_type || '|1', 'a', 'b|' || user_id]) AS first_row FROM events")
 def _(t):
     u = F.col("user_id").cast("string")

@@ -221,16 +221,35 @@ def _(t):
     k = (F.col("item_id") % 4).cast("int")
     label = F.element_at(F.array(*[F.lit(x) for x in ("Figure_1", "doc_title", "", "page_header")]), k + 1)
     b = elements(t).withColumn("label", label).withColumn("text", F.when(k % 2 == 0, " ").otherwise(F.col("text")))
-    text = F.coalesce(F.nullif(F.trim("text"), F.lit("")), lay.placeholder(F.col("label")))
-    return b.select("item_id", text.alias("text"), lay.style_class(F.col("label"), F.lit("layout_block")).alias("style_class"))
+    none = b.select(*lay.PAGE, "kind", "bbox", "text").limit(0)
+    # A block keeps its number as its left edge, so that the relation of all elements can be told apart.
+    numbered = b.withColumn("bbox", F.struct(F.col("item_id").cast("double").alias("x0"), F.col("bbox.y0").alias("y0"), F.col("bbox.x1").alias("x1"), F.col("bbox.y1").alias("y1")))
+    return lay.page_elements(numbered, none).select(F.col("bbox.x0").cast("long").alias("item_id"), "text", "style_class")
 
 
-@query("g13_blocks_report", f"SELECT doc_id, page, item_id AS block_id, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, item_id) AS INT) AS \"order\" FROM {Q_ELEM}")
+@query(
+    "g12_table_elements",
+    f"""SELECT doc_id, page, kind, CASE WHEN kind = 'table_cell' THEN 'table' ELSE 'plain' END AS style_class, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars
+      FROM (SELECT doc_id, page, CASE WHEN item_id % 2 = 0 THEN 'table_cell' ELSE 'table_text_fallback' END AS kind, text FROM {Q_ELEM}) GROUP BY 1, 2, 3
+      UNION ALL SELECT doc_id, page, 'layout_block', 'body', count(*), CAST(sum(length(text)) AS BIGINT) FROM {Q_ELEM} WHERE item_id % 3 > 0 GROUP BY 1, 2""",
+)
+def _(t):
+    e = elements(t)
+    blocks = e.withColumn("label", F.when(F.col("item_id") % 3 == 0, "table").otherwise("Paragraph"))
+    cells = e.withColumn("kind", F.when(F.col("item_id") % 2 == 0, "table_cell").otherwise("table_text_fallback"))
+    d = lay.page_elements(blocks, cells).groupBy(*lay.PAGE, "kind", "style_class")
+    return d.agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query(
+    "g13_blocks_report",
+    f"""SELECT doc_id, page, item_id AS block_id, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, item_id) AS INT) AS "order", kind AS label, text,
+      x0 || '|' || y0 || '|' || x1 || '|' || y1 AS box FROM {Q_ELEM}""",
+)
 def _(t):
     b = elements(t).withColumnRenamed("item_id", "block_id").withColumn("label", F.col("kind"))
-    o = lay.blocks_report(b)
-    d = o.join(b.select(*lay.PAGE, F.to_json("bbox").alias("bbox"), "block_id"), [*lay.PAGE, "bbox"])
-    return d.select(*lay.PAGE, "block_id", "order")
+    box = F.from_json("bbox", lay.BOX)
+    return lay.blocks_report(b).select(*lay.PAGE, "block_id", "order", "label", "text", F.concat_ws("|", *[box[c].cast("string") for c in ("x0", "y0", "x1", "y1")]).alias("box"))
 
 
 @query("g13_meta_report", "SELECT page_id AS doc_id, unnest(['url', 'size']) AS field, unnest([url, CAST(length(html) AS VARCHAR)]) AS value FROM pages")

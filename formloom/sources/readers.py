@@ -45,7 +45,7 @@ def split_instruction(text: Column) -> Column:
 
 
 def read_instructions(spark: SparkSession, path: str) -> DataFrame:
-    d = spark.read.option("wholetext", True).text(path).select(_case_of(F.col("_metadata.file_path")).alias("case_id"), F.inline(F.array(split_instruction(F.col("value")))))
+    d = spark.read.text(path, wholetext=True).select(_case_of(F.col("_metadata.file_path")).alias("case_id"), F.inline(F.array(split_instruction(F.col("value")))))
     return d
 
 
@@ -68,7 +68,7 @@ def manifest_paths(raw: Column) -> Column:
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    d = spark.read.option("wholetext", True).text(path)
+    d = spark.read.text(path, wholetext=True)
     return d.select(F.col("_metadata.file_path").alias("manifest"), F.posexplode(manifest_paths(F.col("value"))).alias("ord", "path"))
 
 
@@ -196,6 +196,7 @@ def decode_text(content: Column) -> Column:
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """Texts of files, decoded by ``decode_text``; an empty file gives no row."""
     d = spark.read.format("binaryFile").load(path)
     return d.select("path", F.inline(F.array(decode_text(F.col("content")))))
 
