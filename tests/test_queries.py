@@ -14,6 +14,7 @@ SF = "/root/testdata/sf0.001"
 QUICK = (
     "b1_a1_parse b4_intersects c1_used_bbox c5_typed_candidates c22_dropdown_for_focus d8_soft_key_native d15_rank_candidates d19_fill_by_key "
     "e1_latest_effective_edits e12_merge_touching_regions e19_restore_region e26_write_guard f4_markdown_tables f8_sections f17_route "
+    "a9_xml_tree f5_nested_tables f16_document_features g4_join_texts_by_layout g10_place_spans g16_slots_from_components "
     "g6_grid_edges_from_elements h6_normalize_policy i2_score_by_case_type j1_stream_edit_state a3_read_manifests flagship_audit_round"
 ).split()
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("FORMLOOM_ALL") else QUICK
