@@ -335,7 +335,25 @@ def chunk_slots(slots: DataFrame, n: int = 8) -> DataFrame:
 
 
 def crop_union(slots: DataFrame, sizes: DataFrame, pad: int = 20) -> DataFrame:
-    """Padded, clamped crop box per batch. slots: keys, chunk, x0..y1; sizes: keys, width, height."""
+    """Padded crop box per batch, at least one pixel of the image. slots: keys, chunk, x0..y1; sizes: keys, width, height."""
     b = slots.groupBy(*KEYS, "chunk").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).join(sizes, KEYS)
-    return b.select(*KEYS, "chunk", F.greatest(F.lit(0), F.col("x0") - pad).alias("x0"), F.greatest(F.lit(0), F.col("y0") - pad).alias("y0"),
-                    F.least("width", F.col("x1") + pad).alias("x1"), F.least("height", F.col("y1") + pad).alias("y1"))
+    low = lambda c, size: F.greatest(F.lit(0), F.least(F.col(c) - pad, F.col(size) - 1))
+    high = lambda c, size, first: F.greatest(first + 1, F.least(F.col(c) + pad, F.col(size)))
+    x0, y0 = low("x0", "width"), low("y0", "height")
+    return b.select(*KEYS, "chunk", x0.alias("x0"), y0.alias("y0"), high("x1", "width", x0).alias("x1"), high("y1", "height", y0).alias("y1"))
+
+
+def slots_in_crops(slots: DataFrame, crops: DataFrame) -> DataFrame:
+    """Slots with their boxes counted from the corner of their batch's crop; other columns stay."""
+    c = crops.select(*KEYS, "chunk", F.col("x0").alias("_cx"), F.col("y0").alias("_cy"))
+    moved = {"x0": "_cx", "x1": "_cx", "y0": "_cy", "y1": "_cy"}
+    return slots.join(c, [*KEYS, "chunk"]).select(*[(F.col(n) - F.col(moved[n])).alias(n) if n in moved else F.col(n) for n in slots.columns])
+
+
+def chunk_summary(slots: DataFrame, crops: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per batch: its slots in order, its crop, and how many pairs the replies gave. pairs: keys, chunk, one row a pair."""
+    s = slots.groupBy(*KEYS, "chunk").agg(F.count("*").alias("slot_count"), F.array_sort(F.collect_list("slot_id")).alias("slot_ids"))
+    n = pairs.groupBy(*KEYS, "chunk").agg(F.count("*").alias("_n"))
+    box = crops.select(*KEYS, "chunk", F.array("x0", "y0", "x1", "y1").alias("crop"))
+    d = s.join(box, [*KEYS, "chunk"], "left").join(n, [*KEYS, "chunk"], "left")
+    return d.select(*KEYS, "chunk", "slot_count", "slot_ids", "crop", F.coalesce("_n", F.lit(0)).alias("pair_count"))

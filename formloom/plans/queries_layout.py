@@ -213,6 +213,24 @@ def _(t):
     return lay.column_widths(None, cell_boxes(t), n, mode="geometry").withColumn("width", F.round("width", 6))
 
 
+Q_CONTENT_WIDTHS = f"""(WITH w AS (SELECT doc_id, table_idx, unnest(generate_series(col, col + col_span - 1)) AS col, least(40.0, greatest(6.0, length(text) / col_span + 2.0)) AS est FROM {Q_PLACE}), m AS (SELECT doc_id, table_idx, col, max(est) AS est FROM w GROUP BY 1, 2, 3),
+  n AS (SELECT doc_id, table_idx, unnest(generate_series(1, max(col + col_span - 1))) AS col FROM {Q_PLACE} GROUP BY 1, 2) SELECT doc_id, table_idx, CAST(col AS INT) AS col, greatest(8.0, coalesce(est, 8.0)) AS content_width FROM n LEFT JOIN m USING (doc_id, table_idx, col))"""
+
+
+@query(
+    "g11_combined_widths",
+    f"""WITH v AS (SELECT doc_id, table_idx, unnest([x0, x1]) AS v FROM {CELL_BOX.format(events='events')} WHERE page = 0),
+      e AS (SELECT *, lead(pos) OVER (PARTITION BY doc_id, table_idx ORDER BY edge_idx) - pos AS span, count(*) OVER (PARTITION BY doc_id, table_idx) AS k FROM {q_cluster('v', 'doc_id, table_idx', '3.0')}),
+      c AS (SELECT *, max(col) OVER (PARTITION BY doc_id, table_idx) AS n_cols FROM {Q_CONTENT_WIDTHS})
+      SELECT c.doc_id, c.table_idx, c.col, round(least(45.0, greatest(content_width, CASE WHEN e.k >= n_cols + 1 THEN least(40.0, greatest(6.0, greatest(12.0, span) / 7.0)) ELSE 16.0 END)), 6) AS width
+      FROM c LEFT JOIN e ON e.doc_id = c.doc_id AND e.table_idx = c.table_idx AND e.edge_idx + 1 = c.col""",
+)
+def _(t):
+    c = spans(t)
+    n = c.groupBy(*lay.TABLE).agg(F.max(F.col("col") + F.col("col_span") - 1).alias("n_cols"))
+    return lay.column_widths(c, cell_boxes(t), n).select("doc_id", "table_idx", "col", F.round("width", 6).alias("width"))
+
+
 @query(
     "g12_page_elements",
     f"SELECT item_id, CASE WHEN item_id % 4 = 0 THEN '[image]' WHEN item_id % 4 = 1 THEN text WHEN item_id % 4 = 2 THEN '[block]' ELSE text END AS text, CASE item_id % 4 WHEN 0 THEN 'plain' WHEN 1 THEN 'doc_title' WHEN 2 THEN 'plain' ELSE 'header' END AS style_class FROM {Q_ELEM}",
@@ -301,12 +319,37 @@ def _(t):
     return lay.slots_from_components(p, g.interesting_points(t.cells_t), t.merges, g.grid_edges(t.dims))
 
 
+Q_SLOTS = "(SELECT CAST(o AS VARCHAR) AS wb_id, ln, CAST(ln // 3 AS INT) AS chunk, p % 250 AS x0, s * 3 % 180 AS y0, p % 250 + 30 AS x1, s * 3 % 180 + 10 AS y1, q FROM <<li>>)"
+Q_CROPS = f"""(SELECT wb_id, chunk, a AS x0, b AS y0, greatest(a + 1, least(200, x + 20)) AS x1, greatest(b + 1, least(160, y + 20)) AS y1 FROM (
+  SELECT wb_id, chunk, greatest(0, least(199, min(x0) - 20)) AS a, greatest(0, least(159, min(y0) - 20)) AS b, max(x1) AS x, max(y1) AS y FROM {Q_SLOTS} GROUP BY 1, 2))"""
+
+
+def slots(t):
+    d = t.li.select(F.col("o").cast("string").alias("wb_id"), F.lit("S1").alias("sheet"), F.col("ln").alias("slot_id"), (F.col("p") % 250).alias("x0"), (F.col("s") * 3 % 180).alias("y0"), "q")
+    d = lay.chunk_slots(d.withColumn("x1", F.col("x0") + 30).withColumn("y1", F.col("y0") + 10), 3)
+    sizes = d.select(*g.KEYS).distinct().select("*", F.lit(200).alias("width"), F.lit(160).alias("height"))
+    return d, lay.crop_union(d, sizes)
+
+
+@query("g17_chunk_and_crop", f"SELECT wb_id, 'S1' AS sheet, chunk, x0, y0, x1, y1 FROM {Q_CROPS}")
+def _(t):
+    return slots(t)[1]
+
+
 @query(
-    "g17_chunk_and_crop",
-    "SELECT wb_id, sheet, CAST(ln // 3 AS INT) AS chunk, greatest(0, min(x) - 20) AS x0, greatest(0, min(y) - 20) AS y0, least(200, max(x + 30) + 20) AS x1, least(160, max(y + 10) + 20) AS y1 FROM (SELECT CAST(o AS VARCHAR) AS wb_id, 'S1' AS sheet, ln, p % 250 AS x, s * 3 % 180 AS y FROM <<li>>) GROUP BY 1, 2, 3",
+    "g17_slots_in_crops",
+    f"SELECT wb_id, 'S1' AS sheet, ln AS slot_id, s.x0 - c.x0 AS x0, s.y0 - c.y0 AS y0, s.x1 - c.x0 AS x1, s.y1 - c.y0 AS y1 FROM {Q_SLOTS} s JOIN {Q_CROPS} c USING (wb_id, chunk)",
 )
 def _(t):
-    d = t.li.select(F.col("o").cast("string").alias("wb_id"), F.lit("S1").alias("sheet"), F.col("ln").alias("slot_id"), (F.col("p") % 250).alias("x0"), (F.col("s") * 3 % 180).alias("y0"))
-    d = d.withColumn("x1", F.col("x0") + 30).withColumn("y1", F.col("y0") + 10)
-    sizes = d.select(*g.KEYS).distinct().select("*", F.lit(200).alias("width"), F.lit(160).alias("height"))
-    return lay.crop_union(lay.chunk_slots(d, 3), sizes)
+    return lay.slots_in_crops(*slots(t)).drop("chunk", "q")
+
+
+@query(
+    "h12_chunk_summary",
+    f"""SELECT wb_id, 'S1' AS sheet, chunk, count(*) AS slot_count, string_agg(ln, ',' ORDER BY ln) AS slot_ids, max(c.x0 || ',' || c.y0 || ',' || c.x1 || ',' || c.y1) AS crop, count(*) FILTER (q % 2 = 0) AS pair_count
+      FROM {Q_SLOTS} s JOIN {Q_CROPS} c USING (wb_id, chunk) GROUP BY 1, 3""",
+)
+def _(t):
+    d, crops = slots(t)
+    joined = lambda n: F.array_join(F.transform(n, lambda x: x.cast("string")), ",").alias(n)
+    return lay.chunk_summary(d, crops, d.where("q % 2 = 0")).select(*g.KEYS, "chunk", "slot_count", joined("slot_ids"), joined("crop"), "pair_count")
