@@ -181,6 +181,20 @@ def _(t):
     return d.select("case_id", "n_docs", "truncated", F.length("instruction").alias("n_chars"))
 
 
+@query("i3_file_profile", "SELECT CAST(c_nationkey AS VARCHAR) AS case_id, count(*) AS n_files, count(*) FILTER (c_custkey % 4 = 0) AS n_missing FROM customer GROUP BY 1")
+def _(t):
+    files = t.customer.select(F.col("c_nationkey").cast("string").alias("case_id"), F.col("c_name").alias("copied_name"), "c_custkey")
+    return sc.file_profile(files, files.where("c_custkey % 4 > 0"))
+
+
+@query(
+    "a14_build_bundle_all",
+    """SELECT case_id, count(*) AS n_docs, md5(string_agg('{"doc_id":' || doc_id || ',"text":"' || replace(text, chr(10), chr(92) || 'n') || '"}', chr(10) ORDER BY doc_id)) AS h FROM <<kv_texts>> GROUP BY 1""",
+)
+def _(t):
+    return rd.build_bundle(t.kv_texts).select("case_id", "n_docs", F.md5(F.col("instruction").cast("binary")).alias("h"))
+
+
 @query(
     "e29_stage_rollup",
     WITH + CTES_ASSESS + " SELECT coalesce(rd, -1) AS round_idx, count(*) AS assessed, count(*) FILTER (is_actual_edit) AS edited, count(*) FILTER (is_correct) AS correct, count(*) FILTER (is_safe) AS safe_blank, count(*) FILTER (is_high_risk) AS high_risk, CAST(sum(score) AS BIGINT) AS n_flags FROM (SELECT *, CAST(col AS INT) AS rd FROM assessed) GROUP BY ROLLUP (rd)",

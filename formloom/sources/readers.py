@@ -221,19 +221,22 @@ def densify_tables(tcells: DataFrame) -> DataFrame:
     return full.select(*by, "row", cells.alias("cells"))
 
 
-def build_bundle(sources: DataFrame, max_chars: int) -> DataFrame:
-    """One row per case: how many files, and the evidence text cut at ``max_chars`` with a marker.
+def build_bundle(sources: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """One row per case: how many files, and the evidence text; with ``max_chars`` it is cut there and marked.
 
     sources: case_id, doc_id, text. Running lengths come from per-file lengths, and only files that start before the cut are
-    collected, so a case of any size costs at most the cut.
+    collected, so a case of any size costs at most the cut. Without a limit a case's text is held whole, as it is one value.
     """
     s = sources.withColumn("part", F.to_json(F.struct("doc_id", "text"))).withColumn("n", F.length("part") + 1)
     total = s.groupBy("case_id").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_chars"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "part"))), lambda x: x["part"]), "\n")
+    if max_chars is None:
+        return total.join(s.groupBy("case_id").agg(joined.alias("instruction")), "case_id").select("case_id", "n_docs", F.lit(False).alias("truncated"), "instruction")
     w = W.partitionBy("case_id").orderBy("doc_id")
     # A part adds at least one character, so no more than max_chars files can matter; the rank prunes before the shuffle.
     head = s.select("case_id", "doc_id", "n", F.substring("part", 1, max_chars).alias("part")).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= max_chars)
     head = head.withColumn("before", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).filter(F.col("before") < max_chars)
-    body = head.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "part"))), lambda x: x["part"]), "\n").alias("t"))
+    body = head.groupBy("case_id").agg(joined.alias("t"))
     cut = F.col("n_chars") - 1 > max_chars
     text = F.when(cut, F.concat(F.substring("t", 1, max_chars), F.lit("\n...<truncated>"))).otherwise(F.col("t"))
     return total.join(body, "case_id").select("case_id", "n_docs", cut.alias("truncated"), text.alias("instruction"))
