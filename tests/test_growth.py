@@ -42,3 +42,12 @@ def test_ranked_candidates_far_and_near(spark):
     rows = [(x.l_row, x.l_col, x.row, x.col, x.kind, round(x.score, 9), x["rank"]) for x in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
     assert {x[:4] + x[6:] for x in rows if x[6] <= 2} == {(x.l_row, x.l_col, x.row, x.col, x["rank"]) for x in m.rank_candidates(lab, cand, lab, 2).collect()}
+
+
+def test_texts_in_cells_are_not_broadcast(spark):
+    from formloom.operators import layout as lay
+    from formloom.plans import queries_layout as q
+
+    t = Tables(spark, SF)
+    for d in (lay.match_text_to_cells(q.elements(t), q.cell_boxes(t)), lay.assign_text_to_cells(q.elements(t), q.cell_boxes(t))):
+        assert "Broadcast" not in plan_of(d)
