@@ -39,21 +39,64 @@ def best_label(targets: DataFrame, labels: DataFrame, threshold: float, full: bo
 PROBES = [(0, dc) for dc in range(1, 7)] + [(dr, dc) for dr in (1, 2) for dc in range(5)]
 
 
+# Rows and columns of a block of cells, as a power of two, and how far probes reach out of it.
+PROBE_BLOCK, PROBE_DOWN, PROBE_RIGHT = 4, max(r for r, _ in PROBES), max(c for _, c in PROBES)
+
+
 def guess_value_cell(labels: DataFrame, merges: DataFrame, writable: DataFrame, label_cells: DataFrame) -> DataFrame:
-    """Value cell of each label: the first probe that is writable, else the first that is neither itself nor a label."""
+    """Value cell of each label: the first probe that is writable, else the first that is neither itself nor a label.
+
+    Probes are never rows: cells and merged blocks are filed under the small blocks of cells whose labels can probe them, and a
+    label looks its probes up in its block's arrays, of some hundred cells at most. A merged block brings what its anchor is, so
+    the anchor may lie anywhere; blocks that cover many blocks of cells meet those with labels by an interval join.
+    """
+    k, packed = PROBE_BLOCK, lambda r, c: r.cast("long") * 32768 + c
+    flags = cut_lineage(writable.select(*POS, F.lit(1).alias("bit")).unionByName(label_cells.select(*POS, F.lit(2).alias("bit"))))
+    lab = labels.select(*POS).distinct().withColumn("_bi", F.shiftright("row", k)).withColumn("_bj", F.shiftright("col", k))
+    filed = lambda d, r0, c0, r1, c1: d.withColumn("_bi", F.explode(F.sequence(F.shiftright(F.col(r0) - PROBE_DOWN, k), F.shiftright(r1, k)))).withColumn(
+        "_bj", F.explode(F.sequence(F.shiftright(F.col(c0) - PROBE_RIGHT, k), F.shiftright(c1, k))))
+    at = flags.select(*KEYS, F.col("row").alias("r0"), F.col("col").alias("c0"), "bit")
+    m = merges.select(*KEYS, *RECT).join(at, [*KEYS, "r0", "c0"], "left").groupBy(*KEYS, *RECT).agg(F.coalesce(F.bit_or("bit"), F.lit(0)).alias("bits"))
+    few = (F.col("r1") - F.col("r0") < 256) & (F.col("c1") - F.col("c0") < 256)
+    home = [F.shiftleft("_bi", k).alias("r0"), F.shiftleft("_bj", k).alias("c0")]
+    home += [(F.shiftleft("_bi", k) + (1 << k) - 1 + PROBE_DOWN).alias("r1"), (F.shiftleft("_bj", k) + (1 << k) - 1 + PROBE_RIGHT).alias("c1")]
+    wide = overlap_join(lab.select(*KEYS, "_bi", "_bj").distinct().select(*KEYS, "_bi", "_bj", *home), m.filter(~few), KEYS)
+    block = lambda pre: F.struct(*[F.col(pre + c).alias(c) for c in RECT], "bits").alias("m")
+    none = F.lit(None).cast("struct<r0:int,c0:int,r1:int,c1:int,bits:int>").alias("m")
+    spot = packed(F.col("row"), F.col("col"))
+    facts = filed(flags, "row", "col", "row", "col").select(*KEYS, "_bi", "_bj", F.when(F.col("bit") == 1, spot).alias("w"), F.when(F.col("bit") == 2, spot).alias("l"), none)
+    nothing = [F.lit(None).cast("long").alias("w"), F.lit(None).cast("long").alias("l")]
+    facts = facts.unionByName(filed(m.filter(few), *RECT).select(*KEYS, "_bi", "_bj", *nothing, block("")))
+    facts = facts.unionByName(wide.select(*KEYS, "_bi", "_bj", *nothing, block("o_")))
+    facts = facts.groupBy(*KEYS, "_bi", "_bj").agg(F.collect_set("w").alias("_w"), F.collect_set("l").alias("_l"), F.collect_list("m").alias("_m"))
     offs = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(r).alias("dr"), F.lit(c).alias("dc")) for i, (r, c) in enumerate(PROBES)])
-    src = labels.select(*KEYS, F.col("row").alias("k_row"), F.col("col").alias("k_col")).distinct()
-    p = src.select("*", F.explode(offs).alias("o"))
-    p = p.select(*KEYS, "k_row", "k_col", "o.ord", (F.col("k_row") + F.col("o.dr")).alias("row"), (F.col("k_col") + F.col("o.dc")).alias("col"))
-    p = attach_anchor(p, merges).select(*KEYS, "k_row", "k_col", "ord", F.col("a_row").alias("row"), F.col("a_col").alias("col"))
-    p = p.filter((F.col("row") != F.col("k_row")) | (F.col("col") != F.col("k_col")))
-    flag = lambda d, n: d.select(*POS).distinct().withColumn(n, F.lit(True))
-    p = p.join(flag(writable, "w"), POS, "left").join(flag(label_cells, "is_l"), POS, "left")
-    step = F.when(F.col("w"), 1).when(F.col("is_l").isNull(), 2)
-    best = p.withColumn("step", step).filter("step is not null").groupBy(*KEYS, "k_row", "k_col").agg(
-        F.min_by(F.struct("row", "col"), F.struct("step", "ord")).alias("v")
+    held = lambda name, x: F.coalesce(F.array_contains(name, x), F.lit(False))
+
+    def landing(o: Column, row: Column, col: Column, w: Column, is_l: Column) -> Column:
+        own = (row == F.col("row")) & (col == F.col("col"))
+        step = F.when(own, None).when(w, 1).when(~is_l, 2)
+        return F.struct(step.alias("step"), o["ord"].alias("ord"), row.alias("row"), col.alias("col"))
+
+    def merged(o: Column) -> Column:
+        row, col = F.col("row") + o["dr"], F.col("col") + o["dc"]
+        over = F.filter("_near", lambda x: row.between(x["r0"], x["r1"]) & col.between(x["c0"], x["c1"]))
+        there = F.transform(over, lambda x: landing(o, x["r0"], x["c0"], x["bits"].bitwiseAND(1) > 0, x["bits"].bitwiseAND(2) > 0))
+        free = landing(o, row, col, held("_w", packed(row, col)), held("_l", packed(row, col)))
+        return F.when(F.size(there) > 0, there).otherwise(F.array(free))
+
+    # Without a merged block in reach the probes are asked one after the other, and the first that answers ends it.
+    ask = [(F.col("row") + r, F.col("col") + c) for r, c in PROBES]
+    spot = lambda row, col: F.struct(F.lit(0).alias("step"), F.lit(0).alias("ord"), row.alias("row"), col.alias("col"))
+    plain = F.coalesce(
+        *[F.when(F.array_contains("_w", packed(r, c)), spot(r, c)) for r, c in ask],
+        *[F.when(~held("_l", packed(r, c)), spot(r, c)) for r, c in ask],
     )
-    return best.select(*KEYS, F.col("k_row").alias("row"), F.col("k_col").alias("col"), F.col("v.row").alias("v_row"), F.col("v.col").alias("v_col"))
+    best = F.array_min(F.filter(F.flatten(F.transform(offs, merged)), lambda x: x["step"].isNotNull()))
+    reach = F.filter("_m", lambda x: (x["r0"] <= F.col("row") + PROBE_DOWN) & (x["r1"] >= F.col("row")) & (x["c0"] <= F.col("col") + PROBE_RIGHT) & (x["c1"] >= F.col("col")))
+    j = lab.join(facts, [*KEYS, "_bi", "_bj"], "left").withColumn("_near", reach)
+    v = F.when(F.coalesce(F.size("_near"), F.lit(0)) <= 0, plain).otherwise(best)
+    j = j.select(*POS, v.alias("v")).filter("v.row is not null")
+    return j.select(*POS, F.col("v.row").alias("v_row"), F.col("v.col").alias("v_col"))
 
 
 def kind_bonus(kind: Column) -> Column:
