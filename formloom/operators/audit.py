@@ -48,7 +48,7 @@ def current_form_values(pairs: DataFrame, cells: DataFrame, merges: DataFrame) -
 def expand_target(rects: DataFrame, merges: DataFrame, used: DataFrame, pad: dict[str, int] = PAD) -> DataFrame:
     """Adds ``e_r0 .. e_c1``: the rectangle widened to all merged blocks it meets, padded, clipped to the used box."""
     d = rects.select(*KEYS, *RECT).distinct()
-    grown = overlap_join(d, merges.select(*KEYS, *RECT), KEYS).groupBy(*KEYS, *RECT).agg(
+    grown = overlap_join(d, merges.select(*KEYS, *RECT), KEYS, levels=merges).groupBy(*KEYS, *RECT).agg(
         F.min("o_r0").alias("g_r0"), F.min("o_c0").alias("g_c0"), F.max("o_r1").alias("g_r1"), F.max("o_c1").alias("g_c1")
     )
     d = d.join(grown, [*KEYS, *RECT], "left").join(used.select(*KEYS, *[F.col(c).alias("x_" + c) for c in RECT]), KEYS)
@@ -123,7 +123,7 @@ def audit_candidates(cells: DataFrame, merges: DataFrame, pairs: DataFrame, edit
 
 def programmatic_flags(candidates: DataFrame, duplicate_regions: DataFrame, bad_ranges: DataFrame) -> DataFrame:
     """Candidates with sorted ``flags``: edited label, overlap with a duplicate region, overlap with a reported bad range."""
-    c = flag_overlap(candidates, duplicate_regions, KEYS, "_dup")
+    c = flag_overlap(candidates, cut_lineage(duplicate_regions), KEYS, "_dup")
     c = flag_overlap(c, bad_ranges, KEYS, "_bad")
     flags = F.array(
         F.when(F.col("_dup"), "duplicate_pattern"), F.when(F.col("edited_label_cell"), "label_area"), F.when(F.col("_bad"), "screenshot_bad_range_hit")
@@ -144,7 +144,7 @@ def propagate_forward(items: DataFrame) -> DataFrame:
     waiting, hits = soft, None
     while True:
         wanted = waiting.groupBy(*KEYS, *RECT).agg(F.max("at").alias("last"))
-        met = overlap_join(wanted, front, KEYS).filter(F.col("first") < F.col("last"))
+        met = overlap_join(wanted, front, KEYS, levels=soft).filter(F.col("first") < F.col("last"))
         met = met.groupBy(*KEYS, *RECT).agg(F.min("first").alias("first"))
         step = cut_lineage(waiting.join(met, [*KEYS, *RECT], "left").withColumn("hit", F.coalesce(F.col("at") > F.col("first"), F.lit(False))).drop("first"))
         hits = step.filter("hit").select(*POS) if hits is None else hits.unionByName(step.filter("hit").select(*POS))
@@ -231,7 +231,7 @@ def merge_touching_regions(rects: DataFrame, keys: list[str] = KEYS) -> DataFram
     settled = None
     while True:
         others = active if settled is None else active.unionByName(settled)
-        near = overlap_join(active, others, keys, grow=1).groupBy(*keys, *RECT).agg(
+        near = overlap_join(active, others, keys, grow=1, levels=others).groupBy(*keys, *RECT).agg(
             F.min("o_r0").alias("n_r0"), F.min("o_c0").alias("n_c0"), F.max("o_r1").alias("n_r1"), F.max("o_c1").alias("n_c1")
         )
         same = F.lit(True)
@@ -244,7 +244,7 @@ def merge_touching_regions(rects: DataFrame, keys: list[str] = KEYS) -> DataFram
         grown = cut_lineage(_fold_corners(near.filter("_moved").drop("_moved").distinct(), keys))
         rest = still if settled is None else still.unionByName(settled)
         inside = (F.col("r0") >= F.col("o_r0")) & (F.col("c0") >= F.col("o_c0")) & (F.col("r1") <= F.col("o_r1")) & (F.col("c1") <= F.col("o_c1"))
-        eaten = overlap_join(rest.distinct(), grown, keys).filter(inside).select(*keys, *RECT).distinct()
+        eaten = overlap_join(rest.distinct(), grown, keys, levels=grown).filter(inside).select(*keys, *RECT).distinct()
         settled, old = cut_lineage(rest.distinct().join(eaten, [*keys, *RECT], "left_anti")), (active, settled, near)
         active = grown
         for table in old:
@@ -257,7 +257,7 @@ def patch_jobs(targets: DataFrame, merges: DataFrame, used: DataFrame, pad: dict
     t = cut_lineage(expand_target(targets, merges, used, pad))
     areas = _as_expanded(t).distinct()
     merged = merge_touching_regions(areas)
-    at = overlap_join(areas, merged, KEYS).select(*KEYS, *[F.col(c).alias("e_" + c) for c in RECT], *[F.col("o_" + c).alias("g_" + c) for c in RECT])
+    at = overlap_join(areas, merged, KEYS, levels=merged).select(*KEYS, *[F.col(c).alias("e_" + c) for c in RECT], *[F.col("o_" + c).alias("g_" + c) for c in RECT])
     j = t.join(at, [*KEYS, *["e_" + c for c in RECT]])
     region = [F.col("g_" + c) for c in RECT]
     j = j.groupBy(*KEYS, *["g_" + c for c in RECT], "kind", "key", *RECT).agg(F.min_by(F.struct("flags", "src"), "src").alias("x"))

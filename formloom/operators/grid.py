@@ -63,13 +63,12 @@ def attach_anchor(points: DataFrame, merges: DataFrame) -> DataFrame:
     """Adds ``a_row, a_col, m_r1, m_c1, is_merged``: where a write to the cell really lands.
 
     Blocks are not unfolded to cells: low ones are filed by their rows, tall ones by bands of rows, so that a block over a
-    whole sheet costs some thousand rows; a row holds few blocks.
+    whole sheet costs some thousand rows; a row holds few blocks. Most tables of blocks hold no tall one; a look at them first
+    saves the points a second journey. Points leave dealt by sheet and row where they came as plain columns.
     """
     m = merges.select(*[F.col(k).alias("_m_" + k) for k in KEYS], *[F.col(c).alias("_m_" + c) for c in RECT])
     tall = F.col("_m_r1") - F.col("_m_r0") >= BAND
     low = m.filter(~tall).withColumn("_m_row", F.explode(F.sequence("_m_r0", "_m_r1")))
-    high = m.filter(tall).withColumn("_m_row", F.explode(F.sequence(F.floor(F.col("_m_r0") / BAND), F.floor(F.col("_m_r1") / BAND))))
-    high = high.select(*[F.col(c).alias(c.replace("_m_", "_h_")) for c in high.columns])
 
     def on(pre: str, row: Column) -> Column:
         cond = F.col(f"_{pre}_row") == row
@@ -77,14 +76,18 @@ def attach_anchor(points: DataFrame, merges: DataFrame) -> DataFrame:
             cond = cond & (F.col(k) == F.col(f"_{pre}_{k}"))
         return cond & F.col("row").between(F.col(f"_{pre}_r0"), F.col(f"_{pre}_r1")) & F.col("col").between(F.col(f"_{pre}_c0"), F.col(f"_{pre}_c1"))
 
-    j = points.join(low, on("m", F.col("row")), "left").join(high, on("h", F.floor(F.col("row") / BAND)), "left")
+    j = points.join(low, on("m", F.col("row")), "left")
+    found = [["_m_" + c] for c in RECT]
+    if not m.filter(tall).isEmpty():
+        high = m.filter(tall).withColumn("_m_row", F.explode(F.sequence(F.floor(F.col("_m_r0") / BAND), F.floor(F.col("_m_r1") / BAND))))
+        high = high.select(*[F.col(c).alias(c.replace("_m_", "_h_")) for c in high.columns])
+        j = j.join(high, on("h", F.floor(F.col("row") / BAND)), "left")
+        found = [["_m_" + c, "_h_" + c] for c in RECT]
+    own = ("row", "col", "row", "col")
     return j.select(
         *points.columns,
-        F.coalesce("_m_r0", "_h_r0", "row").alias("a_row"),
-        F.coalesce("_m_c0", "_h_c0", "col").alias("a_col"),
-        F.coalesce("_m_r1", "_h_r1", "row").alias("m_r1"),
-        F.coalesce("_m_c1", "_h_c1", "col").alias("m_c1"),
-        (F.col("_m_r0").isNotNull() | F.col("_h_r0").isNotNull()).alias("is_merged"),
+        *[F.coalesce(*held, at).alias(name) for held, at, name in zip(found, own, ("a_row", "a_col", "m_r1", "m_c1"))],
+        F.coalesce(*found[0]).isNotNull().alias("is_merged"),
     )
 
 
@@ -167,9 +170,17 @@ def typed_candidates(cells: DataFrame, merges: DataFrame) -> DataFrame:
     return drawn.join(anchors, POS, "full").select(*POS, F.coalesce("drawn", F.lit("merged_anchor")).alias("kind"))
 
 
-def static_template_cells(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """Non-empty cells that are no input candidate."""
-    return cells.filter(has_content()).select(*POS, "value").join(input_candidates(cells, merges), POS, "left_anti")
+def static_template_cells(cells: DataFrame, merges: DataFrame, extra: list[str] = ()) -> DataFrame:
+    """Non-empty cells that are no input candidate, with the columns ``extra`` names.
+
+    A line inside a merged block makes its anchor the candidate, which it is anyway. So a cell is one where a block begins, or
+    where it has a line of its own and no block covers it; only such cells are asked for blocks.
+    """
+    lined, shown = F.col("border_bottom").isNotNull(), [*POS, "value", *extra]
+    c = cells.filter(has_content())
+    at = attach_anchor(c.filter(lined).select(*shown), merges).filter("is_merged").select(*shown).distinct()
+    anchors = merges.select(*KEYS, F.col("r0").alias("row"), F.col("c0").alias("col"))
+    return c.filter(~lined).select(*shown).unionByName(at).join(anchors, POS, "left_anti")
 
 
 def static_labels(cells: DataFrame, merges: DataFrame) -> DataFrame:
@@ -209,7 +220,7 @@ def nonempty_cells(cells: DataFrame, box: DataFrame | None = None) -> DataFrame:
 
 def template_region_summary(regions: DataFrame, template: DataFrame, n: int | None = None) -> DataFrame:
     """Non-empty template cells of each region; for a prompt the first ``n`` in row-major order. regions: keys, region_id, rect."""
-    hit = overlap_join(as_rects(nonempty_cells(template)), regions.select(*KEYS, "region_id", *RECT), KEYS)
+    hit = overlap_join(as_rects(nonempty_cells(template)), regions.select(*KEYS, "region_id", *RECT), KEYS, points=True, levels=regions)
     hit = hit.select(*KEYS, "region_id", "row", "col", "text")
     return top_rows(hit, [*KEYS, "region_id"], ["row", "col"], n)
 
@@ -383,7 +394,7 @@ def snap_to_interesting(points: DataFrame, interesting: DataFrame, radius: int =
     hit = near.join(cells, [*KEYS, "_br", "_bc"]).filter(close)
     hit = hit.select(*POS, visit(F.col("s_row") - F.col("row"), F.col("s_col") - F.col("col")).alias("ord"), "s_row", "s_col")
     if merges is not None:
-        meets = overlap_join(as_rects(own), merges.select(*KEYS, *RECT), KEYS, grow=radius)
+        meets = overlap_join(as_rects(own), merges.select(*KEYS, *RECT), KEYS, grow=radius, points=True, levels=merges)
         clip = lambda c, lo, hi: F.explode(F.sequence(F.greatest(F.col(lo), F.col(c) - radius), F.least(F.col(hi), F.col(c) + radius)))
         inside = meets.withColumn("s_row", clip("row", "o_r0", "o_r1")).withColumn("s_col", clip("col", "o_c0", "o_c1"))
         hit = hit.unionByName(inside.select(*POS, visit(F.col("s_row") - F.col("row"), F.col("s_col") - F.col("col")).alias("ord"), "s_row", "s_col"))
@@ -447,7 +458,7 @@ def dropdown_constraints(
     src = direct.unionByName(named.select("dv_id", "wb_id", "ref_sheet", "ref"))
     src = src.select("dv_id", "wb_id", F.col("ref_sheet").alias("sheet"), rg.rect_columns(rg.parse_a1(F.col("ref"))))
     text = as_rects(nonempty_cells(cells))
-    hits = overlap_join(text, src, KEYS).select("dv_id", "row", "col", "text")
+    hits = overlap_join(text, src, KEYS, points=True, levels=src).select("dv_id", "row", "col", "text")
     hits = top_rows(hits, ["dv_id"], ["row", "col"], read)
     looked = hits.groupBy("dv_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "text"))), lambda s: s["text"]).alias("options")
@@ -460,6 +471,6 @@ def dropdown_constraints(
 def dropdown_for_focus(constraints: DataFrame, focus: DataFrame, n: int | None = None) -> DataFrame:
     """Constraints whose target meets the sheet's focus range. focus: keys, region_id, rect."""
     c = constraints.select(*KEYS, "target_range", "options", rg.rect_columns(rg.parse_a1(F.col("target_range"))))
-    hit = overlap_join(c, focus.select(*KEYS, "region_id", *RECT), KEYS)
+    hit = overlap_join(c, focus.select(*KEYS, "region_id", *RECT), KEYS, levels=focus)
     hit = hit.select(*KEYS, "region_id", "target_range", "options", "r0", "c0")
     return top_rows(hit, [*KEYS, "region_id"], ["r0", "c0", "target_range"], n).drop("r0", "c0")

@@ -60,7 +60,7 @@ def guess_value_cell(labels: DataFrame, merges: DataFrame, writable: DataFrame,
     few = (F.col("r1") - F.col("r0") < 256) & (F.col("c1") - F.col("c0") < 256)
     home = [F.shiftleft("_bi", k).alias("r0"), F.shiftleft("_bj", k).alias("c0")]
     home += [(F.shiftleft("_bi", k) + (1 << k) - 1 + PROBE_DOWN).alias("r1"), (F.shiftleft("_bj", k) + (1 << k) - 1 + PROBE_RIGHT).alias("c1")]
-    wide = overlap_join(lab.select(*KEYS, "_bi", "_bj").distinct().select(*KEYS, "_bi", "_bj", *home), m.filter(~few), KEYS)
+    wide = overlap_join(lab.select(*KEYS, "_bi", "_bj").distinct().select(*KEYS, "_bi", "_bj", *home), m.filter(~few), KEYS, levels=merges)
     block = lambda pre: F.struct(*[F.col(pre + c).alias(c) for c in RECT], "bits").alias("m")
     none = F.lit(None).cast("struct<r0:int,c0:int,r1:int,c1:int,bits:int>").alias("m")
     spot = packed(F.col("row"), F.col("col"))
@@ -266,7 +266,7 @@ def match_edit_key(edits: DataFrame, pairs: DataFrame) -> DataFrame:
     e = edits.withColumn("_x", rg.coord(F.col("target_cell"))).withColumn("row", F.col("_x.row")).withColumn("col", F.col("_x.col")).drop("_x")
     spots = as_rects(e.filter(F.coalesce("key", F.lit("")) == "").filter("row is not null").select(*POS).distinct())
     rects = pairs.select(*KEYS, "pair_idx", F.col("key").alias("p_key"), F.inline(rg.parse_list(F.col("value_cell"))))
-    found = overlap_join(spots, rects, KEYS).groupBy(*POS).agg(F.min_by("p_key", "pair_idx").alias("p_key"))
+    found = overlap_join(spots, rects, KEYS, points=True, levels=rects).groupBy(*POS).agg(F.min_by("p_key", "pair_idx").alias("p_key"))
     out = e.join(found, POS, "left")
     return out.withColumn("key", F.coalesce(F.nullif("key", F.lit("")), "p_key", F.lit(""))).drop("p_key", "row", "col")
 
@@ -414,7 +414,7 @@ def background_context(
         items = items.join(f, KEYS, "left").filter(
             F.col("g").isNull() | rg.intersects(tuple(F.col(c) for c in RECT), F.col("g"))
         ).drop("g")
-    inside = overlap_join(as_rects(nonempty_cells(cells)), items.select(*KEYS, "target_idx", *RECT), KEYS)
+    inside = overlap_join(as_rects(nonempty_cells(cells)), items.select(*KEYS, "target_idx", *RECT), KEYS, points=True)
     text = F.col("text") if width is None else F.substring("text", 1, width)
     inside = inside.select(*KEYS, "target_idx", "row", "col", text.alias("text"))
     return items, top_rows(inside, [*KEYS, "target_idx"], ["row", "col"], n_cells)

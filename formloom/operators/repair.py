@@ -107,7 +107,7 @@ def hint_context_summary(
 
 
 def _in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
-    return overlap_join(g.as_rects(points), regions.select(*REGION, *RECT), KEYS).drop(*RECT)
+    return overlap_join(g.as_rects(points), regions.select(*REGION, *RECT), KEYS, points=True, levels=regions).drop(*RECT)
 
 
 def template_damage(
@@ -115,13 +115,13 @@ def template_damage(
 ) -> DataFrame:
     """Static template cells of a region whose value, style or merge state changed, one row each with the reasons.
 
-    Static cells are never merged in the template, so each stands for itself there.
+    Static cells are never merged in the template, so each stands for itself there. Changes are found on the cells; only
+    changed cells meet the regions.
     """
-    static = g.static_template_cells(template, template_merges)
-    static = static.join(template.select(*POS, "value_type", "style_key"), POS)
+    static = g.static_template_cells(template, template_merges, ["value_type", "style_key"])
     if preserve is not None:
         static = static.join(preserve.select(*POS), POS, "left_anti")
-    s = g.attach_anchor(_in_regions(static, regions), filled_merges)
+    s = g.attach_anchor(static, filled_merges)
     now = filled.select(*KEYS, F.col("row").alias("a_row"), F.col("col").alias("a_col"), F.col("value").alias("now_value"),
                         F.col("value_type").alias("now_type"), F.col("style_key").alias("now_style"))
     s = s.join(now, [*KEYS, "a_row", "a_col"], "left")
@@ -130,7 +130,8 @@ def template_damage(
         F.when(~F.col("style_key").eqNullSafe(F.col("now_style")), "template_static_style_changed"),
         F.when(~(F.col("value").eqNullSafe(F.col("now_value")) & F.col("value_type").eqNullSafe(F.col("now_type"))), "template_static_value_changed"),
     ))
-    return s.withColumn("reasons", reasons).filter(F.size("reasons") > 0).select(
+    changed = s.withColumn("reasons", reasons).filter(F.size("reasons") > 0)
+    return _in_regions(changed, regions).select(
         *REGION, "row", "col", "a_row", "a_col", F.col("value").alias("template_value"), F.col("now_value").alias("current_value"), "reasons"
     )
 
@@ -154,7 +155,7 @@ def restore_region(
     spots = template.select(*POS).unionByName(filled.select(*POS)).distinct()
     spots = g.attach_anchor(spots, filled_merges).filter("NOT is_merged").select(*KEYS, F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("row").alias("r1"), F.col("col").alias("c1"))
     blocks = spots.unionByName(filled_merges.select(*KEYS, *RECT))
-    d = overlap_join(blocks, regions.select(*REGION, *RECT), KEYS)
+    d = overlap_join(blocks, regions.select(*REGION, *RECT), KEYS, levels=regions)
     d = d.select(*REGION, F.col("r0").alias("d_row"), F.col("c0").alias("d_col"), F.greatest("r0", "o_r0").alias("row"), F.greatest("c0", "o_c0").alias("col"))
     if preserve is not None:
         d = d.join(preserve.select(*KEYS, F.col("row").alias("d_row"), F.col("col").alias("d_col")), [*KEYS, "d_row", "d_col"], "left_anti")
@@ -260,7 +261,7 @@ def guarded_write_candidates(sources: DataFrame, avoid: DataFrame) -> DataFrame:
 def mandatory_review_items(regions: DataFrame, ranges: DataFrame, before: DataFrame, template: DataFrame, merges: DataFrame) -> DataFrame:
     """Reported and target ranges that meet a region, with the value before the repair and in the template. ranges: keys, range."""
     r = ranges.select(*KEYS, F.inline(F.array_compact(F.array(rg.parse_a1(F.col("range")))))).distinct()
-    hit = overlap_join(r, regions.select(*REGION, *RECT), KEYS).select(*REGION, *RECT).distinct()
+    hit = overlap_join(r, regions.select(*REGION, *RECT), KEYS, levels=regions).select(*REGION, *RECT).distinct()
     hit = hit.withColumn("value_cell", rg.a1_range(*[F.col(c) for c in RECT])).drop(*RECT)
     p = g.read_anchor_value(hit, before, merges).select(*REGION, "value_cell", F.col("current_value").alias("previous_value"))
     return g.read_anchor_value(p, template, merges).select(*REGION, F.col("value_cell").alias("range"), "previous_value", F.col("current_value").alias("template_value"))
@@ -277,7 +278,7 @@ def latest_feedback(stages: DataFrame, regions: DataFrame) -> DataFrame:
     part = lambda c, kind: last.select(*KEYS, F.lit(kind).alias("range_kind"), F.explode(c).alias("a1"))
     r = part("bad_ranges", "bad").unionByName(part("correct_ranges", "correct"))
     r = r.select(*KEYS, "range_kind", rg.rect_columns(rg.parse_a1(F.col("a1")))).distinct()
-    hit = overlap_join(r, regions.select(*REGION, *RECT), KEYS).select(*REGION, "range_kind", rg.a1_range(*[F.col(c) for c in RECT]).alias("range"))
+    hit = overlap_join(r, regions.select(*REGION, *RECT), KEYS, levels=regions).select(*REGION, "range_kind", rg.a1_range(*[F.col(c) for c in RECT]).alias("range"))
     has_bad = hit.filter("range_kind = 'bad'").select(*REGION).distinct().withColumn("_bad", F.lit(True))
     head = regions.select(*REGION).join(last.select(*KEYS, "stage_name", "round_idx", "need_fix", tx.strip(F.coalesce("reason", F.lit(""))).alias("reason")), KEYS)
     head = head.join(has_bad, REGION, "left").filter(F.col("_bad") | (F.col("reason") != "")).drop("_bad")
@@ -400,7 +401,7 @@ def _soft_hits(hints: DataFrame, targets: DataFrame) -> DataFrame:
     by_key = h.select(*REGION, "hint_id", F.col("norm").alias("a")).join(pairs, [*REGION, "a"]).join(t.select(*REGION, "target_ord", F.col("norm").alias("b")), [*REGION, "b"])
     by_key = by_key.select(*REGION, "hint_id", "target_ord")
     cells = hints.select(*REGION, "hint_id", F.inline(rg.parse_list(F.col("value_cell"))))
-    by_range = overlap_join(cells, targets.select(*REGION, "target_ord", *RECT), REGION).select(*REGION, "hint_id", "target_ord")
+    by_range = overlap_join(cells, targets.select(*REGION, "target_ord", *RECT), REGION, levels=targets).select(*REGION, "hint_id", "target_ord")
     return by_key.unionByName(by_range).distinct()
 
 
@@ -437,6 +438,6 @@ def round_delta(edits: DataFrame, regions: DataFrame, round_idx: int) -> DataFra
     """Real edits of a round per region; a region without any is to be put back."""
     e = edits.filter(F.col("is_actual_edit") & (F.col("round_idx") == round_idx))
     e = e.select(*KEYS, "seq", rg.rect_columns(rg.parse_a1(F.col("target_cell"))))
-    n = overlap_join(e, regions.select(*REGION, *RECT), KEYS).groupBy(*REGION).agg(F.count("*").alias("n_edits"))
+    n = overlap_join(e, regions.select(*REGION, *RECT), KEYS, levels=regions).groupBy(*REGION).agg(F.count("*").alias("n_edits"))
     out = regions.select(*REGION).join(n, REGION, "left").na.fill({"n_edits": 0})
     return out.withColumn("reverted", F.col("n_edits") == 0)

@@ -3,6 +3,7 @@
 Each rectangle is filed under the tiles it covers at the level that fits its size, and under the coarser tiles above.
 Two rectangles meet in a tile of the coarser one's level, so the join is an equi-join on (keys, level, tile) and a hot
 sheet spreads over its tiles. A pair is reported only in the tile that holds the corner of the intersection, hence once.
+Where the right side is cheap to read, an aggregate first finds its coarsest level, and no coarser tiles are filed.
 """
 
 from __future__ import annotations
@@ -44,27 +45,41 @@ def _unfold(df: DataFrame, spans: Column, keep: Column, name: str) -> DataFrame:
     return d.withColumn(name, tile).drop("_s", "_i", "_j", "_own")
 
 
-def _filed_left(df: DataFrame, grow: int) -> DataFrame:
-    """Own tiles carry tag 0, coarser ones tag 1."""
+def _filed_left(df: DataFrame, grow: int, points: bool, levels: DataFrame | None) -> DataFrame:
+    """Own tiles carry tag 0, coarser ones tag 1; those only up to the coarsest level of ``levels``, where it is given."""
     rect = (F.col("r0") - grow, F.col("c0") - grow, F.col("r1") + grow, F.col("c1") + grow)
-    d = df.withColumn("_own", _own_level(*rect))
+    d = df.withColumn("_own", F.lit(0) if points else _own_level(*rect))
     spans = [s.withField("tag", F.when(F.col("_own") == lv, 0).otherwise(1)) for lv, s in enumerate(_spans(rect, 0))]
-    return _unfold(d, F.array(*spans), F.col("_s.lv") >= F.col("_own"), "_t")
+    keep = F.col("_s.lv") >= F.col("_own")
+    if levels is not None:
+        coarsest = levels.agg(F.max(_own_level(*[F.col(c) for c in RECT]))).scalar()
+        keep = keep & ((F.col("_s.lv") == F.col("_own")) | (F.col("_s.lv") <= coarsest))
+    return _unfold(d, F.array(*spans), keep, "_t")
+
 
+def _filed_right(df: DataFrame, points: bool) -> DataFrame:
+    """Own and coarser tiles meet tag 0, own tiles alone meet tag 1, which no rectangle of the finest level carries.
 
-def _filed_right(df: DataFrame) -> DataFrame:
-    """Own and coarser tiles meet tag 0, own tiles alone meet tag 1."""
+    Points are all of the finest level, so only that level's tiles can meet their tag 0.
+    """
     rect = tuple(F.col("o_" + c) for c in RECT)
     d = df.withColumn("_own", _own_level(*rect))
-    keep = (F.col("_s.lv") == F.col("_own")) | ((F.col("_s.lv") > F.col("_own")) & (F.col("_s.tag") == 0))
+    lv, tag = F.col("_s.lv"), F.col("_s.tag")
+    own = (lv == F.col("_own")) & ((tag == 0) | (lv > 0))
+    keep = own & ((tag == 1) | (lv == 0)) if points else own | ((lv > F.col("_own")) & (tag == 0))
     return _unfold(d, F.array(*_spans(rect, 0), *_spans(rect, 1)), keep, "_u")
 
 
-def _sides(left: DataFrame, right: DataFrame, keys: list[str], grow: int):
+def _sides(left: DataFrame, right: DataFrame, keys: list[str], grow: int, points: bool = False, levels: DataFrame | None = None):
+    """Both sides filed under tiles, and the conditions of the join. ``points``: the left side holds single cells.
+
+    ``levels`` is a frame, cheap to read, with rectangles as large as the right side's or larger; often the right side itself.
+    """
+    assert not points or grow < 1 << LEVELS[1][1] - 1, grow
     renamed = right.select(*[F.col(c).alias("o_" + c if c in RECT else c) for c in right.columns])
-    a = _filed_left(left, grow).alias("a")
+    a = _filed_left(left, grow, points, levels).alias("a")
     # Tiles multiply the rows, which Spark's estimate of a file's size does not see: never broadcast them.
-    b = _filed_right(renamed.select(*[F.col(c).alias("_k_" + c if c in keys else c) for c in renamed.columns])).hint("merge").alias("b")
+    b = _filed_right(renamed.select(*[F.col(c).alias("_k_" + c if c in keys else c) for c in renamed.columns]), points).hint("merge").alias("b")
     cond = [F.col("a." + k) == F.col("b._k_" + k) for k in keys]
     cond += [F.col("a._t." + x) == F.col("b._u." + x) for x in ("lv", "ti", "tj", "tag")]
     meets = (
@@ -76,9 +91,11 @@ def _sides(left: DataFrame, right: DataFrame, keys: list[str], grow: int):
     return a, b, cond, meets
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], grow: int = 0) -> DataFrame:
+def overlap_join(
+    left: DataFrame, right: DataFrame, keys: list[str], grow: int = 0, points: bool = False, levels: DataFrame | None = None
+) -> DataFrame:
     """Every overlapping pair once. The right rectangle comes out as ``o_r0 .. o_c1``; other columns must not collide."""
-    a, b, cond, meets = _sides(left, right, keys, grow)
+    a, b, cond, meets = _sides(left, right, keys, grow, points, levels)
     corner_r = F.greatest(F.col("r0") - grow, F.col("o_r0"))
     corner_c = F.greatest(F.col("c0") - grow, F.col("o_c0"))
     here = F.lit(False)
@@ -92,9 +109,12 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], grow: int =
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], grow: int = 0) -> DataFrame:
-    """Distinct left rectangles (keys and corners) that meet any right one. Copies are folded before the join."""
+    """Distinct left rectangles (keys and corners) that meet any right one. Copies are folded before the join.
+
+    The right side is read twice, so it should be a table or little more than one.
+    """
     a, b, cond, meets = _sides(
-        left.select(*keys, *RECT).distinct(), right.select(*keys, *RECT).distinct(), keys, grow
+        left.select(*keys, *RECT).distinct(), right.select(*keys, *RECT).distinct(), keys, grow, levels=right
     )
     on = meets
     for c in cond:

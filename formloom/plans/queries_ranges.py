@@ -48,7 +48,7 @@ def _(t):
     f"SELECT a.wb_id, a.probe_id, b.rect_id FROM <<probes>> a JOIN <<rects>> b ON a.wb_id = b.wb_id AND {q_hit('a', 'b')}",
 )
 def _(t):
-    return sp.overlap_join(t.probes, t.rects, KEYS).select("wb_id", "probe_id", "rect_id")
+    return sp.overlap_join(t.probes, t.rects, KEYS, levels=t.rects).select("wb_id", "probe_id", "rect_id")
 
 
 @query(
@@ -56,7 +56,7 @@ def _(t):
     f"SELECT a.wb_id, a.probe_id, count(*) AS n FROM <<probes>> a JOIN <<rects>> b ON a.wb_id = b.wb_id AND {q_hit('a', 'b', 1)} GROUP BY 1, 2",
 )
 def _(t):
-    return sp.overlap_join(t.probes, t.rects, KEYS, grow=1).groupBy("wb_id", "probe_id").agg(F.count("*").alias("n"))
+    return sp.overlap_join(t.probes, t.rects, KEYS, grow=1, levels=t.rects).groupBy("wb_id", "probe_id").agg(F.count("*").alias("n"))
 
 
 @query("b6_union_ranges", "SELECT wb_id, min(r0) AS r0, min(c0) AS c0, max(r1) AS r1, max(c1) AS c1 FROM <<rects>> GROUP BY 1")
