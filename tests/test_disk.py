@@ -78,3 +78,26 @@ def test_damage_is_found_before_cells_meet_regions(spark):
         key = lambda rows: sorted(rows, key=repr)
         assert key(got) == key(want)
         assert g.static_template_cells(frames[0], frames[1]).columns == [*g.POS, "value"]
+
+
+def test_restored_cells_are_looked_up_once(spark):
+    for seed in range(3):
+        (t, m, f, n), (tf, mf, ff, nf) = sheets(spark, seed)
+        old, now = ({(c[2], c[3]): (c[4], c[5], c[7]) for c in x} for x in (t, f))
+        stays = [(y, x) for y, x in now if (y + x) % 5 == 0] + [(2, 3)]
+        keep = spark.createDataFrame([("w", "S", y, x) for y, x in stays], "wb_id string, sheet string, row int, col int")
+        spots = [(y, x, y, x) for y, x in {*old, *now} if not cover(n, y, x)] + n
+        want, empty = [], (None, None, None)
+        for i, *b in BOXES:
+            for s in spots:
+                if s[:2] in stays or not (s[0] <= b[2] and b[0] <= s[2] and s[1] <= b[3] and b[1] <= s[3]):
+                    continue
+                y, x = max(s[0], b[0]), max(s[1], b[1])
+                block = cover(m, y, x)
+                have, new = now.get(tuple(s[:2]), empty), old.get(tuple(block[:2]) if block else (y, x), empty)
+                want.append((i, s[0], s[1], *new, have[:2] != new[:2] or (have[2] or "0") != (new[2] or "0")))
+        d = rp.restore_region(region_frame(spark), tf, mf, ff, nf, preserve=keep)
+        got = [(r.region_id, r.row, r.col, r.value, r.value_type, r.style_key, r.changed) for r in d.collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+        text = d._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("Join LeftAnti") == 1  # only blocks are compared with preserved cells; single cells are folded by position
