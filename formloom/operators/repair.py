@@ -334,19 +334,21 @@ def write_guard(
     single = (F.col("r0") == F.col("r1")) & (F.col("c0") == F.col("c1"))
     bad = r.filter(~F.coalesce(single, F.lit(False)))
     p = r.filter(single).withColumn("row", F.col("r0")).withColumn("col", F.col("c0")).drop(*RECT)
+    # By sheet first, then by anchor: what is looked up at a position follows in one run, so that requests travel there once.
+    if focus is not None:
+        p = p.join(focus.select(*KEYS, *[F.col(c).alias("f_" + c) for c in RECT]), KEYS, "left")
+    if approved is not None:
+        p = p.join(approved.select(*KEYS).distinct().withColumn("_lim", F.lit(True)), KEYS, "left")
     p = g.attach_anchor(p, merges).drop("row", "col", "m_r1", "m_c1", "is_merged").withColumnsRenamed({"a_row": "row", "a_col": "col"})
     now = cells.select(*POS, F.col("value").alias("now_value"), F.col("border_bottom").isNotNull().alias("lined"))
     p = p.join(now, POS, "left")
     flag = lambda d, name: d.select(*POS).distinct().withColumn(name, F.lit(True))
     stop = F.lit(None).cast("string")
     if focus is not None:
-        f = focus.select(*KEYS, *[F.col(c).alias("f_" + c) for c in RECT])
-        p = p.join(f, KEYS, "left")
         inside = F.col("row").between(F.col("f_r0"), F.col("f_r1")) & F.col("col").between(F.col("f_c0"), F.col("f_c1"))
         stop = F.when(F.col("f_r0").isNotNull() & ~inside, OUTSIDE).otherwise(stop)
     if approved is not None:
-        limited = approved.select(*KEYS).distinct().withColumn("_lim", F.lit(True))
-        p = p.join(flag(approved, "_app"), POS, "left").join(limited, KEYS, "left")
+        p = p.join(flag(approved, "_app"), POS, "left")
         stop = F.when(F.col("_lim") & F.col("_app").isNull(), UNAPPROVED).otherwise(stop)
     if protected is not None:
         p = p.join(flag(protected, "_prot"), POS, "left")
@@ -356,7 +358,7 @@ def write_guard(
         stop = F.when(F.col("_lab"), LABEL).otherwise(stop)
     if bottom_border:
         stop = F.when(~F.coalesce("lined", F.lit(False)), NO_LINE).otherwise(stop)
-    p = p.withColumn("stop", stop)
+    p = cut_lineage(p.withColumn("stop", stop))
     taken = chunked_lag(p.filter("stop is null"), POS, "seq", "value", "_old")
     taken = taken.withColumn("old_value", F.when(F.col("_old").isNull(), F.col("now_value")).otherwise(F.col("_old.v")))
     refused = p.filter("stop is not null").withColumn("old_value", F.col("now_value"))

@@ -101,3 +101,24 @@ def test_restored_cells_are_looked_up_once(spark):
         assert sorted(got, key=repr) == sorted(want, key=repr)
         text = d._jdf.queryExecution().optimizedPlan().toString()
         assert text.count("Join LeftAnti") == 1  # only blocks are compared with preserved cells; single cells are folded by position
+
+
+def test_requests_travel_to_their_anchor_once(spark, monkeypatch):
+    req = spark.createDataFrame([("w", "S", i, "AB"[i % 2] + str(1 + i % 4), "v") for i in range(12)], "wb_id string, sheet string, seq long, cell string, value string")
+    cells = spark.createDataFrame([("w", "S", r, c, "v" if c == 1 else None, "s", "thin" if r < 4 else None, "0") for r in range(1, 5) for c in (1, 2)], CELL)
+    merges = spark.createDataFrame([("w", "S", 2, 1, 2, 2)], RECT)
+    lab, prot = cells.filter("row = 1"), cells.filter("row = 3 AND col = 2")
+    focus = spark.createDataFrame([("w", "S", 1, 1, 3, 1)], RECT)
+    seen, cut = [], rp.cut_lineage
+    monkeypatch.setattr(rp, "cut_lineage", lambda d: [seen.append(d._jdf.queryExecution().executedPlan().toString()), cut(d)][1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r.seq: (r.target_cell, r.status) for r in rp.write_guard(req, cells, merges, lab, prot, None, focus, True).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    kind = {0: ("A1", rp.LABEL), 1: ("A2", rp.NOOP), 2: ("A3", rp.NOOP), 3: ("B4", rp.NO_LINE)}
+    assert got == {i: kind[i % 4] for i in range(12)}
+    # Requests go by sheet, by row and by anchor; one journey each for the focus, the blocks, and the three tables of positions.
+    assert len(seen) == 1 and seen[0].count("Exchange hashpartitioning") == 8
