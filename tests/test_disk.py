@@ -122,3 +122,17 @@ def test_requests_travel_to_their_anchor_once(spark, monkeypatch):
     assert got == {i: kind[i % 4] for i in range(12)}
     # Requests go by sheet, by row and by anchor; one journey each for the focus, the blocks, and the three tables of positions.
     assert len(seen) == 1 and seen[0].count("Exchange hashpartitioning") == 8
+
+
+def test_hits_of_hints_are_found_once(spark, monkeypatch):
+    pairs = [("w", "S", 1, 1, "Order Qty", "b2", False), ("w", "S", 1, 2, "zz", "c3", True), ("w", "S", 1, 3, "nothing", "d9", False), ("w", "S", 1, 4, "7", "b5", False)]
+    p = spark.createDataFrame(pairs, "wb_id string, sheet string, region_id int, hint_id int, key string, value_cell string, is_invalid boolean")
+    targets = [("w", "S", 1, 1, "order qty", 9, 9, 9, 9, ["label_area", "other"]), ("w", "S", 1, 2, "", 3, 3, 5, 3, ["high_risk_pattern"])]
+    t = spark.createDataFrame(targets, "wb_id string, sheet string, region_id int, target_ord int, key string, r0 int, c0 int, r1 int, c1 int, flags array<string>")
+    cells = spark.createDataFrame([("w", "S", 2, 2, "5", "n", None, "0")], CELL)
+    calls, find = [], rp._soft_hits
+    monkeypatch.setattr(rp, "_soft_hits", lambda *a: [calls.append(1), find(*a)][1])
+    none = spark.createDataFrame([], RECT)
+    got = {r.hint_id: (r.risk_flags, r.rank, r.hint_source) for r in rp.rank_region_hints(p, t, cells, none).collect()}
+    assert got == {2: (["high_risk_pattern"], 1, "reflect_invalid_slot"), 1: (["label_area", "other"], 2, "reflect_slot_kv")}
+    assert len(calls) == 1
