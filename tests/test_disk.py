@@ -136,3 +136,25 @@ def test_hits_of_hints_are_found_once(spark, monkeypatch):
     got = {r.hint_id: (r.risk_flags, r.rank, r.hint_source) for r in rp.rank_region_hints(p, t, cells, none).collect()}
     assert got == {2: (["high_risk_pattern"], 1, "reflect_invalid_slot"), 1: (["label_area", "other"], 2, "reflect_slot_kv")}
     assert len(calls) == 1
+
+
+def test_candidates_join_edits_and_values_by_cell(spark, monkeypatch):
+    """Written tables in between keep labels from travelling once for each use; texts that only look like a cell do not match."""
+    from formloom.operators import audit as au
+
+    cells = [("w", "S", 1, 1, "Quantity:", "s", None, "0"), ("w", "S", 1, 2, "5", "n", "thin", "0"), ("w", "S", 2, 1, "Ship Date", "s", None, "0"),
+             ("w", "S", 3, 1, "Status", "s", None, "0"), ("w", "S", 3, 2, "x", "d", "thin", "0")]
+    pairs = [("w", "S", 1, "quantity", "b1"), ("w", "S", 2, "Ship Date", "B2:C2")]
+    edits = [("w", "S", "B1", "4", "5", 1), ("w", "S", "b2:c2", None, "q", 2), ("w", "S", "A3", "Stat", "Status", 3), ("w", "S", "$A$2", "no", "hit", 4)]
+    e = spark.createDataFrame(edits, "wb_id string, sheet string, target_cell string, old_value string, new_value string, seq long").withColumn("is_actual_edit", F.lit(True))
+    p = spark.createDataFrame(pairs, "wb_id string, sheet string, pair_idx int, key string, value_cell string")
+    box = spark.createDataFrame([("w", "S", 1, 1, 9, 9)], RECT)
+    none = spark.createDataFrame([], RECT)
+    calls, cut = [], au.cut_lineage
+    monkeypatch.setattr(au, "cut_lineage", lambda d: [calls.append(1), cut(d)][1])
+    d = au.audit_candidates(spark.createDataFrame(cells, CELL), none, p, e, box)
+    got = {r.label_cell: (r.value_cell, r.current_value, r.is_actual_edit, r.edited_label_cell, r.new_value, r.r1, r.c1) for r in d.collect()}
+    assert got == {
+        "A1": ("B1", "5", True, False, "5", 1, 2), "A2": ("B2:C2", None, True, False, "q", 2, 1), "A3": ("B3", "x", True, True, "Status", 3, 2),
+    }
+    assert len(calls) == 4
