@@ -179,6 +179,7 @@ def fused_hints(pairs: DataFrame, labels: DataFrame, candidates: DataFrame, box:
     spots = p.select(
         *KEYS, "pair_id", "l_row", "l_col", "q_row", "q_col"
     ).join(box.select(*KEYS, *[F.col(c).alias("x_" + c) for c in RECT]), KEYS)
+    spots = cut_lineage(spots)
     cand = as_rects(candidates.select(*POS, "kind"))
     done = None
     for radius in (24, 192, None):
@@ -191,7 +192,8 @@ def fused_hints(pairs: DataFrame, labels: DataFrame, candidates: DataFrame, box:
                 (F.least(mids[0], others[0]) - radius).alias("r0"), (F.least(mids[1], others[1]) - radius).alias("c0"),
                 (F.greatest(mids[0], others[0]) + radius).alias("r1"), (F.greatest(mids[1], others[1]) + radius).alias("c1"),
             ]
-        j = overlap_join(cand, spots.select(*KEYS, "pair_id", "l_row", "l_col", "q_row", "q_col", *win), KEYS)
+        windows = spots.select(*KEYS, "pair_id", "l_row", "l_col", "q_row", "q_col", *win)
+        j = overlap_join(cand, windows, KEYS, points=True, levels=windows)
         dr, dc = F.abs(F.col("row") - F.col("l_row")), F.col("col") - F.col("l_col")
         near = F.lit(1.0) / (1.0 + dr + 0.35 * F.abs(dc))
         place = F.coalesce(0.65 * F.when(dc >= 1, 1.0).otherwise(0.5) + 0.35 * near, F.lit(0.0))

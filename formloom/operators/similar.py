@@ -175,13 +175,16 @@ def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], threshold:
 
 def similar_texts(left: DataFrame, right: DataFrame, keys: list[str], threshold: float, full: bool = True) -> DataFrame:
     """Like ``similar_pairs`` for compared free text (no containment); ``norm`` holds squeezed lower-case text."""
+    few, left, right = _small_groups(left, right, keys)
     pairs = candidate_pairs(_spaced(left), _spaced(right), keys, threshold, False, contain=False)
     back = lambda d, n: d.select(*keys, F.col("norm").alias(n + "_text"), _split_form(F.col("norm")).alias(n)).distinct()
     pairs = pairs.join(back(left, "a"), [*keys, "a"]).join(back(right, "b"), [*keys, "b"])
     pairs = pairs.select(*keys, F.col("a_text").alias("a"), F.col("b_text").alias("b"))
     if full:
         pairs = pairs.unionByName(_ratio_candidates(left, right, keys, threshold)).distinct()
-    return pairs.withColumn("score", tx.text_sim(F.col("a"), F.col("b"), full)).filter(F.col("score") >= threshold)
+    pairs = cut_lineage(pairs.unionByName(few))
+    scored = pairs.select("a", "b").distinct().withColumn("score", tx.text_sim(F.col("a"), F.col("b"), full))
+    return pairs.join(cut_lineage(scored.filter(F.col("score") >= threshold)), ["a", "b"]).select(*keys, "a", "b", "score")
 
 
 def _split_form(norm: Column) -> Column:

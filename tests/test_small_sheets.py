@@ -110,3 +110,26 @@ def test_equal_texts_of_many_sheets_are_scored_once(spark, monkeypatch):
     got = sm.similar_pairs(d(["order qty", "qty"]), d(["order qty", "status"]), ["wb_id"], 0.74)
     assert {(x.wb_id, x.a, x.b, x.score) for x in got.collect()} == {(f"w{i}", "order qty", "order qty", 1.0) for i in range(9)}
     assert [x.count() for x in tables] == [36, 1]
+
+
+def test_equal_free_texts_of_many_sheets_are_scored_once(spark, monkeypatch):
+    from difflib import SequenceMatcher
+
+    words, other = ["ship date", "ship-date", "qty", "n/a"], ["ship date", "line status", "order qty", "-"]
+    many = [f"label {i} {w}" for i in range(sm.FEW) for w in ("ship", "qty")]
+    d = lambda rows: spark.createDataFrame(rows, "wb_id string, norm string")
+    left = [(f"w{i}", x) for i in range(5) for x in words] + [("large", x) for x in words]
+    right = [(f"w{i}", x) for i in range(5) for x in other] + [("large", x) for x in many]
+
+    def score(a, b):
+        na, nb = (x.replace("/", " ").replace("-", " ").strip() for x in (a, b))
+        ta, tb = set(na.split()), set(nb.split())
+        return 0.0 if "" in (na, nb) else 1.0 if a == b else max(len(ta & tb) / len(ta | tb), SequenceMatcher(None, a, b).ratio())
+
+    tables, cut = [], sm.cut_lineage
+    monkeypatch.setattr(sm, "cut_lineage", lambda x: [tables.append(cut(x)), tables[-1]][1])
+    for t in (0.75, 0.34, 1e-6):
+        got = {(x.wb_id, x.a, x.b): round(x.score, 9) for x in sm.similar_texts(d(left), d(right), ["wb_id"], t).collect()}
+        assert got == {(g, a, b): round(score(a, b), 9) for g, a in left for h, b in right if g == h and score(a, b) >= t}
+    assert len(tables) == 6
+    assert all(len({(x.a, x.b) for x in s.collect()}) == s.count() for s in tables[1::2])
